@@ -146,11 +146,11 @@ def level(counts: np.ndarray) -> np.ndarray:
 def merge_sketches(blocks: DataFrame, cells: int) -> np.ndarray:
     """Sums (block, counts) rows of all tasks; 2 x cells levels, one byte each, come to the driver."""
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> pa.Table:
         total = np.zeros(Sketch.BLOCK, np.uint64)
         for c in table.column("counts").combine_chunks().to_pylist():
             total[: len(c) // 4] += np.frombuffer(c, np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level(total).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1).combine_chunks().cast(pa.int32()), "levels": pa.array([level(total).tobytes()], pa.binary())})
 
     out = np.zeros(2 * cells, np.uint8)
     for r in blocks.groupBy("block").applyInArrow(add, "block int, levels binary").toLocalIterator():
