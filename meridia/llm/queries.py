@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, quality, url_filter
+from . import decontaminate, line_dedup, ngram_join, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,7 +34,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, pages.join(worst, "page_id").select("url", "bad"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_decontaminate, op6_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op4_decontaminate, op6_quality_rules, op10_url_filters)}
 
 #: Where SQL can express the whole result.
 ORACLE_SQL: dict[str, str] = {}
