@@ -23,16 +23,21 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _run(length: int):
+    return lambda x, i: F.xxhash64(x, *[F.get("run1", i + k) for k in range(1, length)])
+
+
+def _seed(parts: list[tuple[int, int]], length: int):
+    return lambda i: F.xxhash64(*[F.get(f"run{k}", i + o) for o, k in parts], F.lit(length))
+
+
 def _seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """Adds n and the seeds of all masks, one mask after the other, to rows with `words`."""
     out = df.select("*", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("run1"))
     runs = [[(m.start(), len(m[0])) for m in re.finditer("1+", mask)] for mask in masks]
     for r in sorted({k for mask in runs for _, k in mask} - {1}):
-        out = out.select("*", F.transform("run1", lambda x, i, r=r: F.xxhash64(x, *[F.get("run1", i + k) for k in range(1, r)])).alias(f"run{r}"))
-    each = []
-    for mask, parts in zip(masks, runs):
-        at = lambda i, parts=parts, mask=mask: F.xxhash64(*[F.get(f"run{k}", i + o) for o, k in parts], F.lit(len(mask)))
-        each.append(F.when(F.col("n") >= len(mask), F.transform(F.sequence(F.lit(0), F.col("n") - len(mask)), at)).otherwise(F.array().cast("array<bigint>")))
+        out = out.select("*", F.transform("run1", _run(r)).alias(f"run{r}"))
+    each = [F.when(F.col("n") >= len(mask), F.transform(F.sequence(F.lit(0), F.col("n") - len(mask)), _seed(parts, len(mask)))).otherwise(F.array().cast("array<bigint>")) for mask, parts in zip(masks, runs)]
     return out.select(*df.columns, "n", F.concat(*each).alias("seeds"))
 
 

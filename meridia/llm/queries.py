@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, quality, url_filter
+from . import chunk_dedup, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, url_filter, warc
+
+
+#: Share of tokens by domain that op7 and the pipeline aim at.
+TARGETS = {"toxic": 0.01, "poor": 0.04, "good": 0.95}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labels(doc_id, quality, toxic); null where either is null."""
+    return labels.select("doc_id", F.when(F.col("quality").isNull() | F.col("toxic").isNull(), None).when(F.col("toxic") > 0, "toxic").when(F.col("quality") > 0, "good").otherwise("poor").alias("domain"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,21 +29,44 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     worst = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
     return url_filter.filter_urls(pages, pages.join(worst, "page_id").select("url", "bad"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op4_decontaminate, op6_quality_rules, op10_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_join, op2_line_dedup, op3_warc, op4_decontaminate, op5_language_id, op6_quality_rules, op7_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filters)
+}
 
 #: Where SQL can express the whole result.
 ORACLE_SQL: dict[str, str] = {}
