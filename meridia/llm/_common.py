@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,22 +73,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """64-bit hashes of words; remembers up to a fixed number of them."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
-        return h
-
-    def all(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: A number for each byte, by a rule; A-Z count as a-z in the second row. Bytes that separate words.
+BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
+BYTE = np.stack([BYTE, BYTE[np.array([i + 32 if 65 <= i < 91 else i for i in range(256)])]])
+GAP = np.zeros(256, bool)
+GAP[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
+
+
+class WordHash:
+    """64-bit hashes of words: a polynomial in numbers of their bytes, mixed. Remembers nothing of the text."""
+
+    def __init__(self, lower: bool = False):
+        self.byte = BYTE[int(lower)]
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) <= n:
+            up, down = np.full(n + 1, 0xD6E8FEB86659FD93, np.uint64), np.full(n + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+    def piece(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, start places) of the words of some bytes; words also end where `first` begins a text."""
+        n = len(data)
+        self._powers(n)
+        word = ~GAP[data]
+        begin = word.copy()
+        begin[1:] &= GAP[data[:-1]]
+        end = word.copy()
+        end[:-1] &= GAP[data[1:]]
+        first = first[first < n]
+        begin[first] = word[first]
+        last = first[first > 0] - 1
+        end[last] = word[last]
+        a, b = np.flatnonzero(begin), np.flatnonzero(end)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[data] * self.up[:n])])
+        return mix((total[b + 1] - total[a]) * self.down[a] + (b - a + 1).astype(np.uint64)), a
+
+    def text(self, text: bytes | None) -> np.ndarray:
+        """Hashes of the words of one text, of any length."""
+        data = np.frombuffer(text or b"", np.uint8)
+        if len(data) <= 4 * PIECE:
+            return self.piece(data, np.zeros(1, np.int64))[0]
+        out, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + PIECE)
+            while end < len(data) and not GAP[data[end]]:  # to the next gap
+                gaps = np.flatnonzero(GAP[data[end : end + PIECE]])
+                end = end + int(gaps[0]) if len(gaps) else min(len(data), end + PIECE)
+            out.append(self.piece(data[at:end], np.zeros(1, np.int64))[0])
+            at = end
+        return np.concatenate(out)
+
+    def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """Hashes of the words of each text, many texts at a time."""
+        at = 0
+        while at < len(texts):
+            stop = size = 0
+            stop = at
+            while stop < len(texts) and (stop == at or size + len(texts[stop] or b"") <= PIECE):
+                size += len(texts[stop] or b"")
+                stop += 1
+            if stop == at + 1:
+                yield self.text(texts[at])
+            else:
+                sizes = np.fromiter((len(x or b"") for x in texts[at:stop]), np.int64, stop - at)
+                ends = np.cumsum(sizes)
+                h, start = self.piece(np.frombuffer(b"".join(x or b"" for x in texts[at:stop]), np.uint8), ends - sizes)
+                cut = np.searchsorted(start, ends)
+                yield from np.split(h, cut[:-1])
+            at = stop
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:

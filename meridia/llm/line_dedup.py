@@ -8,7 +8,6 @@ are compared. Of similar lines the later one goes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,39 +25,74 @@ SEEN = 1_000_000
 BITS = 46
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """(ids, line numbers, words of the lines) of a bounded number of lines that have words."""
-    ids, nos, words, size = [], [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of a bounded number of lines and bytes; a longer text comes alone."""
+    ids, texts, lines, size = [], [], 0, 0
     for batch in batches:
         for doc, text in zip(column(batch, "doc_id"), column(batch, "text")):
-            for no, line in enumerate((text or b"").split(b"\n")):
-                if w := line.split():
-                    ids.append(doc)
-                    nos.append(no)
-                    words.append(w)
-                    size += len(line)
-                    if len(ids) >= LINES or size >= BYTES:
-                        yield ids, nos, words
-                        ids, nos, words, size = [], [], [], 0
+            n = text.count(b"\n") + 1
+            if ids and (lines + n > LINES or size + len(text) > BYTES):
+                yield ids, texts
+                ids, texts, lines, size = [], [], 0, 0
+            ids.append(doc)
+            texts.append(text)
+            lines += n
+            size += len(text)
     if ids:
-        yield ids, nos, words
+        yield ids, texts
+
+
+def _words(ids: list, texts: list[bytes], hashes: WordHash) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, line numbers, hashes of all words, words per line) of the lines that have words; at most LINES at once."""
+    for i, line_no, h, n in _lines_of(ids, texts, hashes):
+        for a in range(0, len(n), LINES):
+            part = n[a : a + LINES]
+            before = int(n[:a].sum())
+            yield i[a : a + LINES], line_no[a : a + LINES], h[before : before + int(part.sum())], part
+
+
+def _lines_of(ids: list, texts: list[bytes], hashes: WordHash) -> Iterator[tuple[np.ndarray, ...]]:
+    if len(texts) == 1 and len(texts[0]) > BYTES:  # a long text, by blocks of its lines
+        lines, at = texts[0].split(b"\n"), 0
+        while at < len(lines):
+            stop, size = at, 0
+            while stop < len(lines) and (stop == at or size + len(lines[stop]) <= BYTES):
+                size += len(lines[stop])
+                stop += 1
+            h = [hashes.text(x) for x in lines[at:stop]]
+            n = np.array([len(x) for x in h])
+            keep = np.flatnonzero(n)
+            if len(keep):
+                yield np.full(len(keep), ids[0]), keep + at, np.concatenate(h), n[keep]
+            at = stop
+        return
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    sizes = np.array([len(x) for x in texts])
+    first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    h, start = hashes.piece(data, np.zeros(1, np.int64))
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, start)
+    which, n = np.unique(line, return_counts=True)
+    if len(which):
+        begin = np.where(which > 0, breaks[which - 1] + 1, 0) if len(breaks) else np.zeros(len(which), np.int64)
+        doc = np.searchsorted(first, begin, "right") - 1
+        yield np.array(ids)[doc], which - np.searchsorted(breaks, first)[doc], h, n
 
 
 class _Lines:
     """Of some lines: their distinct words, rarest first, one after the other; sizes, starts and digests."""
 
-    def __init__(self, words: list[list[bytes]], hashes: WordHash, rows: np.ndarray | None, seen: set, least: int):
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        h = hashes.all(list(chain.from_iterable(words))) >> np.uint64(64 - BITS)
+    def __init__(self, h: np.ndarray, n: np.ndarray, rows: np.ndarray | None, seen: set, least: int):
+        h = h >> np.uint64(64 - BITS)
         level = np.zeros(len(h), np.uint64) if rows is None else rarity(rows, mix(h)).astype(np.uint64)
-        code = np.unique((np.repeat(np.arange(len(words), dtype=np.uint64), n) << np.uint64(64 - 12)) | (level << np.uint64(BITS)) | h)
+        code = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(64 - 12)) | (level << np.uint64(BITS)) | h)
         self.line = (code >> np.uint64(64 - 12)).astype(np.int64)
         self.level, self.token = (code >> np.uint64(BITS)) & np.uint64(63), code & np.uint64((1 << BITS) - 1)
-        self.size = np.bincount(self.line, minlength=len(words))
+        self.size = np.bincount(self.line, minlength=len(n))
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         one = mix(self.token)
         self.k1, self.k2 = np.add.reduceat(one, self.start), np.add.reduceat(mix(one * M2), self.start)
-        self.fresh = np.zeros(len(words), bool)  # long enough, and not met before in this task
+        self.fresh = np.zeros(len(n), bool)  # long enough, and not met before in this task
         for i, key in enumerate(zip(self.k1.tolist(), self.k2.tolist())):
             if self.size[i] >= least and key not in seen:
                 self.fresh[i] = True
@@ -71,12 +105,12 @@ def _measure(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch, seen = WordHash(), Sketch(CELLS), set()
         names = ["doc_id", "line_no", "n", "k1", "k2", "block", "counts"]
-        for ids, nos, words in _chunks(batches):
-            x = _Lines(words, hashes, None, seen, least)
+        for ids, nos, h, n in (y for x in _chunks(batches) for y in _words(*x, hashes)):
+            x = _Lines(h, n, None, seen, least)
             sketch.add(mix(x.token[x.fresh[x.line]]))
             keep = np.flatnonzero(x.size >= least)
             none = pa.nulls(len(keep))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([nos[i] for i in keep], pa.int32()), pa.array(x.size[keep], pa.int32()), pa.array(x.k1[keep].view(np.int64)), pa.array(x.k2[keep].view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(nos[keep].astype(np.int32)), pa.array(x.size[keep], pa.int32()), pa.array(x.k1[keep].view(np.int64)), pa.array(x.k2[keep].view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for block, counts in sketch.blocks():
             none = pa.nulls(1)
             yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=names)
@@ -87,8 +121,8 @@ def _measure(least: int):
 def _index(num: int, den: int, least: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, rows = WordHash(), set(), np.frombuffer(shared.value, np.uint8).reshape(2, -1)
-        for _, _, words in _chunks(batches):
-            x = _Lines(words, hashes, rows, seen, least)
+        for _, _, h, n in (y for x in _chunks(batches) for y in _words(*x, hashes)):
+            x = _Lines(h, n, rows, seen, least)
             at = np.arange(len(x.line)) - x.start[x.line]
             prefix = x.size - -(-num * x.size // den) + 1
             # a word counted once is in no other line; its place in the prefix is spent all the same

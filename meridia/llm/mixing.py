@@ -20,15 +20,15 @@ from ._common import Scratch, WordHash, column, mix
 BITS = 16
 
 
-def word_buckets(hashes: WordHash, text: bytes | None) -> np.ndarray:
-    return (mix(hashes.all((text or b"").lower().split())) >> np.uint64(64 - BITS)).astype(np.int64)
+def word_buckets(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts, docs = WordHash(), {}, {}
+    hashes, counts, docs = WordHash(lower=True), {}, {}
     for batch in batches:
-        for domain, text in zip(column(batch, "domain"), column(batch, "text")):
-            at = word_buckets(hashes, text)
+        for domain, words in zip(column(batch, "domain"), hashes.texts(column(batch, "text"))):
+            at = word_buckets(words)
             c = counts.setdefault(domain, np.zeros(1 << BITS, np.int64))
             np.add.at(c, at, 1)
             docs[domain] = docs.get(domain, 0) + 1
@@ -42,11 +42,11 @@ def _add(table: pa.Table) -> pa.Table:
 
 def _score(model: bytes, k: int, scale: float, power: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHash(), np.frombuffer(model, np.float64).reshape(k, -1)
+        hashes, table = WordHash(lower=True), np.frombuffer(model, np.float64).reshape(k, -1)
         for batch in batches:
             tokens, rows = [], []
-            for text in column(batch, "text"):
-                at = word_buckets(hashes, text)
+            for words in hashes.texts(column(batch, "text")):
+                at = word_buckets(words)
                 z = scale * table[:, at].sum(1) / max(1, len(at)) ** power + table[:, -1]
                 p = np.exp(z - z.max())
                 tokens.append(len(at))
@@ -85,10 +85,10 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], *, most_labe
 
 def _loss(model: bytes, domains: list[str], grid: list[tuple[float, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table, total, n = WordHash(), np.frombuffer(model, np.float64).reshape(len(domains), -1), np.zeros(len(grid)), 0
+        hashes, table, total, n = WordHash(lower=True), np.frombuffer(model, np.float64).reshape(len(domains), -1), np.zeros(len(grid)), 0
         for batch in batches:
-            for domain, text in zip(column(batch, "domain"), column(batch, "text")):
-                at = word_buckets(hashes, text)
+            for domain, words in zip(column(batch, "domain"), hashes.texts(column(batch, "text"))):
+                at = word_buckets(words)
                 z = table[:, at].sum(1)
                 for g, (s, p) in enumerate(grid):
                     y = s * z / max(1, len(at)) ** p + table[:, -1]

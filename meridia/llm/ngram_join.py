@@ -22,9 +22,18 @@ from ._common import Scratch, Sketch, WordHash, column, components, merge_sketch
 CELLS, GROUP, SMALL = 1 << 21, 6, 20
 
 
-def shingle_set(words: WordHash, text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct k-word shingles; A-Z is lower-cased."""
-    return np.unique(shingles(words.all((text or b"").lower().split()), k))
+#: Bits of the parity bitmaps: bit i tells whether an odd number of a set's shingles fall on i.
+PARITY = 1024
+
+
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct k-word shingles of a text's word hashes."""
+    return np.unique(shingles(h, k))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many shingles as their bitmaps do in bits."""
+    return np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).view(np.int64)
 
 
 def levels(num: int, den: int, most: int = 400) -> np.ndarray:
@@ -57,74 +66,86 @@ def prefix_entries(tokens: np.ndarray, rare: np.ndarray, limit: int, num: int, d
         if bounds[at] < SMALL:
             out.append(tokens[: errors + 1])
             continue
+        if not often[: errors + 1].any():
+            longest = max(longest, errors + 1)
+            continue
         groups = np.uint64(max(1, int(bounds[at]) * (den - num) // (den * GROUP)))
-        group = np.where(often, (tokens >> np.uint64(20)) % groups, 0).astype(np.int64)
-        first = np.zeros(n, bool)  # the first token of a frequent group counts for nothing
         where = np.flatnonzero(often)
-        if len(where):
-            first[where[np.unique(group[where], return_index=True)[1]]] = True
-        reach = np.cumsum(~first)
-        m = min(n, int(np.searchsorted(reach, errors + 1)) + 1)
+        group = ((tokens[where] >> np.uint64(20)) % groups).astype(np.int64)
+        counts = np.ones(n, bool)  # the first token of a frequent group counts for nothing
+        counts[where[np.unique(group, return_index=True)[1]]] = False
+        m = min(n, int(np.searchsorted(np.cumsum(counts), errors + 1)) + 1)
         longest = max(longest, m)
-        part = np.flatnonzero(often[:m])
-        if len(part):
-            sort = part[np.argsort(group[part], kind="stable")]
-            g, t, salt = group[sort], tokens[sort], np.uint64(at + 1)
-            for step in range(1, len(sort)):
-                same = g[step:] == g[:-step]
-                if not same.any():
-                    break
-                a, b = t[step:][same], t[:-step][same]
-                out.append(mix(mix(np.minimum(a, b)) + np.maximum(a, b) * np.uint64(0xD6E8FEB86659FD93) + salt))
+        group, t = group[where < m], tokens[where[where < m]]
+        sort = np.argsort(group, kind="stable")
+        g, t, salt = group[sort], t[sort], np.uint64(at + 1)
+        for step in range(1, len(g)):
+            same = g[step:] == g[:-step]
+            if not same.any():
+                break
+            a, b = t[step:][same], t[:-step][same]
+            out.append(mix(mix(np.minimum(a, b)) + np.maximum(a, b) * np.uint64(0xD6E8FEB86659FD93) + salt))
     out.append(tokens[:longest][~often[:longest]])
     return np.unique(np.concatenate(out))
 
 
+SEEN = ["doc_id", "n", "key", "parity", "block", "counts"]
+SEEN_SCHEMA = "doc_id long, n long, key binary, parity array<long>, block int, counts binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, int | None, np.ndarray, bytes]]:
+    """Batch number, doc_id, shingles and their digest of each text."""
+    words = WordHash(lower=True)
+    for i, batch in enumerate(batches):
+        for doc, h in zip(column(batch, "doc_id"), words.texts(column(batch, "text"))):
+            s = shingle_set(h, k)
+            yield i, doc, s, hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _measure(k: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch, seen = WordHash(), Sketch(cells), set()
-        for batch in batches:
-            sizes, keys = [], []
-            for text in column(batch, "text"):
-                s = shingle_set(words, text, k)
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                sizes.append(len(s))
-                keys.append(key if len(s) else None)
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    sketch.add(s)
-            none = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "doc_id"), pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "block", "counts"])
+        sketch, seen, rows = Sketch(cells), set(), []
+
+        def flush():
+            ids, sizes, keys, bits = zip(*rows)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate(bits)))
+            none = pa.nulls(len(rows))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), values, none.cast(pa.int32()), none.cast(pa.binary())], names=SEEN)
+
+        for _, doc, s, key in _sets(batches, k):
+            rows.append((doc, len(s), key if len(s) else None, parity(s)))
+            if len(s) and key not in seen:
+                seen.add(key)
+                sketch.add(s)
+            if len(rows) == 5000:
+                yield flush()
+                rows = []
+        if rows:
+            yield flush()
         for block, counts in sketch.blocks():
             none = pa.nulls(1)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["doc_id", "n", "key", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=SEEN)
 
     return run
 
 
 def _index(k: int, num: int, den: int, shared, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, bounds = WordHash(), set(), levels(num, den)
-        counts = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
-        for batch in batches:
-            entries, ids, waiting = [], [], 0
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                s = shingle_set(words, text, k)
-                if not len(s):
-                    continue
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if key in seen:
-                    continue
-                seen.add(key)
-                e = prefix_entries(s, rarity(counts, s), limit, num, den, bounds)
-                entries.append(e)
-                ids.append(np.full(len(e), doc, np.int64))
-                waiting += len(e)
-                if waiting > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate(ids))], names=["entry", "doc_id"])
-                    entries, ids, waiting = [], [], 0
-            if ids:
+        seen, bounds, counts = set(), levels(num, den), np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+        entries, ids, waiting = [], [], 0
+        for _, doc, s, key in _sets(batches, k):
+            if not len(s) or key in seen:
+                continue
+            seen.add(key)
+            e = prefix_entries(s, rarity(counts, s), limit, num, den, bounds)
+            entries.append(e)
+            ids.append(np.full(len(e), doc, np.int64))
+            waiting += len(e)
+            if waiting > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate(ids))], names=["entry", "doc_id"])
+                entries, ids, waiting = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate(ids))], names=["entry", "doc_id"])
 
     return run
 
@@ -133,13 +154,13 @@ def _verify(k: int):
     """(a, b, both, union): intersection and union sizes of the pairs' shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = WordHash(), (None, None)
+        words, last = WordHash(lower=True), (None, None)
         for batch in batches:
             both, union = [], []
             for x, y in zip(column(batch, "text_a"), column(batch, "text_b")):
                 if last[0] != y:
-                    last = (y, shingle_set(words, y, k))
-                s, t = shingle_set(words, x, k), last[1]
+                    last = (y, shingle_set(words.text(y), k))
+                s, t = shingle_set(words.text(x), k), last[1]
                 i = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
                 both.append(i)
                 union.append(len(s) + len(t) - i)
@@ -148,7 +169,7 @@ def _verify(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, rounds: int = 6, ease: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
 
     Two rows are linked when den * intersection >= num * union of their sets of k-word shingles
@@ -157,81 +178,79 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     the same doc_id are one document. A null doc_id links with nothing and has a null component.
     Other columns are ignored.
 
-    Tokens count as frequent above `frequent` times the mean load of the sketch's cells. After the
-    first round only pairs of different components are of interest: while a bucket's open pairs
-    outnumber the documents `ease` times, and for at most `rounds` rounds, its members are compared
-    with one member of each other component; then every open pair is compared. None is left out.
+    Tokens count as frequent above `frequent` times the mean load of the sketch's cells. Bitmaps of a
+    fixed size rule out most candidates before texts are compared, and never a link. In at most
+    `rounds` rounds every member of a bucket meets one other member only, so that large groups grow
+    together; then every pair that shares an entry and lies in different components is compared.
     """
     if not den <= 2 * num <= 2 * den:
         raise ValueError("num / den must lie between 0.5 and 1")
     spark = docs.sparkSession
     tables = Scratch(spark, "ngram-join")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    seen = tables.save(raw.mapInArrow(_measure(k, CELLS), "doc_id long, n long, key binary, block int, counts binary"), "measured")
+    seen = tables.save(raw.mapInArrow(_measure(k, CELLS), SEEN_SCHEMA), "measured")
     counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
     load = seen.where("block is null").agg(F.sum("n")).first()[0] or 0
     limit = int(np.ceil(4 + 2.2 * np.log2(max(4.0, 16 + frequent * load / CELLS) / 4)))
     shared = spark.sparkContext.broadcast(counts.tobytes())
-    sets = seen.where("block is null").select("doc_id", "n", "key")
+    sets = seen.where("block is null").select("doc_id", "n", "key", "parity")
     linked = sets.where("key is not null and doc_id is not null")
-    reps = linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    node = tables.save(linked.select("doc_id", "key").join(reps, "key").select("doc_id", "rep", "n").distinct(), "nodes")  # doc -> the first document with its set
+    reps = tables.save(linked.groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
+    node = tables.save(linked.join(reps, "key").select("doc_id", "rep", "n", "parity"), "nodes")  # doc -> the first document with its set
     ids = raw.where("doc_id is not null and text is not null")
     entries = tables.save(ids.mapInArrow(_index(k, num, den, shared, limit), "entry long, doc_id long"), "entries")
     # entries of at least two documents; grouped ahead of the shuffle, then joined back
-    several = entries.groupBy("entry").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("entry")
-    kept = entries.join(tables.save(several, "several"), "entry")
-    members = tables.save(kept.join(node.select("doc_id", "rep"), "doc_id").select("entry", "rep").distinct(), "members")
+    several = tables.save(entries.groupBy("entry").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("entry"), "several")
+    members = tables.save(entries.join(several, "entry").join(node.select("doc_id", "rep").distinct(), "doc_id").select("entry", "rep").distinct(), "members")
     tables.drop("entries", "several")
-    wanted = members.select("rep").distinct()
-    texts = tables.save(ids.join(wanted, ids["doc_id"] == wanted["rep"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
-    sizes = tables.save(node.where("doc_id = rep").groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "sizes")
+    # of buckets with the same members one is enough
+    mark = members.groupBy("entry").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count("*").alias("size")).where("size > 1")
+    mark = tables.save(mark.groupBy("s", "x", "size").agg(F.min("entry").alias("entry")).select("entry"), "buckets")
+    # a document with one id and several sets has as many rows
+    facts = node.where("doc_id = rep").select("rep", "n", "parity").distinct()
+    members = tables.save(members.join(mark, "entry").join(facts, "rep").select("entry", "rep", "n", "parity"), "bucket-members")
+    tables.drop("members", "buckets")
 
     # rows with one id and different sets belong together
     least = node.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("doc_id", "b")
     links = tables.save(node.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "links-same")
 
+    differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that are linked."""
-        s, t = sizes.select(F.col("rep").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), sizes.select(F.col("rep").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-        near = pairs.join(s, "a").join(t, "b").where(f"ha * {den} >= lb * {num} and hb * {den} >= la * {num}").select("a", "b")
-        near = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        return tables.save(near.mapInArrow(_verify(k), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
-
-    def labels(links: DataFrame, name: str) -> DataFrame:
-        cc = components(spark, links, tables, f"cc-{name}")
-        return cc.select(F.col("node").alias("rep"), "component")
-
-    # every member of a bucket with its smallest one
-    low = tables.save(members.groupBy("entry").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("entry", "b"), "low")
-    pairs = tables.save(members.join(low, "entry").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "pairs0")
-    links = links.union(verified(pairs, "links0"))
-    total, tried = sizes.count(), pairs
-    for r in range(1, rounds + 2):
-        group = labels(links, str(r))
-        m = tables.save(members.join(group, "rep", "left").select("entry", "rep", F.coalesce("component", "rep").alias("component")), f"grouped{r}")
-        # buckets with several components; of buckets with the same members one is enough
-        mark = m.groupBy("entry").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count("*").alias("size")).where("c1 < c2")
-        mark = tables.save(mark.groupBy("s", "x", "size").agg(F.min("entry").alias("entry")).select("entry", "size"), f"open{r}")
-        m = tables.save(m.join(mark.select("entry"), "entry"), f"members{r}")
-        each = tables.save(m.groupBy("entry", "component").agg(F.count("*").alias("c"), F.min("rep").alias("b")), f"parts{r}")
-        cost = each.groupBy("entry").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("x")).agg(F.sum("x")).first()[0] or 0
-        if not cost:
-            break
-        if last := cost <= 2 * ease * (total + 1000) or r > rounds:
-            n = m.withColumnRenamed("rep", "b").withColumnRenamed("component", "other")
-            p = m.join(n, "entry").where("component < other").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
-        else:  # a member of another component than the bucket's first
-            pick = each.groupBy("entry").agg(F.max_by("b", F.struct("component", "c")).alias("b"), F.max("component").alias("other"))
-            p = m.join(tables.save(pick, f"pick{r}"), "entry").where("component <> other").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
-        p = tables.save(p.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs{r}")
-        links = tables.save(links.union(verified(p, f"links{r}")), f"all-links{r}")
-        tried = tried.union(p)
+        wanted = tables.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-wanted")
+        texts = tables.save(ids.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), f"{name}-texts")
+        near = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        out = tables.save(near.mapInArrow(_verify(k), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
+        tables.drop(f"{name}-texts")
+        return out
+
+    pair = [F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")]
+    tried, few, open_ = None, False, members.withColumn("component", F.col("rep"))
+    for r in range(rounds + 1):
+        if r:
+            group = components(spark, links, tables, f"cc-{r}").select(F.col("node").alias("rep"), "component")
+            open_ = members.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            mixed = open_.groupBy("entry").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("entry")
+            open_ = tables.save(open_.join(tables.save(mixed, f"mixed{r}"), "entry"), f"open{r}")
+        last = r == rounds or (r > 0 and few)
+        them = open_.select("entry", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("parity").alias("parity2"), F.col("component").alias("c2"))
+        if not last:  # the member that comes first by a hash of its own each round
+            first = open_.groupBy("entry").agg(F.min(F.xxhash64("rep", F.lit(r))).alias("h"))
+            them = tables.save(them.withColumn("h", F.xxhash64("other", F.lit(r))).join(first, ["entry", "h"]).drop("h"), f"first{r}")
+        p = open_.join(them, "entry").where((F.col("component") != F.col("c2")) & (F.col("rep") < F.col("other") if last else F.lit(True)) & able).select(*pair).distinct()
+        p = tables.save(p if tried is None else p.join(tried, ["a", "b"], "left_anti"), f"pairs{r}")
+        found = verified(p, f"links{r}")
+        n_found = found.count()
+        few = n_found < max(100, 0.002 * (load and sets.count()))
+        links, tried = links.union(found), p if tried is None else tried.union(p)
         if last:
             break
-    group = tables.save(labels(links, "end"), "components")
-    whole = node.select("doc_id", "rep").join(group, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sets.join(whole, "doc_id", "left")
+    group = tables.save(components(spark, links, tables, "cc-end"), "components").select(F.col("node").alias("rep"), "component")
+    whole = node.select("doc_id", "rep").distinct().join(group, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    out = sets.join(tables.save(whole, "whole"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
