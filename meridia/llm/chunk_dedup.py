@@ -88,7 +88,7 @@ def repeated_spans(docs: DataFrame, *, least_bytes: int = 80) -> DataFrame:
     runs = later.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size", "source"))).alias("c"))  # at most a document's own chunks
     begins = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: (i == 0) | F.coalesce(F.get("c", i - 1)["start"] + F.get("c", i - 1)["size"] < F.get("c", i)["start"], F.lit(True)))
     runs = runs.select("doc_id", "c", begins.alias("b"))
-    spans = runs.select("doc_id", F.explode(F.transform("b", lambda i, k: F.slice("c", i + 1, F.coalesce(F.get("b", k + 1), F.size("c")) - i))).alias("run"))
+    spans = runs.select("doc_id", F.explode_outer(F.transform("b", lambda i, k: F.slice("c", i + 1, F.coalesce(F.get("b", k + 1), F.size("c")) - i))).alias("run"))
     last = F.element_at("run", -1)
     start = F.element_at("run", 1)["start"]
     spans = spans.select("doc_id", start.alias("start"), (last["start"] + last["size"] - start).alias("length"), F.array_sort(F.array_distinct(F.transform("run", lambda x: x["source"]))).alias("source_ids"))

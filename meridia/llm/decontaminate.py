@@ -64,10 +64,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
     tables = Scratch(docs.sparkSession, "decontaminate")
     items = tables.save(benchmark.select("item_id", normal_words(F.col("text")).alias("item")).where(F.size("item") >= min_words).distinct(), "items")
     there = _seeds(items.withColumnRenamed("item", "words"), masks)
-    there = tables.save(there.select("item_id", "n", F.posexplode("seeds").alias("p", "seed")).select("item_id", "seed", _place(F.col("p"), F.col("n"), masks).alias("j")).distinct(), "seeds")
+    # outer: else Spark tests the size of the seeds first, by a filter that it pushes down until the text is split in every lambda
+    there = tables.save(there.select("item_id", "n", F.posexplode_outer("seeds").alias("p", "seed")).select("item_id", "seed", _place(F.col("p"), F.col("n"), masks).alias("j")).where("seed is not null").distinct(), "seeds")
     there = F.broadcast(there) if there.count() <= most_broadcast else there
     here = _seeds(docs.where("text is not null").select("doc_id", normal_words(F.col("text")).alias("words")), masks)
-    here = here.select("doc_id", "n", F.posexplode("seeds").alias("p", "seed"))
+    here = here.select("doc_id", "n", F.posexplode_outer("seeds").alias("p", "seed"))
     hits = here.join(there, "seed").select("doc_id", "item_id", "j", (_place(F.col("p"), F.col("n"), masks) - F.col("j")).alias("d"))
     blocks = tables.save(hits.groupBy("doc_id", "item_id", "d", F.floor(F.col("j") / window).alias("block")).agg(F.min("j").alias("j1"), F.max("j").alias("j2")), "hits")
     # a written table: Spark knows its size, and moves the documents only if it is too large to broadcast
@@ -76,11 +77,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
     both = both.select("doc_id", "item_id", "d", "j1", "j2", "item", normal_words(F.col("text")).alias("words"), F.size("item").alias("m"))
     w = F.least(F.lit(window), F.col("m"))
     both = both.select("*", w.alias("w"), F.greatest(F.lit(0), F.col("j1") - w + 1).alias("lo"), F.least(F.col("j2"), F.col("m") - w).alias("hi"))
-    equal = F.transform(F.sequence(F.col("lo"), F.col("hi") + F.col("w") - 1), lambda k: F.when((k + F.col("d") >= 0) & (F.get("words", F.greatest(k + F.col("d"), F.lit(0))) == F.get("item", k)), 1).otherwise(0))
-    both = both.where("hi >= lo").select("doc_id", "item_id", "w", "lo", "hi", equal.alias("equal"))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("hi") - F.col("lo") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("w")), F.lit(0), lambda a, x: a + x)))
-    found = both.select("doc_id", "item_id", "w", best.alias("best")).where(F.col("best") * 100 >= F.col("w") * percent)
-    return found.groupBy("doc_id", "item_id").agg(F.max("best").cast("long").alias("matched"), F.max("w").cast("long").alias("compared"))
+    # words and equal are each named twice, or Spark would fold them into the lambdas and split the text anew for every word
+    at = lambda k: k + F.col("d")
+    equal = F.transform(F.sequence(F.col("lo"), F.col("hi") + F.col("w") - 1), lambda k: F.when((at(k) >= 0) & (at(k) < F.size("words")) & (F.get("words", F.greatest(at(k), F.lit(0))) == F.get("item", k)), 1).otherwise(0))
+    both = both.where("hi >= lo").select("doc_id", "item_id", "w", equal.alias("equal"))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("w") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("w")), F.lit(0), lambda a, x: a + x)))
+    both = both.select("doc_id", "item_id", "w", best.alias("best"))
+    enough = F.col("best") * 100 >= F.col("w") * percent  # tested in the aggregate: as a filter it would be pushed into the lambdas
+    found = both.groupBy("doc_id", "item_id").agg(F.max(F.when(enough, F.col("best"))).cast("long").alias("matched"), F.max(F.when(enough, F.col("w"))).cast("long").alias("compared"))
+    return found.where("matched is not null")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
