@@ -158,24 +158,17 @@ def geohash(lon, lat, precision: int = 12) -> Column:
 
 
 def geohash_bounds(code) -> Column:
-    """minx, miny, maxx, maxy of a geohash."""
+    """minx, miny, maxx, maxy of a geohash of at most 12 characters."""
     c = G.col(code)
-    n = F.length(c)
-
-    def go(acc, ch):
-        v = F.instr(F.lit(GEOHASH), ch) - 1
-        for k in range(5):
-            bit = F.shiftright(v, 4 - k).bitwiseAND(F.lit(1))
-            across = (acc["n"] + k) % 2 == 0
-            mx, my = (acc["a"] + acc["c"]) / 2, (acc["b"] + acc["d"]) / 2
-            acc = F.struct(
-                F.when(across & (bit == 1), mx).otherwise(acc["a"]).alias("a"), F.when(~across & (bit == 1), my).otherwise(acc["b"]).alias("b"),
-                F.when(across & (bit == 0), mx).otherwise(acc["c"]).alias("c"), F.when(~across & (bit == 0), my).otherwise(acc["d"]).alias("d"), acc["n"].alias("n"))
-        return F.struct(acc["a"].alias("a"), acc["b"].alias("b"), acc["c"].alias("c"), acc["d"].alias("d"), (acc["n"] + 5).alias("n"))
-
-    start = F.struct(F.lit(-180.0).alias("a"), F.lit(-90.0).alias("b"), F.lit(180.0).alias("c"), F.lit(90.0).alias("d"), F.lit(0).alias("n"))
-    chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(1)))
-    return F.aggregate(chars, start, go, lambda a: F.struct(a["a"].alias("minx"), a["b"].alias("miny"), a["c"].alias("maxx"), a["d"].alias("maxy")))
+    n = F.length(c) * 5
+    long = F.lit(0).cast("long")
+    value = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.instr(F.lit(GEOHASH), F.substring(c, i, F.lit(1))) - 1), long, lambda a, x: a * 32 + x)
+    # of the bits from above, those at even places are of x
+    axis = lambda v, at: F.aggregate(F.filter(F.sequence(F.lit(0), n - 1), lambda i: i % 2 == at), long, lambda a, i: a * 2 + F.call_function("shiftright", v, n - 1 - i).bitwiseAND(F.lit(1)))
+    wide, high = 360.0 / F.pow(F.lit(2.0), F.ceil(n / 2)), 180.0 / F.pow(F.lit(2.0), F.floor(n / 2))
+    cell = G.let(value, lambda v: F.struct(axis(v, 0).alias("x"), axis(v, 1).alias("y")))
+    box = lambda k: F.struct((k["x"] * wide - 180.0).alias("minx"), (k["y"] * high - 90.0).alias("miny"), ((k["x"] + 1) * wide - 180.0).alias("maxx"), ((k["y"] + 1) * high - 90.0).alias("maxy"))
+    return F.when(F.length(c) > 0, G.let(cell, box))
 
 
 def geohash_parent(code) -> Column:

@@ -201,24 +201,22 @@ def to_polyline(g, precision: int = 5) -> Column:
     return F.array_join(F.transform(flat, code), "")
 
 
-def parse_polyline(text: str | None, precision: int = 5) -> dict | None:
-    if text is None:
-        return None
-    out, last, n, shift = [], [0, 0], 0, 0
-    for ch in text:
-        b = ord(ch) - 63
-        n |= (b & 31) << shift
-        shift += 5
-        if b < 32:
-            k = len(out) % 2
-            last[k] += ~(n >> 1) if n & 1 else n >> 1
-            out.append(last[k] / 10**precision)
-            n = shift = 0
-    if shift or len(out) % 2:
-        raise ValueError("the polyline ends early")
-    v = [{"x": x, "y": y, "z": None, "m": None} for y, x in zip(out[::2], out[1::2])]
-    return {"kind": 1 if len(v) == 1 else 2, "parts": [[v]] if v else []}
-
-
 def from_polyline(c, precision: int = 5) -> Column:
-    return F.udf(lambda s: parse_polyline(s, precision), G.GEOMETRY, useArrow=True)(G.col(c))
+    """The point or line of an encoded polyline; an empty text is an empty line, a text that ends early an error."""
+    text = G.col(c)
+    long = F.lit(0).cast("long")
+    chunks = F.regexp_extract_all(text, F.lit("[_-~]*[?-^]"), F.lit(0))
+    part = lambda ch: (F.ascii(ch) - 63).cast("long").bitwiseAND(F.lit(31))
+    whole = lambda s: F.aggregate(F.reverse(F.filter(F.split(s, ""), lambda x: x != "")), long, lambda n, ch: n * 32 + part(ch))
+    steps = F.transform(chunks, lambda s: G.let(whole(s), lambda n: F.when(n % 2 == 1, -F.shiftright(n, 1) - 1).otherwise(F.shiftright(n, 1))))
+    cell = lambda y, x: F.struct((x / float(10**precision)).alias("x"), (y / float(10**precision)).alias("y"), F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("m"))
+    start = F.struct(long.alias("y"), long.alias("x"), F.array().cast("array<struct<x:double,y:double,z:double,m:double>>").alias("out"))
+
+    def line(d):
+        add = lambda a, i: G.let(F.struct((a["y"] + F.get(d, 2 * i)).alias("y"), (a["x"] + F.get(d, 2 * i + 1)).alias("x")), lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x"), F.concat(a["out"], F.array(cell(s["y"], s["x"]))).alias("out")))
+        pairs = F.filter(F.sequence(F.lit(0), F.greatest(F.size(d) / 2 - 1, F.lit(0)).cast("int")), lambda i: 2 * i < F.size(d))
+        out = F.aggregate(pairs, start, add, lambda a: a["out"])
+        return G.let(out, lambda v: F.struct(F.when(F.size(v) == 1, 1).otherwise(2).alias("kind"), F.when(F.size(v) > 0, F.array(F.array(v))).otherwise(F.array().cast("array<array<array<struct<x:double,y:double,z:double,m:double>>>>")).alias("parts")))
+
+    early = (F.length(F.array_join(chunks, "")) < F.length(text)) | (F.size(chunks) % 2 == 1)
+    return F.when(text.isNull(), None).when(early, F.raise_error(F.lit("the polyline ends early")).cast(G.GEOMETRY)).otherwise(G.let(steps, line).cast(G.GEOMETRY))

@@ -56,7 +56,7 @@ def quantize(g, decimals: int) -> Column:
     """Coordinates rounded to 0 to 15 decimals, halves away from zero; vertices stay."""
     if not 0 <= decimals <= 15:
         raise ValueError("decimals must be 0 to 15")
-    return G.map_vertices(g, lambda v: G.moved(v, F.round(v["x"], decimals), F.round(v["y"], decimals)))
+    return G.map_vertices(g, lambda v: G.moved(v, *[F.round(v[k] * float(10**decimals)) / float(10**decimals) for k in "xy"]))
 
 
 def without_repeats(r: Column) -> Column:

@@ -28,7 +28,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 CUST = "SELECT c_custkey, c_nationkey, c_acctbal, ((c_custkey*7919)%36000)/100.0-180.0 AS lon, ((c_custkey*6971)%17000)/100.0-85.0 AS lat FROM customer"
 SUPP = "SELECT s_suppkey, ((s_suppkey*104729)%36000)/100.0-180.0 AS slon, ((s_suppkey*15485863)%17000)/100.0-85.0 AS slat FROM supplier"
-NATION = "SELECT n_nationkey, n_regionkey, -180.0+72*(n_nationkey%5) AS x0, -85.0+34*(n_nationkey//5) AS y0, -180.0+72*(n_nationkey%5)+72 AS x1, -85.0+34*(n_nationkey//5)+34 AS y1 FROM nation"
+NATION = "SELECT n_nationkey, n_regionkey, CAST(-180+72*(n_nationkey%5) AS DOUBLE) AS x0, CAST(-85+34*(n_nationkey//5) AS DOUBLE) AS y0, CAST(-108+72*(n_nationkey%5) AS DOUBLE) AS x1, CAST(-51+34*(n_nationkey//5) AS DOUBLE) AS y1 FROM nation"
 RING = f"SELECT c_custkey, lon, lat, i, 4+c_custkey%9 AS n, lon+(1+c_custkey%7)*cos(2*pi()*(i%(4+c_custkey%9))/(4+c_custkey%9)) AS x, lat+(1+c_custkey%7)*sin(2*pi()*(i%(4+c_custkey%9))/(4+c_custkey%9)) AS y FROM (SELECT *, unnest(generate_series(0, 4+c_custkey%9)) AS i FROM ({CUST}))"
 EDGE = f"SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({RING}) WINDOW w AS (PARTITION BY c_custkey ORDER BY i)"
 TRACK = "SELECT user_id, event_id, ts, CAST(event_id%360-180 AS DOUBLE) AS x, value AS y, epoch(ts) AS s FROM events"
@@ -301,7 +301,7 @@ def tile_children(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select("c_custkey", C.tile_parts(t).alias("t")).select("c_custkey", F.col("t.x").alias("cx"), F.col("t.y").alias("cy"))
 
 
-@register(f"SELECT c_custkey, list_aggregate(list_transform(generate_series(0, 9), i -> CAST((x//CAST(power(2, 9-i) AS BIGINT))%2+2*((y//CAST(power(2, 9-i) AS BIGINT))%2) AS VARCHAR)), 'string_agg', '') AS key FROM (SELECT c_custkey, CAST(least(1023, greatest(0, floor((lon+180)/360*1024))) AS BIGINT) AS x, CAST(least(1023, greatest(0, floor((1-ln(tan(pi()/4+radians(lat)/2))/pi())/2*1024))) AS BIGINT) AS y FROM ({CUST}))")
+@register(f"SELECT c_custkey, list_aggregate(list_transform(generate_series(0, 9), lambda i: CAST((x//CAST(power(2, 9-i) AS BIGINT))%2+2*((y//CAST(power(2, 9-i) AS BIGINT))%2) AS VARCHAR)), 'string_agg', '') AS key FROM (SELECT c_custkey, CAST(least(1023, greatest(0, floor((lon+180)/360*1024))) AS BIGINT) AS x, CAST(least(1023, greatest(0, floor((1-ln(tan(pi()/4+radians(lat)/2))/pi())/2*1024))) AS BIGINT) AS y FROM ({CUST}))")
 def quadkeys(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select("c_custkey", C.quadkey(C.tile_x(F.col("lon"), 10), C.tile_y(F.col("lat"), 10), 10).alias("key"))
 
@@ -312,12 +312,12 @@ def tile_cover_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return nations(spark, sf).select("n_nationkey", F.size(c).cast("double").alias("n"))
 
 
-@register(f"SELECT c_custkey, list_aggregate(list_transform(generate_series(0, 5), i -> substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(list_sum(list_transform(generate_series(0, 4), k -> (CASE WHEN (5*i+k)%2=0 THEN (gx//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 ELSE (gy//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 END)*CAST(power(2, 4-k) AS BIGINT))) AS BIGINT)+1, 1)), 'string_agg', '') AS code FROM (SELECT c_custkey, CAST(floor((lon+180)/360*32768) AS BIGINT) AS gx, CAST(floor((lat+90)/180*32768) AS BIGINT) AS gy FROM ({CUST}))")
+@register(f"SELECT c_custkey, list_aggregate(list_transform(generate_series(0, 5), lambda i: substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(list_sum(list_transform(generate_series(0, 4), lambda k: (CASE WHEN (5*i+k)%2=0 THEN (gx//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 ELSE (gy//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 END)*CAST(power(2, 4-k) AS BIGINT))) AS BIGINT)+1, 1)), 'string_agg', '') AS code FROM (SELECT c_custkey, CAST(floor((lon+180)/360*32768) AS BIGINT) AS gx, CAST(floor((lat+90)/180*32768) AS BIGINT) AS gy FROM ({CUST}))")
 def geohash_codes(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select("c_custkey", C.geohash(F.col("lon"), F.col("lat"), 6).alias("code"))
 
 
-@register(f"SELECT substr(list_aggregate(list_transform(generate_series(0, 5), i -> substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(list_sum(list_transform(generate_series(0, 4), k -> (CASE WHEN (5*i+k)%2=0 THEN (gx//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 ELSE (gy//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 END)*CAST(power(2, 4-k) AS BIGINT))) AS BIGINT)+1, 1)), 'string_agg', ''), 1, 2) AS value, count(*) AS count FROM (SELECT c_custkey, CAST(floor((lon+180)/360*32768) AS BIGINT) AS gx, CAST(floor((lat+90)/180*32768) AS BIGINT) AS gy FROM ({CUST})) GROUP BY 1")
+@register(f"SELECT substr(list_aggregate(list_transform(generate_series(0, 5), lambda i: substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(list_sum(list_transform(generate_series(0, 4), lambda k: (CASE WHEN (5*i+k)%2=0 THEN (gx//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 ELSE (gy//CAST(power(2, 14-(5*i+k)//2) AS BIGINT))%2 END)*CAST(power(2, 4-k) AS BIGINT))) AS BIGINT)+1, 1)), 'string_agg', ''), 1, 2) AS value, count(*) AS count FROM (SELECT c_custkey, CAST(floor((lon+180)/360*32768) AS BIGINT) AS gx, CAST(floor((lat+90)/180*32768) AS BIGINT) AS gy FROM ({CUST})) GROUP BY 1")
 def geohash_counts(spark: SparkSession, sf: str) -> DataFrame:
     return A.value_counts(customers(spark, sf).select(C.geohash(F.col("lon"), F.col("lat"), 2).alias("code")), "code")
 
@@ -328,12 +328,12 @@ def geohash_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select("c_custkey", b.alias("b")).select("c_custkey", "b.minx", "b.miny")
 
 
-@register(f"SELECT c_custkey, list_sum(list_transform(generate_series(0, 15), i -> ((x//CAST(power(2,i) AS BIGINT))%2)*CAST(power(4,i) AS BIGINT)+((y//CAST(power(2,i) AS BIGINT))%2)*2*CAST(power(4,i) AS BIGINT))) AS key FROM (SELECT c_custkey, CAST(trunc((lon/2+90)/180*65535) AS BIGINT) AS x, CAST(trunc((lat/2+45)/90*65535) AS BIGINT) AS y FROM ({CUST}))")
+@register(f"SELECT c_custkey, list_sum(list_transform(generate_series(0, 15), lambda i: ((x//CAST(power(2,i) AS BIGINT))%2)*CAST(power(4,i) AS BIGINT)+((y//CAST(power(2,i) AS BIGINT))%2)*2*CAST(power(4,i) AS BIGINT))) AS key FROM (SELECT c_custkey, CAST(trunc((lon/2+90)/180*65535) AS BIGINT) AS x, CAST(trunc((lat/2+45)/90*65535) AS BIGINT) AS y FROM ({CUST}))")
 def morton_keys(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select("c_custkey", C.spatial_key("cust_pt", -180, -90, 180, 90, curve="morton").cast("decimal(38,0)").alias("key"))
 
 
-@register(f"SELECT c_custkey FROM (SELECT c_custkey, list_sum(list_transform(generate_series(0, 15), i -> ((x//CAST(power(2,i) AS BIGINT))%2)*CAST(power(4,i) AS BIGINT)+((y//CAST(power(2,i) AS BIGINT))%2)*2*CAST(power(4,i) AS BIGINT))) AS key FROM (SELECT c_custkey, CAST(trunc((lon/2+90)/180*65535) AS BIGINT) AS x, CAST(trunc((lat/2+45)/90*65535) AS BIGINT) AS y FROM ({CUST}))) ORDER BY key, c_custkey LIMIT 100")
+@register(f"SELECT c_custkey FROM (SELECT c_custkey, list_sum(list_transform(generate_series(0, 15), lambda i: ((x//CAST(power(2,i) AS BIGINT))%2)*CAST(power(4,i) AS BIGINT)+((y//CAST(power(2,i) AS BIGINT))%2)*2*CAST(power(4,i) AS BIGINT))) AS key FROM (SELECT c_custkey, CAST(trunc((lon/2+90)/180*65535) AS BIGINT) AS x, CAST(trunc((lat/2+45)/90*65535) AS BIGINT) AS y FROM ({CUST}))) ORDER BY key, c_custkey LIMIT 100")
 def zorder_topk(spark: SparkSession, sf: str) -> DataFrame:
     key = C.spatial_key("cust_pt", -180, -90, 180, 90, curve="morton")
     return customers(spark, sf).orderBy(key, "c_custkey").limit(100).select("c_custkey")
@@ -371,7 +371,7 @@ def utm_zones(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select("c_custkey", D.utm_zone(F.col("lon"), F.col("lat")).alias("epsg"))
 
 
-@register(f"SELECT n_regionkey, count(*)*72.0*34.0 AS area FROM ({NATION}) GROUP BY 1")
+@register(f"SELECT n_regionkey, CAST(count(*)*72*34 AS DOUBLE) AS area FROM ({NATION}) GROUP BY 1")
 def dissolve_areas(spark: SparkSession, sf: str) -> DataFrame:
     g = A.dissolve(nations(spark, sf).select("n_regionkey", "nation_box"), ["n_regionkey"], "nation_box")
     return g.select("n_regionkey", r(M.area("nation_box")).alias("area"))
