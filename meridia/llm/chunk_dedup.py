@@ -19,7 +19,7 @@ from ._common import Scratch, column, mix
 #: A number for each byte; from a rule, not a table.
 GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 #: Shortest and longest chunk in bytes; bits that are zero at a cut, so chunks have about 2^BITS + LEAST bytes.
-LEAST, MOST, BITS = 24, 512, 6
+LEAST, MOST, BITS = 16, 512, 5
 
 
 def cuts(text: bytes) -> list[int]:
