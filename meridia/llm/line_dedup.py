@@ -92,6 +92,9 @@ class _Lines:
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         one = mix(self.token)
         self.k1, self.k2 = np.add.reduceat(one, self.start), np.add.reduceat(mix(one * M2), self.start)
+        # parity bitmaps: two lines differ in at least as many words as their bitmaps do in bits
+        bit, half = np.uint64(1) << (one & np.uint64(63)), (one & np.uint64(64)) > 0
+        self.p1, self.p2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), self.start) for x in (half, ~half))
         self.fresh = np.zeros(len(n), bool)  # long enough, and not met before in this task
         for i, key in enumerate(zip(self.k1.tolist(), self.k2.tolist())):
             if self.size[i] >= least and key not in seen:
@@ -128,7 +131,7 @@ def _index(num: int, den: int, least: int, shared):
             # a word counted once is in no other line; its place in the prefix is spent all the same
             keep = x.fresh[x.line] & (at < prefix[x.line]) & (x.level > 1)
             i = x.line[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x.token[keep].view(np.int64)), pa.array(at[keep].astype(np.int32)), pa.array(x.size[i].astype(np.int32)), pa.array(x.k1[i].view(np.int64)), pa.array(x.k2[i].view(np.int64))], names=["token", "at", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.token[keep].view(np.int64)), pa.array(at[keep].astype(np.int32)), pa.array(x.size[i].astype(np.int32)), pa.array(x.k1[i].view(np.int64)), pa.array(x.k2[i].view(np.int64)), pa.array(x.p1[i].view(np.int64)), pa.array(x.p2[i].view(np.int64))], names=["token", "at", "n", "k1", "k2", "p1", "p2"])
 
     return run
 
@@ -162,26 +165,31 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     shared = docs.sparkSession.sparkContext.broadcast(merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS).tobytes())
     lines = seen.where("block is null").select("doc_id", "line_no", "n", "k1", "k2")
     first = tables.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "sets")
-    entries = tables.save(raw.mapInArrow(_index(num, den, min_words, shared), "token long, at int, n int, k1 long, k2 long"), "entries")
+    entries = tables.save(raw.mapInArrow(_index(num, den, min_words, shared), "token long, at int, n int, k1 long, k2 long, p1 long, p2 long"), "entries")
     several = tables.save(entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"), "several")
-    entries = entries.join(several, "token").distinct()
-    members = tables.save(entries.join(first.select("k1", "k2", "first"), ["k1", "k2"]), "members")
+    # distinct after the join, whose exchange on k1 and k2 serves both
+    members = tables.save(entries.join(several, "token").join(first.select("k1", "k2", "first"), ["k1", "k2"]).distinct(), "members")
     tables.drop("entries", "several")
-    wanted = members.select("first").distinct().select(F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("no"), "first")
     line = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    texts = tables.save(line.join(wanted, ["id", "no"]).groupBy("first").agg(F.max("line").alias("line")), "texts")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (k1, k2, later, earlier), those whose lines are similar, one row a later line."""
+        pairs = tables.save(pairs, f"{name}-pairs")
+        both = pairs.select(F.col("later").alias("first")).union(pairs.select("earlier")).distinct()
+        wanted = tables.save(both.select(F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("no"), "first"), f"{name}-wanted")
+        texts = tables.save(line.join(wanted, ["id", "no"]).groupBy("first").agg(F.max("line").alias("line")), f"{name}-texts")
         near = pairs.join(texts.select(F.col("first").alias("later"), F.col("line").cast("binary").alias("x")), "later").join(texts.select(F.col("first").alias("earlier"), F.col("line").cast("binary").alias("y")), "earlier")
         near = near.select("k1", "k2", F.lit(0).alias("u"), F.lit(0).alias("v"), "x", "y")
-        return tables.save(near.mapInArrow(_verify(num, den), "k1 long, k2 long, u int, v int").select("k1", "k2").distinct(), name)
+        out = tables.save(near.mapInArrow(_verify(num, den), "k1 long, k2 long, u int, v int").select("k1", "k2").distinct(), name)
+        tables.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
+        return out
 
-    # the rest of both lines after the shared word, and the lengths, bound the overlap from above
+    # the rest of both lines after the shared word, the lengths and the bitmaps bound the overlap from above
     m, o = F.col("m"), F.col("n")
     most = F.least("at", "bt") + 1 + F.least(o - F.col("at"), m - F.col("bt")) - 1
-    able = (den * F.least(o, m) >= num * F.greatest(o, m)) & ((num + den) * most >= num * (o + m))
-    mine = members.select("token", F.col("at").alias("bt"), F.col("n").alias("m"), F.col("first").alias("earlier"))
+    differ = F.bit_count(F.col("p1").bitwiseXOR(F.col("q1"))) + F.bit_count(F.col("p2").bitwiseXOR(F.col("q2")))
+    able = (den * F.least(o, m) >= num * F.greatest(o, m)) & ((num + den) * most >= num * (o + m)) & ((num + den) * differ <= (den - num) * (o + m))
+    mine = members.select("token", F.col("at").alias("bt"), F.col("n").alias("m"), F.col("first").alias("earlier"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
     found, open_ = None, members
     for r in range(rounds + 1):
         other = mine
@@ -193,6 +201,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
         found = new if found is None else found.union(new)
         if r < rounds:
             open_ = tables.save(open_.join(new, ["k1", "k2"], "left_anti"), f"open{r}")
+            tables.drop(f"earliest{r}", *([f"open{r - 1}"] if r else []))
     gone = found.distinct().select("k1", "k2", F.lit(True).alias("similar"))
     known = tables.save(first.join(gone, ["k1", "k2"], "left").where("copies > 1 or similar").select("k1", "k2", "first", F.coalesce("similar", F.lit(False)).alias("similar")), "known")
     return lines.join(known, ["k1", "k2"]).where(F.col("similar") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
