@@ -96,7 +96,7 @@ def train(labelled: DataFrame, *, smooth: float = 0.5, most_languages: int = 500
 
 def _predict(langs: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, model = _letters(), np.frombuffer(shared.value, np.float32).reshape(len(langs), -1)
+        letters, model = _letters(), np.frombuffer(shared.value, np.float32).reshape(len(langs), (1 << BITS) + 1)
         for batch in batches:
             texts = column(batch, "text")
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
