@@ -422,7 +422,7 @@ def ring_triangles(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"SELECT c_custkey, round((1+c_custkey%7)*cos(pi()/(4+c_custkey%9)),1) AS distance FROM customer WHERE c_custkey%20=0")
 def ring_poles(spark: SparkSession, sf: str) -> DataFrame:
-    p = rings(spark, sf).where("c_custkey % 20 = 0").select("c_custkey", K.polylabel("cust_ring", 0.0001).alias("p"))
+    p = rings(spark, sf).select("c_custkey", K.polylabel("cust_ring", 0.0001).alias("p"))
     return p.select("c_custkey", r(F.col("p.distance"), 1).alias("distance"))
 
 
@@ -462,7 +462,7 @@ def line_locate(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"SELECT user_id, round(sum(sqrt(power(x2-x,2)+power(y2-y,2)))/4,3) AS length FROM ({STEP}) WHERE x2 IS NOT NULL AND user_id%10=0 GROUP BY 1")
 def line_substring(spark: SparkSession, sf: str) -> DataFrame:
     n = M.length("traj")
-    return tracks(spark, sf).where("user_id % 10 = 0").select("user_id", r(M.length(L.substring("traj", n / 4, n / 2)), 3).alias("length"))
+    return tracks(spark, sf).select("user_id", r(M.length(L.substring("traj", n / 4, n / 2)), 3).alias("length"))
 
 
 @register(f"SELECT c_custkey, 2*(4+c_custkey%9)+1 AS n FROM customer")
