@@ -114,17 +114,21 @@ def chaikin(g, iterations: int = 1, *, keep_endpoints: bool = True) -> Column:
     return out
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clip_by_box(g, minx, miny, maxx, maxy) -> Column:
     """Polygons and points cut to a box (Sutherland-Hodgman: exact for convex rings; others keep bridging edges on the box)."""
     a, b, c, d = map(G.number, (minx, miny, maxx, maxy))
 
     def half(r, inside, where):
         def step(p, q):
-            cross = F.array(where(p, q))
-            none = F.slice(cross, 1, 0)
-            return F.concat(F.when(inside(p) != inside(q), cross).otherwise(none), F.when(inside(q), F.array(q)).otherwise(F.slice(F.array(q), 1, 0)))
+            none = F.slice(F.array(q), 1, 0)
+            return F.concat(F.when(inside(p) != inside(q), F.array(where(p, q))).otherwise(none), F.when(inside(q), F.array(q)).otherwise(none))
 
-        return G.closed(F.flatten(G.pairs(r, step)))
+        return _once(_once(r, lambda r: F.flatten(G.pairs(r, step))), G.closed)
 
     def at_x(x):
         return lambda p, q: G.moved(p, x, p["y"] + (q["y"] - p["y"]) * (x - p["x"]) / (q["x"] - p["x"]))
@@ -140,7 +144,7 @@ def clip_by_box(g, minx, miny, maxx, maxy) -> Column:
 
     dots = F.filter(G.parts(g), lambda p: (p[0][0]["x"] >= a) & (p[0][0]["x"] <= c) & (p[0][0]["y"] >= b) & (p[0][0]["y"] <= d))
     points = F.when(G.col(g).isNotNull(), F.struct(G.kind(g).alias("kind"), dots.alias("parts")))
-    return F.when(G.dimension(g) == 0, points).otherwise(_without_degenerate(G.map_rings(g, clip)))
+    return F.when(G.dimension(g) == 0, points).otherwise(_once(G.map_rings(g, clip), _without_degenerate))
 
 
 def regular_polygon(x, y, radius, corners, turn=0.0) -> Column:

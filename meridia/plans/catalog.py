@@ -385,7 +385,10 @@ def coverage_outline(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"SELECT c_custkey, round(72.0*34.0,6) AS area FROM ({CUST}) WHERE c_custkey%50=0")
 def clip_rings(spark: SparkSession, sf: str) -> DataFrame:
-    g = customers(spark, sf).where("c_custkey % 50 = 0").select("c_custkey", P.clip_by_box(G.box(-180, -90, 180, 90), F.col("lon") - F.col("lon"), 0.0, 72.0, 34.0).alias("g"))
+    """Area of each customer's ring within the nation box that its centre lies in."""
+    b = F.broadcast(nations(spark, sf).select("x0", "y0"))
+    inside = (F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x0") + 72) & (F.col("lat") >= F.col("y0")) & (F.col("lat") < F.col("y0") + 34)
+    g = rings(spark, sf).join(b, inside, "left").select("c_custkey", P.clip_by_box("cust_ring", F.col("x0"), F.col("y0"), F.col("x0") + 72, F.col("y0") + 34).alias("g"))
     return g.select("c_custkey", r(M.area("g")).alias("area"))
 
 
