@@ -23,6 +23,8 @@ LINES, BYTES = 1 << 12, 1 << 20
 SEEN = 1_000_000
 #: Bits of a word hash that tell words of a line apart, next to 12 for the line and 6 for its rarity.
 BITS = 46
+#: Lines under so many distinct words have digests of whole word hashes.
+SHORT = 3
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -83,7 +85,7 @@ class _Lines:
     """Of some lines: their distinct words, rarest first, one after the other; sizes, starts and digests."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray, rows: np.ndarray | None, seen: set, least: int):
-        h = h >> np.uint64(64 - BITS)
+        whole, h = h, h >> np.uint64(64 - BITS)
         level = np.zeros(len(h), np.uint64) if rows is None else rarity(rows, mix(h)).astype(np.uint64)
         code = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(64 - 12)) | (level << np.uint64(BITS)) | h)
         self.line = (code >> np.uint64(64 - 12)).astype(np.int64)
@@ -92,6 +94,15 @@ class _Lines:
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         one = mix(self.token)
         self.k1, self.k2 = np.add.reduceat(one, self.start), np.add.reduceat(mix(one * M2), self.start)
+        if len(short := np.flatnonzero(self.size < SHORT)):  # nothing compares their texts: digests of whole hashes
+            mine = np.repeat(self.size < SHORT, n)
+            owner = np.repeat(np.arange(len(n)), n)[mine]
+            order = np.lexsort((whole[mine], owner))
+            owner, w = owner[order], whole[mine][order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (w[1:] != w[:-1])])
+            owner, w = owner[new], mix(w[new])
+            begin = np.searchsorted(owner, short)
+            self.k1[short], self.k2[short] = np.add.reduceat(w, begin), np.add.reduceat(mix(w * M2), begin)
         # parity bitmaps: two lines differ in at least as many words as their bitmaps do in bits
         bit, half = np.uint64(1) << (one & np.uint64(63)), (one & np.uint64(64)) > 0
         self.p1, self.p2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), self.start) for x in (half, ~half))
@@ -104,12 +115,14 @@ class _Lines:
                 seen.add(key)
 
 
-def _measure(least: int):
+def _measure(least: int, near: int):
+    """Lines of `least` distinct words or more; the sketch counts words of those with `near` or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch, seen = WordHash(), Sketch(CELLS), set()
         names = ["doc_id", "line_no", "n", "k1", "k2", "block", "counts"]
         for ids, nos, h, n in (y for x in _chunks(batches) for y in _words(*x, hashes)):
-            x = _Lines(h, n, None, seen, least)
+            x = _Lines(h, n, None, seen, near)
             sketch.add(mix(x.token[x.fresh[x.line]]))
             keep = np.flatnonzero(x.size >= least)
             none = pa.nulls(len(keep))
@@ -161,11 +174,13 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     """
     tables = Scratch(docs.sparkSession, "line-dedup")
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    seen = tables.save(raw.mapInArrow(_measure(min_words), "doc_id long, line_no int, n int, k1 long, k2 long, block int, counts binary"), "measured")
+    # sets of fewer words than this are similar to equal sets only, which the digests find: no index entries
+    near = max(min_words, -(-num // (den - num))) if num < den else 1 << 30
+    seen = tables.save(raw.mapInArrow(_measure(min_words, near), "doc_id long, line_no int, n int, k1 long, k2 long, block int, counts binary"), "measured")
     shared = docs.sparkSession.sparkContext.broadcast(merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS).tobytes())
     lines = seen.where("block is null").select("doc_id", "line_no", "n", "k1", "k2")
     first = tables.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "sets")
-    entries = tables.save(raw.mapInArrow(_index(num, den, min_words, shared), "token long, at int, n int, k1 long, k2 long, p1 long, p2 long"), "entries")
+    entries = tables.save(raw.mapInArrow(_index(num, den, near, shared), "token long, at int, n int, k1 long, k2 long, p1 long, p2 long"), "entries")
     several = tables.save(entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"), "several")
     # distinct after the join, whose exchange on k1 and k2 serves both
     members = tables.save(entries.join(several, "token").join(first.select("k1", "k2", "first"), ["k1", "k2"]).distinct(), "members")
