@@ -66,11 +66,19 @@ def _find(dictionary: frozenset[bytes]):
     return run
 
 
-def common_words(docs: DataFrame, *, most_docs: int = 2_000, most_words: int = 5_000) -> list[str]:
-    """A dictionary: the commonest lower-case words of a bounded sample of documents, by a hash of doc_id."""
-    some = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    words = some.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,15}\b"), F.lit(0))).alias("w"))
-    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most_words).collect()]
+def common_words(docs: DataFrame, *, most_words: int = 5_000) -> list[str]:
+    """A dictionary: the commonest lower-case words of all documents, of three letters or more; of equal ones the first by letters."""
+    tables = Scratch(docs.sparkSession, "words")
+    words = docs.where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))).alias("w"))
+    counts = tables.save(words.groupBy("w").agg(F.count("*").alias("n")), "counts")
+    # the least count first: the top is then taken from few rows, however many tasks have counted
+    least, have = 1, 0
+    for least, n in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        if (have := have + n) >= most_words:
+            break
+    out = [r["w"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most_words).collect()]
+    tables.drop("counts")
+    return out
 
 
 def candidates(docs: DataFrame, dictionary: list[str]) -> DataFrame:
