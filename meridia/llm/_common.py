@@ -54,6 +54,14 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """`name`, or with underscores after it what no column of the frames is called, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, spark: SparkSession, *by) -> DataFrame:
     """Rows dealt evenly over as many partitions as shuffles have."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

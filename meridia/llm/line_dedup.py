@@ -1,8 +1,9 @@
 """Line deduplication by an exact set-similarity join.
 
 The words of a line are ordered by rarity; two lines whose word sets reach the similarity share one of
-their rarest words within a prefix. Length and position of that word bound the overlap before lines
-are compared. Of similar lines the later one goes.
+their rarest words within a prefix, or, where those are frequent, a pair of them. Entries are dealt by
+key into buckets; there length, position and parity bitmaps bound the overlap before word sets are
+compared. Of similar lines the later one goes.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import M2, Scratch, Sketch, WordHash, column, merge_sketches, mix, rarity
+from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity
+from .ngram_join import levels, prefix_entries
 
 CELLS = 1 << 21
 #: Lines and bytes of text handled at once.
 LINES, BYTES = 1 << 12, 1 << 20
 #: Digests that a task remembers to pass over exact copies early.
 SEEN = 1_000_000
-#: Bits of a word hash that tell words of a line apart, next to 12 for the line and 6 for its rarity.
-BITS = 46
+#: Bits of a word hash that tell words of a line apart, next to 12 for the line and 6 for its rarity; bytes of them.
+BITS, WIDE = 46, 6
 #: Lines under so many distinct words have digests of whole word hashes.
 SHORT = 3
+#: Entries that a task gathers before it deals them out, of a bucket on average, and of one in memory at most.
+GATHER, BUCKET, MOST = 1 << 19, 1 << 17, 1 << 20
+#: Lines of a key that stay in memory when a bucket exceeds MOST.
+HEADS = 4096
+#: Parity bits of a line in the second search.
+PARITY = 1024
+#: What an entry holds, each field as that many planes of bytes.
+FIELDS = {"key": ("<u8", 6), "doc": ("<i8", 8), "line": ("<i4", 4), "n": ("<i4", 4), "at": ("<i4", 4), "k": ("<u4", 4), "p1": ("<u8", 8), "p2": ("<u8", 8)}
+PLANES = sum(w for _, w in FIELDS.values())
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -81,157 +92,394 @@ def _lines_of(ids: list, texts: list[bytes], hashes: WordHash) -> Iterator[tuple
         yield np.array(ids)[doc], which - np.searchsorted(breaks, first)[doc], h, n
 
 
-class _Lines:
-    """Of some lines: their distinct words, rarest first, one after the other; sizes, starts and digests."""
-
-    def __init__(self, h: np.ndarray, n: np.ndarray, rows: np.ndarray | None, seen: set, least: int):
-        whole, h = h, h >> np.uint64(64 - BITS)
-        level = np.zeros(len(h), np.uint64) if rows is None else rarity(rows, mix(h)).astype(np.uint64)
-        code = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(64 - 12)) | (level << np.uint64(BITS)) | h)
-        self.line = (code >> np.uint64(64 - 12)).astype(np.int64)
-        self.level, self.token = (code >> np.uint64(BITS)) & np.uint64(63), code & np.uint64((1 << BITS) - 1)
-        self.size = np.bincount(self.line, minlength=len(n))
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        one = mix(self.token)
-        self.k1, self.k2 = np.add.reduceat(one, self.start), np.add.reduceat(mix(one * M2), self.start)
-        if len(short := np.flatnonzero(self.size < SHORT)):  # nothing compares their texts: digests of whole hashes
-            mine = np.repeat(self.size < SHORT, n)
-            owner = np.repeat(np.arange(len(n)), n)[mine]
-            order = np.lexsort((whole[mine], owner))
-            owner, w = owner[order], whole[mine][order]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (w[1:] != w[:-1])])
-            owner, w = owner[new], mix(w[new])
-            begin = np.searchsorted(owner, short)
-            self.k1[short], self.k2[short] = np.add.reduceat(w, begin), np.add.reduceat(mix(w * M2), begin)
-        # parity bitmaps: two lines differ in at least as many words as their bitmaps do in bits
-        bit, half = np.uint64(1) << (one & np.uint64(63)), (one & np.uint64(64)) > 0
-        self.p1, self.p2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), self.start) for x in (half, ~half))
-        self.fresh = np.zeros(len(n), bool)  # long enough, and not met before in this task
-        for i, key in enumerate(zip(self.k1.tolist(), self.k2.tolist())):
-            if self.size[i] >= least and key not in seen:
-                self.fresh[i] = True
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def _sets(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words of each line, their number, two digests of the set) from all words of some lines."""
+    code = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(64 - 12), n) | (h >> np.uint64(64 - BITS))
+    code.sort()
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+    size = np.bincount((code >> np.uint64(64 - 12)).astype(np.int64), minlength=len(n))
+    token, start = code & np.uint64((1 << BITS) - 1), _starts(size)
+    one = mix(token)
+    k1, k2 = np.add.reduceat(one, start), np.add.reduceat(one * one, start)
+    if len(short := np.flatnonzero(size < SHORT)):  # nothing compares their words: digests of whole hashes
+        many = n[short]
+        owner = np.repeat(np.arange(len(short)), many)
+        w = h[np.arange(len(owner)) + np.repeat(_starts(n)[short] - _starts(many), many)]
+        order = np.lexsort((w, owner))
+        owner, w = owner[order], w[order]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (w[1:] != w[:-1])])
+        owner, w = owner[new], mix(w[new])
+        begin = np.searchsorted(owner, np.arange(len(short)))
+        k1[short], k2[short] = np.add.reduceat(w, begin), np.add.reduceat(w * w, begin)
+    return token, size, k1, k2
+
+
+def _pack(tokens: np.ndarray, sizes: np.ndarray, have: np.ndarray) -> pa.Array:
+    """Word sets as bytes, one value a line; null where `have` is false."""
+    data = np.ascontiguousarray(tokens[np.repeat(have, sizes)].view(np.uint8).reshape(-1, 8)[:, :WIDE])
+    offsets = np.concatenate([[0], np.cumsum(np.where(have, sizes, 0))]) * WIDE
+    bits = np.packbits(have, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(bits), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpack(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all lines, number of each line's) of _pack's values, none of them null."""
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, WIDE)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :WIDE] = data
+    return out.view("<u8").reshape(-1), np.diff(at) // WIDE
+
+
+SEEN_LINES = "doc_id long, line_no int, n int, k1 long, k2 long, words binary, block int, counts binary"
 
 
 def _measure(least: int, near: int):
-    """Lines of `least` distinct words or more; the sketch counts words of those with `near` or more."""
+    """Lines of `least` distinct words or more; those of `near` or more come with their words, and the sketch counts these."""
+    names = [x.split()[0] for x in SEEN_LINES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch, seen = WordHash(), Sketch(CELLS), set()
-        names = ["doc_id", "line_no", "n", "k1", "k2", "block", "counts"]
+        hashes, sketch, seen, high = WordHash(), Sketch(CELLS), {}, None
         for ids, nos, h, n in (y for x in _chunks(batches) for y in _words(*x, hashes)):
-            x = _Lines(h, n, None, seen, near)
-            sketch.add(mix(x.token[x.fresh[x.line]]))
-            keep = np.flatnonzero(x.size >= least)
-            none = pa.nulls(len(keep))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(nos[keep].astype(np.int32)), pa.array(x.size[keep], pa.int32()), pa.array(x.k1[keep].view(np.int64)), pa.array(x.k2[keep].view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            token, size, k1, k2 = _sets(h, n)
+            fresh = size >= near
+            # a copy is passed over if its first one stands before it; ids that rise within the task show that
+            rises = high is None or (ids[0] >= high and (ids[1:] >= ids[:-1]).all())
+            high = max(int(ids.max()), high if high is not None else int(ids.max()))
+            if rises:
+                for i, a, b in zip(np.flatnonzero(fresh).tolist(), k1[fresh].tolist(), k2[fresh].tolist()):
+                    if seen.get(a) == b:
+                        fresh[i] = False
+                    elif len(seen) < SEEN:
+                        seen[a] = b
+            sketch.add(mix(token[np.repeat(fresh, size)]))
+            keep = size >= least
+            none = pa.nulls(int(keep.sum()))
+            words = _pack(token[np.repeat(keep, size)], size[keep], fresh[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(nos[keep].astype(np.int32)), pa.array(size[keep].astype(np.int32)), pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), words, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for block, counts in sketch.blocks():
             none = pa.nulls(1)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=names)
 
     return run
 
 
-def _index(num: int, den: int, least: int, shared):
+class _Ordered:
+    """Of some lines: words rarest first, one line after the other, with their rarity; sizes and starts."""
+
+    def __init__(self, token: np.ndarray, size: np.ndarray, rows: np.ndarray):
+        code = np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(64 - 12), size) | (rarity(rows, mix(token)).astype(np.uint64) << np.uint64(BITS)) | token
+        code.sort()
+        self.token, self.level = code & np.uint64((1 << BITS) - 1), ((code >> np.uint64(BITS)) & np.uint64(63)).astype(np.uint8)
+        self.size, self.start = size, _starts(size)
+        self.line = np.repeat(np.arange(len(size)), size)
+        self.at = np.arange(len(token)) - self.start[self.line]
+        self.one = mix(token)  # within a line in another order, which sums and parities don't see
+
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two lines differ in at least as many words as their bitmaps of 128 bits do in bits."""
+        bit, half = np.uint64(1) << (self.one & np.uint64(63)), (self.one & np.uint64(64)) > 0
+        return tuple(np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), self.start) for x in (half, ~half))
+
+    def digests(self) -> np.ndarray:
+        return np.add.reduceat(self.one, self.start)
+
+    def entries(self, num: int, den: int, limit: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key of 48 bits, line, position or -1 of a pair of words) of all index entries.
+
+        Lines without a frequent word in their prefix have its words one by one. Lines with one have
+        the combinations of prefix_entries: a word frequent for one line is so for all, so the two
+        kinds of lines meet in single rare words.
+        """
+        prefix = (self.size - -(-num * self.size // den) + 1)[self.line]
+        inside = self.at < prefix
+        often = np.zeros(len(self.size), bool)
+        often[self.line[inside & (self.level > limit)]] = True
+        # a word counted once is in no other line; its place in the prefix is spent all the same
+        keep = inside & (self.level > 1) & ~often[self.line]
+        keys, lines, ats = [mix(self.token[keep])], [self.line[keep]], [self.at[keep]]
+        for i in np.flatnonzero(often):
+            t, rare = self.token[self.start[i] : self.start[i] + self.size[i]], self.level[self.start[i] : self.start[i] + self.size[i]]
+            e = prefix_entries(t, rare, limit, num, den, bounds)
+            order = np.argsort(t)
+            found = np.minimum(np.searchsorted(t[order], e), len(t) - 1)
+            single = t[order][found] == e
+            at = np.where(single, order[found], -1)
+            good = ~single | (rare[at] > 1)
+            keys.append(mix(e[good]))
+            lines.append(np.full(int(good.sum()), i))
+            ats.append(at[good])
+        return np.concatenate(keys) >> np.uint64(16), np.concatenate(lines), np.concatenate(ats)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most LINES rows and about BYTES of words; a longer row comes alone."""
+    at = np.frombuffer(batch.column("words").buffers()[1], np.int32)[batch.column("words").offset :]
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(at[: batch.num_rows + 1], int(at[a]) + BYTES, "right")) - 1
+        b = min(max(b, a + 1), a + LINES, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _index(num: int, den: int, shared, limit: int, buckets: int):
+    """Blobs of entries by bucket, their fields as planes of bytes, so that equal bytes stand together."""
+
+    def deal(parts: dict[str, list]) -> pa.RecordBatch:
+        flat = {k: np.concatenate(parts[k]).astype(kind) for k, (kind, _) in FIELDS.items()}
+        bucket = flat["key"] % np.uint64(buckets)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        planes, row = np.empty((PLANES, len(order)), np.uint8), 0
+        for k, (kind, w) in FIELDS.items():
+            planes[row : row + w] = flat[k][order].view(np.uint8).reshape(len(order), -1)[:, :w].T
+            row += w
+        which, first = np.unique(bucket[order], return_index=True)
+        blobs = [planes[:, a:b].tobytes() for a, b in zip(first, [*first[1:], len(order)])]
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, rows = WordHash(), set(), np.frombuffer(shared.value, np.uint8).reshape(2, -1)
-        for _, _, h, n in (y for x in _chunks(batches) for y in _words(*x, hashes)):
-            x = _Lines(h, n, rows, seen, least)
-            at = np.arange(len(x.line)) - x.start[x.line]
-            prefix = x.size - -(-num * x.size // den) + 1
-            # a word counted once is in no other line; its place in the prefix is spent all the same
-            keep = x.fresh[x.line] & (at < prefix[x.line]) & (x.level > 1)
-            i = x.line[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x.token[keep].view(np.int64)), pa.array(at[keep].astype(np.int32)), pa.array(x.size[i].astype(np.int32)), pa.array(x.k1[i].view(np.int64)), pa.array(x.k2[i].view(np.int64)), pa.array(x.p1[i].view(np.int64)), pa.array(x.p2[i].view(np.int64))], names=["token", "at", "n", "k1", "k2", "p1", "p2"])
+        rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
+        parts, waiting = {k: [] for k in FIELDS}, 0
+        for part in (y for x in batches for y in _slices(x)):
+            x = _Ordered(*_unpack(part.column("words")), rows)
+            key, line, at = x.entries(num, den, limit, bounds)
+            p1, p2 = x.parities()
+            doc, no = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line_no"))
+            for k, v in (("key", key), ("doc", doc[line]), ("line", no[line]), ("n", x.size[line]), ("at", at), ("k", (x.digests() >> np.uint64(32))[line]), ("p1", p1[line]), ("p2", p2[line])):
+                parts[k].append(v)
+            waiting += len(key)
+            if waiting > GATHER:
+                yield deal(parts)
+                parts, waiting = {k: [] for k in FIELDS}, 0
+        if waiting:
+            yield deal(parts)
 
     return run
 
 
+def _arranged(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Entries by key, document and line, without keys of one line; of exact copies the earliest stays."""
+    order = np.argsort((e["key"] << np.uint64(16)) | (e["k"] >> np.uint32(16)).astype(np.uint64))
+    key = e["key"][order]
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    order = order[same | np.concatenate([same[1:], [False]])]
+    if not len(order):
+        return {k: v[:0] for k, v in e.items()}
+    e = {k: v[order] for k, v in e.items()}
+    new = np.concatenate([[True], np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in ("key", "k", "n", "p1", "p2")])])
+    run = np.flatnonzero(new)
+    owner = np.cumsum(new) - 1
+    doc = np.minimum.reduceat(e["doc"], run)
+    line = np.minimum.reduceat(np.where(e["doc"] == doc[owner], e["line"], np.iinfo(np.int32).max), run)
+    e = {k: v[run] for k, v in e.items()} | {"doc": doc, "line": line}
+    order = np.lexsort((e["line"], e["doc"], e["key"]))
+    return {k: v[order] for k, v in e.items()}
+
+
+def _candidates(e: dict[str, np.ndarray], num: int, den: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, open): places of pairs that may be similar, and of lines left with earlier ones not looked at.
+
+    A line meets those before it under the same key, the nearest first, until `first` of them may be similar.
+    """
+    key = e["key"]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    have, more, out = np.zeros(len(key), np.int32), np.zeros(len(key), bool), [(np.zeros(0, np.int64),) * 2]
+    n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
+    before, after = np.where(at < 0, 1 << 30, at), n - np.maximum(at, 0)  # most shared words ahead of this one, and from it on
+    j, d = np.arange(len(key)), 0
+    while True:
+        d += 1
+        j = j[j - begin[j] >= d]
+        full = have[j] >= first
+        more[j[full]] = True
+        j = j[~full]
+        if not len(j):
+            break
+        i = j - d
+        both = n[i] + n[j]
+        able = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & ((num + den) * (np.minimum(before[i], before[j]) + np.minimum(after[i], after[j])) >= num * both)
+        able &= (e["doc"][i] < e["doc"][j]) | (e["line"][i] < e["line"][j])
+        a, b, both = i[able], j[able], both[able]
+        differ = np.bitwise_count(e["p1"][a] ^ e["p1"][b]).astype(np.int64) + np.bitwise_count(e["p2"][a] ^ e["p2"][b])
+        good = (num + den) * differ <= (den - num) * both
+        have[b[good]] += 1
+        out.append((b[good], a[good]))
+    later, earlier = (np.concatenate(x) for x in zip(*out))
+    return later, earlier, np.flatnonzero(more)
+
+
+PAIRS = "doc_id long, line_no int, doc2 long, line2 int"
+
+
+def _search(num: int, den: int, first: int, most: int, heads: int):
+    """Pairs (later, earlier) of one bucket; rows without an earlier line name those with more to look at."""
+
+    def found(e: dict[str, np.ndarray], crowded: np.ndarray) -> pa.RecordBatch:
+        later, earlier, more = _candidates(e, num, den, first)
+        more = np.union1d(more, np.flatnonzero(np.isin(e["key"], crowded)))
+        i = np.concatenate([later, more])
+        lost = pa.nulls(len(more))
+        return pa.RecordBatch.from_arrays([pa.array(e["doc"][i]), pa.array(e["line"][i]), pa.chunked_array([pa.array(e["doc"][earlier], pa.int64()), lost.cast(pa.int64())]).combine_chunks(), pa.chunked_array([pa.array(e["line"][earlier], pa.int32()), lost.cast(pa.int32())]).combine_chunks()], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting, crowded = {k: [] for k in FIELDS}, 0, np.zeros(0, np.uint64)
+        for blob in (x.as_py() for batch in batches for x in batch.column(batch.schema.get_field_index("entries"))):
+            planes = np.frombuffer(blob, np.uint8).reshape(PLANES, -1)
+            row = 0
+            for k, (kind, w) in FIELDS.items():
+                out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+                out[:, :w] = planes[row : row + w].T
+                parts[k].append(out.view(kind).reshape(-1))
+                row += w
+            waiting += planes.shape[1]
+            if waiting > most:  # only a key of very many lines does that: its first lines stay for the others to meet
+                e = _arranged({k: np.concatenate(v) for k, v in parts.items()})
+                key, where, count = np.unique(e["key"], return_index=True, return_counts=True)
+                crowded = np.union1d(crowded, key[count > heads])
+                yield found(e, crowded)
+                keep = np.arange(len(e["key"])) - np.repeat(where, count) < heads
+                parts, waiting = {k: [v[keep]] for k, v in e.items()}, int(keep.sum())
+        if waiting:
+            yield found(_arranged({k: np.concatenate(v) for k, v in parts.items()}), crowded)
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+
+    return bucket
+
+
 def _verify(num: int, den: int):
-    def run(batches):
+    """Rows (doc_id, line_no) whose two word sets x and y are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(column(batch, "x"), column(batch, "y")):
-                s, t = set(x.split()), set(y.split())
-                good.append(den * len(s & t) >= num * len(s | t))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=batch.schema.names[:4]).filter(pa.array(good, pa.bool_()))
+            for a in range(0, batch.num_rows, LINES):
+                part = batch.slice(a, LINES)
+                x, n = _unpack(part.column("x"))
+                y, m = _unpack(part.column("y"))
+                code = np.concatenate([np.repeat(np.arange(part.num_rows, dtype=np.uint64) << np.uint64(64 - 12), s) | t for t, s in ((x, n), (y, m))])
+                code.sort()
+                twice = (code[1:][code[1:] == code[:-1]] >> np.uint64(64 - 12)).astype(np.int64)
+                both = np.bincount(twice, minlength=part.num_rows)
+                yield part.select(["doc_id", "line_no"]).filter(pa.array(den * both >= num * (n + m - both)))
 
     return run
 
 
-def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: int = 3, rounds: int = 2) -> DataFrame:
-    """(doc_id, line_no) of the lines that repeat an earlier one, line_no from 0 by newlines.
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sketch = Sketch(CELLS)
+    for batch in batches:
+        sketch.add(mix(_unpack(batch.column("words"))[0]))
+    for block, counts in sketch.blocks():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["block", "counts"])
+
+
+ENTRIES = "key long, doc_id long, line_no int, n int, parity array<long>"
+
 
-    A line is the set of its words. One of at least `min_words` distinct words repeats an earlier line,
-    in the order of doc_id and line_no, when den * intersection >= num * union; whether the earlier
-    line goes too makes no difference. Rows with a null doc_id or text have no lines here. Rows with
-    equal ids are one document: what goes from one of them goes from all. Other columns are ignored.
+def _rows(num: int, den: int, shared, limit: int, wanted=None):
+    """Entries as rows with wide bitmaps, of lines that may hold a word that `wanted` has counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
+        asked = None if wanted is None else np.frombuffer(wanted.value, np.uint8).reshape(2, -1)
+        for part in (y for x in batches for y in _slices(x)):
+            if asked is not None:
+                token, size = _unpack(part.column("words"))
+                part = part.filter(pa.array(np.add.reduceat((rarity(asked, mix(token)) > 0).astype(np.int64), _starts(size)) > 0))
+                if not part.num_rows:
+                    continue
+            token, size = _unpack(part.column("words"))
+            x = _Ordered(token, size, rows)
+            key, line, _ = x.entries(num, den, limit, bounds)
+            bits = np.bincount(x.line * PARITY + (x.one >> np.uint64(54)).astype(np.int64), minlength=len(size) * PARITY) & 1
+            bits = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
+            doc, no = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line_no"))
+            for a in range(0, len(key), 50_000):
+                i = line[a : a + 50_000]
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits[i].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000].astype(np.int64)), pa.array(doc[i]), pa.array(no[i]), pa.array(size[i].astype(np.int32)), values], names=[x.split()[0] for x in ENTRIES.split(", ")])
+
+    return run
+
+
+def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: int = 3, first: int = 4, frequent: int = 1024, most: int = MOST, heads: int = HEADS) -> DataFrame:
+    """(doc_id, line_no) of the lines that repeat an earlier one, line_no from 0 by newlines.
 
-    `rounds` times the open lines of a word meet the earliest of them alone; what is then still open
-    meets every earlier line. That order decides how much is compared, never the result.
+    A line is the set of its words, told apart by 46 bits of their hashes. One of at least `min_words`
+    distinct words repeats an earlier line, in the order of doc_id and line_no, when
+    den * intersection >= num * union; whether the earlier line goes too makes no difference. Rows
+    with a null doc_id or text have no lines here. Rows with equal ids are one document: what goes
+    from one of them goes from all. Other columns are ignored.
+
+    Words in about `frequent` lines or more are indexed in pairs. In the first search a line stops at
+    `first` possible matches under a key, and a bucket of over `most` entries keeps the first `heads`
+    lines of a key; lines that this leaves with something to look at, and without a similar one, are
+    searched for among all others in a join. So these three decide how much is compared, never the
+    result.
     """
-    tables = Scratch(docs.sparkSession, "line-dedup")
+    spark = docs.sparkSession
+    tables = Scratch(spark, "line-dedup")
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # sets of fewer words than this are similar to equal sets only, which the digests find: no index entries
     near = max(min_words, -(-num // (den - num))) if num < den else 1 << 30
-    seen = tables.save(raw.mapInArrow(_measure(min_words, near), "doc_id long, line_no int, n int, k1 long, k2 long, block int, counts binary"), "measured")
-    shared = docs.sparkSession.sparkContext.broadcast(merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS).tobytes())
-    lines = seen.where("block is null").select("doc_id", "line_no", "n", "k1", "k2")
-    first = tables.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "sets")
-    entries = tables.save(raw.mapInArrow(_index(num, den, near, shared), "token long, at int, n int, k1 long, k2 long, p1 long, p2 long"), "entries")
-    several = tables.save(entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"), "several")
-    # distinct after the join, whose exchange on k1 and k2 serves both
-    members = tables.save(entries.join(several, "token").join(first.select("k1", "k2", "first"), ["k1", "k2"]).distinct(), "members")
-    tables.drop("entries", "several")
-    line = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (k1, k2, later, earlier), those whose lines are similar, one row a later line."""
-        pairs = tables.save(pairs, f"{name}-pairs")
-        both = pairs.select(F.col("later").alias("first")).union(pairs.select("earlier")).distinct()
-        wanted = tables.save(both.select(F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("no"), "first"), f"{name}-wanted")
-        texts = tables.save(line.join(wanted, ["id", "no"]).groupBy("first").agg(F.max("line").alias("line")), f"{name}-texts")
-        near = pairs.join(texts.select(F.col("first").alias("later"), F.col("line").cast("binary").alias("x")), "later").join(texts.select(F.col("first").alias("earlier"), F.col("line").cast("binary").alias("y")), "earlier")
-        near = near.select("k1", "k2", F.lit(0).alias("u"), F.lit(0).alias("v"), "x", "y")
-        out = tables.save(near.mapInArrow(_verify(num, den), "k1 long, k2 long, u int, v int").select("k1", "k2").distinct(), name)
-        tables.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
-        return out
-
-    # the rest of both lines after the shared word, the lengths and the bitmaps bound the overlap from above
-    m, o = F.col("m"), F.col("n")
-    most = F.least("at", "bt") + 1 + F.least(o - F.col("at"), m - F.col("bt")) - 1
-    differ = F.bit_count(F.col("p1").bitwiseXOR(F.col("q1"))) + F.bit_count(F.col("p2").bitwiseXOR(F.col("q2")))
-    able = (den * F.least(o, m) >= num * F.greatest(o, m)) & ((num + den) * most >= num * (o + m)) & ((num + den) * differ <= (den - num) * (o + m))
-    mine = members.select("token", F.col("at").alias("bt"), F.col("n").alias("m"), F.col("first").alias("earlier"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
-    found, open_ = None, members
-    for r in range(rounds + 1):
-        other = mine
-        if r < rounds:  # open lines with the earliest line, or the earliest open one, that has the word: as many pairs as entries
-            low = (open_ if r else members).groupBy("token").agg(F.min("first").alias("earlier"))
-            other = tables.save(mine.join(low, ["token", "earlier"]), f"earliest{r}")
-        pairs = open_.join(other, "token").where((F.col("earlier") < F.col("first")) & able).select("k1", "k2", F.col("first").alias("later"), "earlier").distinct()
-        new = similar(pairs, f"found{r}")
-        found = new if found is None else found.union(new)
-        if r < rounds:
-            open_ = tables.save(open_.join(new, ["k1", "k2"], "left_anti"), f"open{r}")
-            tables.drop(f"earliest{r}", *([f"open{r - 1}"] if r else []))
-    gone = found.distinct().select("k1", "k2", F.lit(True).alias("similar"))
-    known = tables.save(first.join(gone, ["k1", "k2"], "left").where("copies > 1 or similar").select("k1", "k2", "first", F.coalesce("similar", F.lit(False)).alias("similar")), "known")
-    return lines.join(known, ["k1", "k2"]).where(F.col("similar") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
+    seen = tables.save(raw.mapInArrow(_measure(min_words, near), SEEN_LINES), "measured")
+    counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
+    shared, limit = spark.sparkContext.broadcast(counts.tobytes()), int(4 + 2.2 * np.log2(max(8, frequent) / 4))
+    lines = seen.where("block is null").select("doc_id", "line_no", "k1", "k2")
+    copied = tables.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copied")
+    copies = lines.join(copied, ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
+    sets = seen.where("words is not null").select("doc_id", "line_no", "words")
+    load = seen.where("words is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(load) // BUCKET))
+    blobs = sets.mapInArrow(_index(num, den, shared, limit, buckets), "bucket int, entries binary")
+    pairs = tables.save(blobs.groupBy("bucket").applyInArrow(_search(num, den, first, most, heads), PAIRS).distinct(), "pairs")
+
+    def similar(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
+        """(doc_id, line_no) of the later lines of pairs of similar lines."""
+        x, y = words.withColumnRenamed("words", "x"), words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
+        both = pairs.join(y, ["doc2", "line2"]).join(x, ["doc_id", "line_no"]).select("doc_id", "line_no", "x", "y")
+        return tables.save(both.mapInArrow(_verify(num, den), "doc_id long, line_no int").distinct(), name)
+
+    met = pairs.where("doc2 is not null")
+    wanted = pairs.select("doc_id", "line_no").union(met.select("doc2", "line2")).distinct()
+    words = tables.save(sets.join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", "words"), "words")
+    found = similar(met, words, "found")
+    still = tables.save(pairs.where("doc2 is null").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").join(words, ["doc_id", "line_no"]), "still")
+    tables.drop("pairs", "words")
+    if still.take(1):
+        asked = spark.sparkContext.broadcast(merge_sketches(still.select("words").mapInArrow(_count_words, "block int, counts binary"), CELLS).tobytes())
+        mine = still.mapInArrow(_rows(num, den, shared, limit), ENTRIES).distinct()
+        theirs = sets.mapInArrow(_rows(num, den, shared, limit, asked), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
+        differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+        able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
+        rest = mine.join(theirs, "key").where((F.struct("doc2", "line2") < F.struct(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"))) & able)
+        rest = tables.save(rest.select("doc_id", "line_no", "doc2", "line2").distinct(), "rest")
+        other = rest.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no")).distinct()
+        words = sets.join(other.union(still.select("doc_id", "line_no")).distinct(), ["doc_id", "line_no"])
+        found = found.union(similar(rest, words.select("doc_id", "line_no", "words"), "found-rest"))
+        tables.drop("rest")
+    out = tables.save(copies.union(found).distinct(), "later")
+    tables.drop("measured", "copied", "still", "found", "found-rest")
+    return out
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with `text` less its later lines, and n_lines and n_removed (long; 0 for null texts).
 
-    All rows and all other columns stay, and so does the order of lines; a text may end up empty.
+    All rows and all other columns stay, but that columns n_lines and n_removed of the input are
+    replaced, and so does the order of lines; a text may end up empty.
     """
-    gone = later_lines(docs.select("doc_id", "text"), **how).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
-    gone = Scratch(docs.sparkSession, "line-gone").save(gone, "lines")
-    lines = F.split("text", "\n")
-    out = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_lines"))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("long")}
-    return out.select(*[c if c != "text" else text.alias("text") for c in docs.columns if c not in counts], *[c.alias(k) for k, c in counts.items()])
+    id_, gone, split = (free_name(x, docs) for x in ("gone_id", "gone_lines", "lines"))
+    later = later_lines(docs.select("doc_id", "text"), **how).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone))
+    out = docs.join(later, F.col("doc_id") == F.col(id_), "left").withColumn(split, F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")}
+    return out.select(*[F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns if c not in counts], *[c.alias(k) for k, c in counts.items()])

@@ -36,9 +36,8 @@ def made():
 def test_same_lines_as_all_pairs(spark):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as first")
-    for rounds in (0, 2):
-        got = line_dedup.later_lines(docs, rounds=rounds)
-        assert {tuple(r) for r in got.collect()} == brute(rows)
+    for how in ({}, {"first": 1}, {"frequent": 8}, {"first": 1, "frequent": 8, "most": 60, "heads": 3}):
+        assert {tuple(r) for r in line_dedup.later_lines(docs, **how).collect()} == brute(rows)
     gone = brute(rows)
     out = line_dedup.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "n", "first", "n_lines", "n_removed"]

@@ -34,8 +34,8 @@ def less(rows, gone):
 def test_short_lines_as_all_pairs(spark):
     rows = made()
     docs, gone = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
-    for rounds in (0, 2):
-        assert {tuple(r) for r in line_dedup.later_lines(docs, min_words=1, rounds=rounds).collect()} == gone
+    for how in ({}, {"first": 1, "frequent": 8, "most": 50, "heads": 2}):
+        assert {tuple(r) for r in line_dedup.later_lines(docs, min_words=1, **how).collect()} == gone
     short = {(d, i) for d, t in rows if t for i, x in enumerate(t.split("\n")) if 0 < len(set(x.split())) < 3}
     assert len(gone & short) > 20
 
