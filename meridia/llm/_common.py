@@ -35,13 +35,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and reread; the shuffle files behind the table can go at once."""
+    def save(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+        """Write and reread; the shuffle files behind the table can go at once. Hashes want no dictionary."""
         was = {k: self.spark.conf.get(k, None) for k in self.CLEAN}
         try:
             for k in was:
                 self.spark.conf.set(k, "true")
-            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", dictionary).parquet(self.path(name))
         finally:
             for k, v in was.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)

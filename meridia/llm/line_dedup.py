@@ -31,6 +31,8 @@ SHORT = 3
 GATHER, BUCKET, MOST = 1 << 19, 1 << 17, 1 << 20
 #: Lines of a key that stay in memory when a bucket exceeds MOST.
 HEADS = 4096
+#: Pairs of entries compared at once.
+TESTS = 1 << 20
 #: Parity bits of a line in the second search.
 PARITY = 1024
 #: What an entry holds, each field as that many planes of bytes.
@@ -263,7 +265,7 @@ def _index(num: int, den: int, shared, limit: int, buckets: int):
 
 
 def _arranged(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Entries by key, document and line, without keys of one line; of exact copies the earliest stays."""
+    """Entries by key and size, without keys of one line; of exact copies the earliest stays."""
     order = np.argsort((e["key"] << np.uint64(16)) | (e["k"] >> np.uint32(16)).astype(np.uint64))
     key = e["key"][order]
     same = np.concatenate([[False], key[1:] == key[:-1]])
@@ -272,46 +274,94 @@ def _arranged(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return {k: v[:0] for k, v in e.items()}
     e = {k: v[order] for k, v in e.items()}
     new = np.concatenate([[True], np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in ("key", "k", "n", "p1", "p2")])])
-    run = np.flatnonzero(new)
-    owner = np.cumsum(new) - 1
-    doc = np.minimum.reduceat(e["doc"], run)
-    line = np.minimum.reduceat(np.where(e["doc"] == doc[owner], e["line"], np.iinfo(np.int32).max), run)
-    e = {k: v[run] for k, v in e.items()} | {"doc": doc, "line": line}
+    if not new.all():
+        run, owner = np.flatnonzero(new), np.cumsum(new) - 1
+        doc = np.minimum.reduceat(e["doc"], run)
+        line = np.minimum.reduceat(np.where(e["doc"] == doc[owner], e["line"], np.iinfo(np.int32).max), run)
+        e = {k: v[run] for k, v in e.items()} | {"doc": doc, "line": line}
+    order = np.argsort((e["key"] << np.uint64(16)) | np.minimum(e["n"], 65535).astype(np.uint64))
+    e = {k: v[order] for k, v in e.items()}
+    if len(e["n"]) and e["n"].max() >= 65535:  # sizes beyond the bits above
+        order = np.lexsort((e["n"], e["key"]))
+        e = {k: v[order] for k, v in e.items()}
+    return e
+
+
+def _ranks(e: dict[str, np.ndarray]) -> np.ndarray:
+    """How many lines of its key each entry has before it."""
     order = np.lexsort((e["line"], e["doc"], e["key"]))
-    return {k: v[order] for k, v in e.items()}
+    key = e["key"][order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return out
+
+
+def _spans(low: np.ndarray, high: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of `mine` with the places from its low up to its high, about TESTS at once."""
+    many = np.maximum(high - low, 0)
+    total = np.cumsum(many)
+    a = 0
+    while a < len(mine):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + TESTS, "right")))
+        if many[a:b].sum():
+            yield np.repeat(mine[a:b], many[a:b]), np.arange(int(many[a:b].sum())) + np.repeat(low[a:b] - _starts(many[a:b]), many[a:b])
+        a = b
 
 
-def _candidates(e: dict[str, np.ndarray], num: int, den: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, open): places of pairs that may be similar, and of lines left with earlier ones not looked at.
+def _candidates(e: dict[str, np.ndarray], num: int, den: int, first: int, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, open): places of pairs that may be similar, and of lines left with others not looked at.
 
-    A line meets those before it under the same key, the nearest first, until `first` of them may be similar.
+    Lines meet those of their key whose sizes allow it; of the possible matches before a line the
+    `first` with the least differing bitmaps are kept. Of a key of over `heads` lines, all meet the first ones only.
     """
-    key = e["key"]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-    have, more, out = np.zeros(len(key), np.int32), np.zeros(len(key), bool), [(np.zeros(0, np.int64),) * 2]
-    n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
+    size = len(e["key"])
+    if not size:
+        return (np.zeros(0, np.int64),) * 3
+    key, n, at = e["key"], e["n"].astype(np.int64), e["at"].astype(np.int64)
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(new) - 1
+    count = np.bincount(group)
+    wide = np.int64(n.max() * den // num + 2)
+    place = group * wide + n
+    every = np.arange(size)
+    if count.max() <= heads:
+        spans = [_spans(every + 1, np.searchsorted(place, group * wide + n * den // num, "right"), every)]
+        crowded = np.zeros(0, np.int64)
+    else:
+        head = (count[group] <= heads) | (_ranks(e) < heads)
+        some, rest = every[head], every[~head]
+        spans = [((some[x] if x is not None else None, some[y]) for x, y in _spans(np.arange(len(some)) + 1, np.searchsorted(place[some], group[some] * wide + n[some] * den // num, "right"), np.arange(len(some)))),
+                 ((x, some[y]) for x, y in _spans(np.searchsorted(place[some], group[rest] * wide - (-n[rest] * num // den)), np.searchsorted(place[some], group[rest] * wide + n[rest] * den // num, "right"), rest))]
+        crowded = np.flatnonzero(count[group] > heads)
     before, after = np.where(at < 0, 1 << 30, at), n - np.maximum(at, 0)  # most shared words ahead of this one, and from it on
-    j, d = np.arange(len(key)), 0
-    while True:
-        d += 1
-        j = j[j - begin[j] >= d]
-        full = have[j] >= first
-        more[j[full]] = True
-        j = j[~full]
-        if not len(j):
-            break
-        i = j - d
-        both = n[i] + n[j]
-        able = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & ((num + den) * (np.minimum(before[i], before[j]) + np.minimum(after[i], after[j])) >= num * both)
-        able &= (e["doc"][i] < e["doc"][j]) | (e["line"][i] < e["line"][j])
-        a, b, both = i[able], j[able], both[able]
-        differ = np.bitwise_count(e["p1"][a] ^ e["p1"][b]).astype(np.int64) + np.bitwise_count(e["p2"][a] ^ e["p2"][b])
-        good = (num + den) * differ <= (den - num) * both
-        have[b[good]] += 1
-        out.append((b[good], a[good]))
-    later, earlier = (np.concatenate(x) for x in zip(*out))
-    return later, earlier, np.flatnonzero(more)
+    pairs, waiting, more = [(np.zeros(0, np.int64),) * 3], 0, np.zeros(size, bool)
+
+    def best() -> None:
+        nonlocal pairs, waiting
+        later, earlier, differ = (np.concatenate(x) for x in zip(*pairs))
+        order = np.lexsort((earlier, differ, later))
+        later = later[order]
+        start = np.concatenate([[True], later[1:] != later[:-1]]) if len(later) else np.zeros(0, bool)
+        rank = np.arange(len(later)) - np.maximum.accumulate(np.where(start, np.arange(len(later)), 0))
+        more[later[rank >= first]] = True
+        order, keep = order[rank < first], rank < first
+        pairs, waiting = [(later[keep], earlier[order], differ[order])], len(order)
+
+    for i, j in (x for span in spans for x in span):
+        differ = np.bitwise_count(e["p1"][i] ^ e["p1"][j]).astype(np.int16) + np.bitwise_count(e["p2"][i] ^ e["p2"][j])
+        good = (num + den) * differ.astype(np.int64) <= (den - num) * (n[i] + n[j])
+        i, j, differ = i[good], j[good], differ[good]
+        shared = np.minimum(before[i], before[j]) + np.minimum(after[i], after[j])
+        good = ((num + den) * shared >= num * (n[i] + n[j])) & ((e["doc"][i] != e["doc"][j]) | (e["line"][i] != e["line"][j]))
+        i, j, differ = i[good], j[good], differ[good]
+        swap = (e["doc"][i] > e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & (e["line"][i] > e["line"][j]))
+        pairs.append((np.where(swap, i, j), np.where(swap, j, i), differ))
+        waiting += len(i)
+        if waiting > TESTS:
+            best()
+    best()
+    return pairs[0][0], pairs[0][1], np.union1d(np.flatnonzero(more), crowded)
 
 
 PAIRS = "doc_id long, line_no int, doc2 long, line2 int"
@@ -321,7 +371,7 @@ def _search(num: int, den: int, first: int, most: int, heads: int):
     """Pairs (later, earlier) of one bucket; rows without an earlier line name those with more to look at."""
 
     def found(e: dict[str, np.ndarray], crowded: np.ndarray) -> pa.RecordBatch:
-        later, earlier, more = _candidates(e, num, den, first)
+        later, earlier, more = _candidates(e, num, den, first, heads)
         more = np.union1d(more, np.flatnonzero(np.isin(e["key"], crowded)))
         i = np.concatenate([later, more])
         lost = pa.nulls(len(more))
@@ -340,11 +390,10 @@ def _search(num: int, den: int, first: int, most: int, heads: int):
             waiting += planes.shape[1]
             if waiting > most:  # only a key of very many lines does that: its first lines stay for the others to meet
                 e = _arranged({k: np.concatenate(v) for k, v in parts.items()})
-                key, where, count = np.unique(e["key"], return_index=True, return_counts=True)
-                crowded = np.union1d(crowded, key[count > heads])
+                rank = _ranks(e)
+                crowded = np.union1d(crowded, e["key"][rank >= heads])
                 yield found(e, crowded)
-                keep = np.arange(len(e["key"])) - np.repeat(where, count) < heads
-                parts, waiting = {k: [v[keep]] for k, v in e.items()}, int(keep.sum())
+                parts, waiting = {k: [v[rank < heads]] for k, v in e.items()}, int((rank < heads).sum())
         if waiting:
             yield found(_arranged({k: np.concatenate(v) for k, v in parts.items()}), crowded)
 
@@ -372,10 +421,10 @@ def _verify(num: int, den: int):
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = Sketch(CELLS)
     for batch in batches:
-        sketch.add(mix(_unpack(batch.column("words"))[0]))
+        sketch.add(mix(batch.column("key").to_numpy().view(np.uint64)))
     for block, counts in sketch.blocks():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["block", "counts"])
 
@@ -384,27 +433,28 @@ ENTRIES = "key long, doc_id long, line_no int, n int, parity array<long>"
 
 
 def _rows(num: int, den: int, shared, limit: int, wanted=None):
-    """Entries as rows with wide bitmaps, of lines that may hold a word that `wanted` has counted."""
+    """Entries as rows with wide bitmaps; where `wanted` is given, those whose keys it may have counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
         asked = None if wanted is None else np.frombuffer(wanted.value, np.uint8).reshape(2, -1)
         for part in (y for x in batches for y in _slices(x)):
-            if asked is not None:
-                token, size = _unpack(part.column("words"))
-                part = part.filter(pa.array(np.add.reduceat((rarity(asked, mix(token)) > 0).astype(np.int64), _starts(size)) > 0))
-                if not part.num_rows:
-                    continue
-            token, size = _unpack(part.column("words"))
-            x = _Ordered(token, size, rows)
+            x = _Ordered(*_unpack(part.column("words")), rows)
             key, line, _ = x.entries(num, den, limit, bounds)
-            bits = np.bincount(x.line * PARITY + (x.one >> np.uint64(54)).astype(np.int64), minlength=len(size) * PARITY) & 1
-            bits = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
+            if asked is not None:
+                hit = rarity(asked, mix(key)) > 0
+                key, line = key[hit], line[hit]
             doc, no = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line_no"))
+            used, line = np.unique(line, return_inverse=True)
+            row = np.full(len(x.size), -1)
+            row[used] = np.arange(len(used))
+            words = np.flatnonzero(row[x.line] >= 0)
+            bits = np.bincount(row[x.line[words]] * PARITY + (x.one[words] >> np.uint64(54)).astype(np.int64), minlength=len(used) * PARITY) & 1
+            bits = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(used), -1)
             for a in range(0, len(key), 50_000):
                 i = line[a : a + 50_000]
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits[i].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000].astype(np.int64)), pa.array(doc[i]), pa.array(no[i]), pa.array(size[i].astype(np.int32)), values], names=[x.split()[0] for x in ENTRIES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000].astype(np.int64)), pa.array(doc[used[i]]), pa.array(no[used[i]]), pa.array(x.size[used[i]].astype(np.int32)), values], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
     return run
 
@@ -418,18 +468,18 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     with a null doc_id or text have no lines here. Rows with equal ids are one document: what goes
     from one of them goes from all. Other columns are ignored.
 
-    Words in about `frequent` lines or more are indexed in pairs. In the first search a line stops at
-    `first` possible matches under a key, and a bucket of over `most` entries keeps the first `heads`
-    lines of a key; lines that this leaves with something to look at, and without a similar one, are
-    searched for among all others in a join. So these three decide how much is compared, never the
-    result.
+    Words in about `frequent` lines or more are indexed in pairs. In the first search a line has its
+    `first` likeliest matches under a key compared, and of a key of over `heads` lines, or one that
+    makes its bucket exceed `most` entries, all meet the first ones only; lines that this leaves with
+    something to look at, and without a similar one, are searched for among all others in a join. So
+    these four decide how much is compared, never the result.
     """
     spark = docs.sparkSession
     tables = Scratch(spark, "line-dedup")
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # sets of fewer words than this are similar to equal sets only, which the digests find: no index entries
     near = max(min_words, -(-num // (den - num))) if num < den else 1 << 30
-    seen = tables.save(raw.mapInArrow(_measure(min_words, near), SEEN_LINES), "measured")
+    seen = tables.save(raw.mapInArrow(_measure(min_words, near), SEEN_LINES), "measured", dictionary=False)
     counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
     shared, limit = spark.sparkContext.broadcast(counts.tobytes()), int(4 + 2.2 * np.log2(max(8, frequent) / 4))
     lines = seen.where("block is null").select("doc_id", "line_no", "k1", "k2")
@@ -454,8 +504,8 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     still = tables.save(pairs.where("doc2 is null").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").join(words, ["doc_id", "line_no"]), "still")
     tables.drop("pairs", "words")
     if still.take(1):
-        asked = spark.sparkContext.broadcast(merge_sketches(still.select("words").mapInArrow(_count_words, "block int, counts binary"), CELLS).tobytes())
-        mine = still.mapInArrow(_rows(num, den, shared, limit), ENTRIES).distinct()
+        mine = tables.save(still.mapInArrow(_rows(num, den, shared, limit), ENTRIES).distinct(), "mine")
+        asked = spark.sparkContext.broadcast(merge_sketches(mine.select("key").mapInArrow(_count_keys, "block int, counts binary"), CELLS).tobytes())
         theirs = sets.mapInArrow(_rows(num, den, shared, limit, asked), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
         differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
         able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
@@ -464,7 +514,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
         other = rest.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no")).distinct()
         words = sets.join(other.union(still.select("doc_id", "line_no")).distinct(), ["doc_id", "line_no"])
         found = found.union(similar(rest, words.select("doc_id", "line_no", "words"), "found-rest"))
-        tables.drop("rest")
+        tables.drop("rest", "mine")
     out = tables.save(copies.union(found).distinct(), "later")
     tables.drop("measured", "copied", "still", "found", "found-rest")
     return out
