@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, count_keys, deal, pack, search, starts, unpack
 from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity
 from .ngram_join import levels, prefix_entries
 
@@ -22,22 +23,13 @@ CELLS = 1 << 21
 #: Lines and bytes of text handled at once.
 LINES, BYTES = 1 << 12, 1 << 20
 #: Digests that a task remembers to pass over exact copies early.
-SEEN = 1_000_000
-#: Bits of a word hash that tell words of a line apart, next to 12 for the line and 6 for its rarity; bytes of them.
-BITS, WIDE = 46, 6
+SEEN = 300_000
+#: Bits of a word hash that tell words of a line apart, next to 12 for the line and 6 for its rarity.
+BITS = 46
 #: Lines under so many distinct words have digests of whole word hashes.
 SHORT = 3
-#: Entries that a task gathers before it deals them out, of a bucket on average, and of one in memory at most.
-GATHER, BUCKET, MOST = 1 << 19, 1 << 17, 1 << 20
-#: Lines of a key that stay in memory when a bucket exceeds MOST.
-HEADS = 4096
-#: Pairs of entries compared at once.
-TESTS = 1 << 20
 #: Parity bits of a line in the second search.
 PARITY = 1024
-#: What an entry holds, each field as that many planes of bytes.
-FIELDS = {"key": ("<u8", 6), "doc": ("<i8", 8), "line": ("<i4", 4), "n": ("<i4", 4), "at": ("<i4", 4), "k": ("<u4", 4), "p1": ("<u8", 8), "p2": ("<u8", 8)}
-PLANES = sum(w for _, w in FIELDS.values())
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -94,23 +86,19 @@ def _lines_of(ids: list, texts: list[bytes], hashes: WordHash) -> Iterator[tuple
         yield np.array(ids)[doc], which - np.searchsorted(breaks, first)[doc], h, n
 
 
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-
-
 def _sets(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words of each line, their number, two digests of the set) from all words of some lines."""
     code = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(64 - 12), n) | (h >> np.uint64(64 - BITS))
     code.sort()
     code = code[np.concatenate([[True], code[1:] != code[:-1]])]
     size = np.bincount((code >> np.uint64(64 - 12)).astype(np.int64), minlength=len(n))
-    token, start = code & np.uint64((1 << BITS) - 1), _starts(size)
+    token, start = code & np.uint64((1 << BITS) - 1), starts(size)
     one = mix(token)
     k1, k2 = np.add.reduceat(one, start), np.add.reduceat(one * one, start)
     if len(short := np.flatnonzero(size < SHORT)):  # nothing compares their words: digests of whole hashes
         many = n[short]
         owner = np.repeat(np.arange(len(short)), many)
-        w = h[np.arange(len(owner)) + np.repeat(_starts(n)[short] - _starts(many), many)]
+        w = h[np.arange(len(owner)) + np.repeat(starts(n)[short] - starts(many), many)]
         order = np.lexsort((w, owner))
         owner, w = owner[order], w[order]
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (w[1:] != w[:-1])])
@@ -120,23 +108,6 @@ def _sets(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return token, size, k1, k2
 
 
-def _pack(tokens: np.ndarray, sizes: np.ndarray, have: np.ndarray) -> pa.Array:
-    """Word sets as bytes, one value a line; null where `have` is false."""
-    data = np.ascontiguousarray(tokens[np.repeat(have, sizes)].view(np.uint8).reshape(-1, 8)[:, :WIDE])
-    offsets = np.concatenate([[0], np.cumsum(np.where(have, sizes, 0))]) * WIDE
-    bits = np.packbits(have, bitorder="little")
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(bits), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-
-
-def _unpack(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all lines, number of each line's) of _pack's values, none of them null."""
-    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
-    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, WIDE)
-    out = np.zeros((len(data), 8), np.uint8)
-    out[:, :WIDE] = data
-    return out.view("<u8").reshape(-1), np.diff(at) // WIDE
-
-
 SEEN_LINES = "doc_id long, line_no int, n int, k1 long, k2 long, words binary, block int, counts binary"
 
 
@@ -161,7 +132,7 @@ def _measure(least: int, near: int):
             sketch.add(mix(token[np.repeat(fresh, size)]))
             keep = size >= least
             none = pa.nulls(int(keep.sum()))
-            words = _pack(token[np.repeat(keep, size)], size[keep], fresh[keep])
+            words = pack(token[np.repeat(keep, size)], size[keep], fresh[keep])
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(nos[keep].astype(np.int32)), pa.array(size[keep].astype(np.int32)), pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), words, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for block, counts in sketch.blocks():
             none = pa.nulls(1)
@@ -177,7 +148,7 @@ class _Ordered:
         code = np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(64 - 12), size) | (rarity(rows, mix(token)).astype(np.uint64) << np.uint64(BITS)) | token
         code.sort()
         self.token, self.level = code & np.uint64((1 << BITS) - 1), ((code >> np.uint64(BITS)) & np.uint64(63)).astype(np.uint8)
-        self.size, self.start = size, _starts(size)
+        self.size, self.start = size, starts(size)
         self.line = np.repeat(np.arange(len(size)), size)
         self.at = np.arange(len(token)) - self.start[self.line]
         self.one = mix(token)  # within a line in another order, which sums and parities don't see
@@ -190,6 +161,10 @@ class _Ordered:
     def digests(self) -> np.ndarray:
         return np.add.reduceat(self.one, self.start)
 
+    def prefix(self, num: int, den: int) -> np.ndarray:
+        """For each word, how many words of its line make entries, if none of them is frequent."""
+        return (self.size - -(-num * self.size // den) + 1)[self.line]
+
     def entries(self, num: int, den: int, limit: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key of 48 bits, line, position or -1 of a pair of words) of all index entries.
 
@@ -197,8 +172,7 @@ class _Ordered:
         the combinations of prefix_entries: a word frequent for one line is so for all, so the two
         kinds of lines meet in single rare words.
         """
-        prefix = (self.size - -(-num * self.size // den) + 1)[self.line]
-        inside = self.at < prefix
+        inside = self.at < self.prefix(num, den)
         often = np.zeros(len(self.size), bool)
         often[self.line[inside & (self.level > limit)]] = True
         # a word counted once is in no other line; its place in the prefix is spent all the same
@@ -230,25 +204,13 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _index(num: int, den: int, shared, limit: int, buckets: int):
-    """Blobs of entries by bucket, their fields as planes of bytes, so that equal bytes stand together."""
-
-    def deal(parts: dict[str, list]) -> pa.RecordBatch:
-        flat = {k: np.concatenate(parts[k]).astype(kind) for k, (kind, _) in FIELDS.items()}
-        bucket = flat["key"] % np.uint64(buckets)
-        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-        planes, row = np.empty((PLANES, len(order)), np.uint8), 0
-        for k, (kind, w) in FIELDS.items():
-            planes[row : row + w] = flat[k][order].view(np.uint8).reshape(len(order), -1)[:, :w].T
-            row += w
-        which, first = np.unique(bucket[order], return_index=True)
-        blobs = [planes[:, a:b].tobytes() for a, b in zip(first, [*first[1:], len(order)])]
-        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+    """Blobs of entries by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
         parts, waiting = {k: [] for k in FIELDS}, 0
         for part in (y for x in batches for y in _slices(x)):
-            x = _Ordered(*_unpack(part.column("words")), rows)
+            x = _Ordered(*unpack(part.column("words")), rows)
             key, line, at = x.entries(num, den, limit, bounds)
             p1, p2 = x.parities()
             doc, no = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line_no"))
@@ -256,153 +218,14 @@ def _index(num: int, den: int, shared, limit: int, buckets: int):
                 parts[k].append(v)
             waiting += len(key)
             if waiting > GATHER:
-                yield deal(parts)
+                yield deal(parts, buckets)
                 parts, waiting = {k: [] for k in FIELDS}, 0
         if waiting:
-            yield deal(parts)
+            yield deal(parts, buckets)
 
     return run
 
 
-def _arranged(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Entries by key and size, without keys of one line; of exact copies the earliest stays."""
-    order = np.argsort((e["key"] << np.uint64(16)) | (e["k"] >> np.uint32(16)).astype(np.uint64))
-    key = e["key"][order]
-    same = np.concatenate([[False], key[1:] == key[:-1]])
-    order = order[same | np.concatenate([same[1:], [False]])]
-    if not len(order):
-        return {k: v[:0] for k, v in e.items()}
-    e = {k: v[order] for k, v in e.items()}
-    new = np.concatenate([[True], np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in ("key", "k", "n", "p1", "p2")])])
-    if not new.all():
-        run, owner = np.flatnonzero(new), np.cumsum(new) - 1
-        doc = np.minimum.reduceat(e["doc"], run)
-        line = np.minimum.reduceat(np.where(e["doc"] == doc[owner], e["line"], np.iinfo(np.int32).max), run)
-        e = {k: v[run] for k, v in e.items()} | {"doc": doc, "line": line}
-    order = np.argsort((e["key"] << np.uint64(16)) | np.minimum(e["n"], 65535).astype(np.uint64))
-    e = {k: v[order] for k, v in e.items()}
-    if len(e["n"]) and e["n"].max() >= 65535:  # sizes beyond the bits above
-        order = np.lexsort((e["n"], e["key"]))
-        e = {k: v[order] for k, v in e.items()}
-    return e
-
-
-def _ranks(e: dict[str, np.ndarray]) -> np.ndarray:
-    """How many lines of its key each entry has before it."""
-    order = np.lexsort((e["line"], e["doc"], e["key"]))
-    key = e["key"][order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return out
-
-
-def _spans(low: np.ndarray, high: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of each of `mine` with the places from its low up to its high, about TESTS at once."""
-    many = np.maximum(high - low, 0)
-    total = np.cumsum(many)
-    a = 0
-    while a < len(mine):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + TESTS, "right")))
-        if many[a:b].sum():
-            yield np.repeat(mine[a:b], many[a:b]), np.arange(int(many[a:b].sum())) + np.repeat(low[a:b] - _starts(many[a:b]), many[a:b])
-        a = b
-
-
-def _candidates(e: dict[str, np.ndarray], num: int, den: int, first: int, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, open): places of pairs that may be similar, and of lines left with others not looked at.
-
-    Lines meet those of their key whose sizes allow it; of the possible matches before a line the
-    `first` with the least differing bitmaps are kept. Of a key of over `heads` lines, all meet the first ones only.
-    """
-    size = len(e["key"])
-    if not size:
-        return (np.zeros(0, np.int64),) * 3
-    key, n, at = e["key"], e["n"].astype(np.int64), e["at"].astype(np.int64)
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(new) - 1
-    count = np.bincount(group)
-    wide = np.int64(n.max() * den // num + 2)
-    place = group * wide + n
-    every = np.arange(size)
-    if count.max() <= heads:
-        spans = [_spans(every + 1, np.searchsorted(place, group * wide + n * den // num, "right"), every)]
-        crowded = np.zeros(0, np.int64)
-    else:
-        head = (count[group] <= heads) | (_ranks(e) < heads)
-        some, rest = every[head], every[~head]
-        spans = [((some[x] if x is not None else None, some[y]) for x, y in _spans(np.arange(len(some)) + 1, np.searchsorted(place[some], group[some] * wide + n[some] * den // num, "right"), np.arange(len(some)))),
-                 ((x, some[y]) for x, y in _spans(np.searchsorted(place[some], group[rest] * wide - (-n[rest] * num // den)), np.searchsorted(place[some], group[rest] * wide + n[rest] * den // num, "right"), rest))]
-        crowded = np.flatnonzero(count[group] > heads)
-    before, after = np.where(at < 0, 1 << 30, at), n - np.maximum(at, 0)  # most shared words ahead of this one, and from it on
-    pairs, waiting, more = [(np.zeros(0, np.int64),) * 3], 0, np.zeros(size, bool)
-
-    def best() -> None:
-        nonlocal pairs, waiting
-        later, earlier, differ = (np.concatenate(x) for x in zip(*pairs))
-        order = np.lexsort((earlier, differ, later))
-        later = later[order]
-        start = np.concatenate([[True], later[1:] != later[:-1]]) if len(later) else np.zeros(0, bool)
-        rank = np.arange(len(later)) - np.maximum.accumulate(np.where(start, np.arange(len(later)), 0))
-        more[later[rank >= first]] = True
-        order, keep = order[rank < first], rank < first
-        pairs, waiting = [(later[keep], earlier[order], differ[order])], len(order)
-
-    for i, j in (x for span in spans for x in span):
-        differ = np.bitwise_count(e["p1"][i] ^ e["p1"][j]).astype(np.int16) + np.bitwise_count(e["p2"][i] ^ e["p2"][j])
-        good = (num + den) * differ.astype(np.int64) <= (den - num) * (n[i] + n[j])
-        i, j, differ = i[good], j[good], differ[good]
-        shared = np.minimum(before[i], before[j]) + np.minimum(after[i], after[j])
-        good = ((num + den) * shared >= num * (n[i] + n[j])) & ((e["doc"][i] != e["doc"][j]) | (e["line"][i] != e["line"][j]))
-        i, j, differ = i[good], j[good], differ[good]
-        swap = (e["doc"][i] > e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & (e["line"][i] > e["line"][j]))
-        pairs.append((np.where(swap, i, j), np.where(swap, j, i), differ))
-        waiting += len(i)
-        if waiting > TESTS:
-            best()
-    best()
-    return pairs[0][0], pairs[0][1], np.union1d(np.flatnonzero(more), crowded)
-
-
-PAIRS = "doc_id long, line_no int, doc2 long, line2 int"
-
-
-def _search(num: int, den: int, first: int, most: int, heads: int):
-    """Pairs (later, earlier) of one bucket; rows without an earlier line name those with more to look at."""
-
-    def found(e: dict[str, np.ndarray], crowded: np.ndarray) -> pa.RecordBatch:
-        later, earlier, more = _candidates(e, num, den, first, heads)
-        more = np.union1d(more, np.flatnonzero(np.isin(e["key"], crowded)))
-        i = np.concatenate([later, more])
-        lost = pa.nulls(len(more))
-        return pa.RecordBatch.from_arrays([pa.array(e["doc"][i]), pa.array(e["line"][i]), pa.chunked_array([pa.array(e["doc"][earlier], pa.int64()), lost.cast(pa.int64())]).combine_chunks(), pa.chunked_array([pa.array(e["line"][earlier], pa.int32()), lost.cast(pa.int32())]).combine_chunks()], names=[x.split()[0] for x in PAIRS.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, waiting, crowded = {k: [] for k in FIELDS}, 0, np.zeros(0, np.uint64)
-        for blob in (x.as_py() for batch in batches for x in batch.column(batch.schema.get_field_index("entries"))):
-            planes = np.frombuffer(blob, np.uint8).reshape(PLANES, -1)
-            row = 0
-            for k, (kind, w) in FIELDS.items():
-                out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
-                out[:, :w] = planes[row : row + w].T
-                parts[k].append(out.view(kind).reshape(-1))
-                row += w
-            waiting += planes.shape[1]
-            if waiting > most:  # only a key of very many lines does that: its first lines stay for the others to meet
-                e = _arranged({k: np.concatenate(v) for k, v in parts.items()})
-                rank = _ranks(e)
-                crowded = np.union1d(crowded, e["key"][rank >= heads])
-                yield found(e, crowded)
-                parts, waiting = {k: [v[rank < heads]] for k, v in e.items()}, int((rank < heads).sum())
-        if waiting:
-            yield found(_arranged({k: np.concatenate(v) for k, v in parts.items()}), crowded)
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-
-    return bucket
-
-
 def _verify(num: int, den: int):
     """Rows (doc_id, line_no) whose two word sets x and y are similar."""
 
@@ -410,8 +233,8 @@ def _verify(num: int, den: int):
         for batch in batches:
             for a in range(0, batch.num_rows, LINES):
                 part = batch.slice(a, LINES)
-                x, n = _unpack(part.column("x"))
-                y, m = _unpack(part.column("y"))
+                x, n = unpack(part.column("x"))
+                y, m = unpack(part.column("y"))
                 code = np.concatenate([np.repeat(np.arange(part.num_rows, dtype=np.uint64) << np.uint64(64 - 12), s) | t for t, s in ((x, n), (y, m))])
                 code.sort()
                 twice = (code[1:][code[1:] == code[:-1]] >> np.uint64(64 - 12)).astype(np.int64)
@@ -421,35 +244,52 @@ def _verify(num: int, den: int):
     return run
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = Sketch(CELLS)
-    for batch in batches:
-        sketch.add(mix(batch.column("key").to_numpy().view(np.uint64)))
-    for block, counts in sketch.blocks():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["block", "counts"])
+ENTRIES = "key long, doc_id long, line_no int, n int, parity array<long>"
 
 
-ENTRIES = "key long, doc_id long, line_no int, n int, parity array<long>"
+def _prefix_words(num: int, den: int, shared, limit: int):
+    """Counts the words of which some lines make their entries; of lines with frequent ones, all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, rows = Sketch(CELLS), np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+        for part in (y for x in batches for y in _slices(x)):
+            x = _Ordered(*unpack(part.column("words")), rows)
+            inside = x.at < x.prefix(num, den)
+            often = np.zeros(len(x.size), bool)
+            often[x.line[inside & (x.level > limit)]] = True
+            sketch.add(x.one[inside | often[x.line]])
+        for block, counts in sketch.blocks():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["block", "counts"])
+
+    return run
 
 
-def _rows(num: int, den: int, shared, limit: int, wanted=None):
-    """Entries as rows with wide bitmaps; where `wanted` is given, those whose keys it may have counted."""
+def _rows(num: int, den: int, shared, limit: int, words=None, keys=None):
+    """Entries as rows with wide bitmaps; where counts of words and keys are given, those that may be among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
-        asked = None if wanted is None else np.frombuffer(wanted.value, np.uint8).reshape(2, -1)
+        asked = [None if x is None else np.frombuffer(x.value, np.uint8).reshape(2, -1) for x in (words, keys)]
         for part in (y for x in batches for y in _slices(x)):
-            x = _Ordered(*_unpack(part.column("words")), rows)
+            token, size = unpack(part.column("words"))
+            if words is not None:
+                hit = np.add.reduceat((rarity(asked[0], mix(token)) > 0).astype(np.int64), starts(size)) > 0
+                if not hit.any():
+                    continue
+                part, token, size = part.filter(pa.array(hit)), token[np.repeat(hit, size)], size[hit]
+            x = _Ordered(token, size, rows)
             key, line, _ = x.entries(num, den, limit, bounds)
-            if asked is not None:
-                hit = rarity(asked, mix(key)) > 0
+            if keys is not None:
+                hit = rarity(asked[1], mix(key)) > 0
                 key, line = key[hit], line[hit]
             doc, no = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line_no"))
             used, line = np.unique(line, return_inverse=True)
+            if not len(used):
+                continue
             row = np.full(len(x.size), -1)
             row[used] = np.arange(len(used))
-            words = np.flatnonzero(row[x.line] >= 0)
-            bits = np.bincount(row[x.line[words]] * PARITY + (x.one[words] >> np.uint64(54)).astype(np.int64), minlength=len(used) * PARITY) & 1
+            mine = np.flatnonzero(row[x.line] >= 0)
+            bits = np.bincount(row[x.line[mine]] * PARITY + (x.one[mine] >> np.uint64(54)).astype(np.int64), minlength=len(used) * PARITY) & 1
             bits = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(used), -1)
             for a in range(0, len(key), 50_000):
                 i = line[a : a + 50_000]
@@ -489,7 +329,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     load = seen.where("words is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(load) // BUCKET))
     blobs = sets.mapInArrow(_index(num, den, shared, limit, buckets), "bucket int, entries binary")
-    pairs = tables.save(blobs.groupBy("bucket").applyInArrow(_search(num, den, first, most, heads), PAIRS).distinct(), "pairs")
+    pairs = tables.save(blobs.groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS).drop("key").distinct(), "pairs")
 
     def similar(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
         """(doc_id, line_no) of the later lines of pairs of similar lines."""
@@ -505,8 +345,9 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     tables.drop("pairs", "words")
     if still.take(1):
         mine = tables.save(still.mapInArrow(_rows(num, den, shared, limit), ENTRIES).distinct(), "mine")
-        asked = spark.sparkContext.broadcast(merge_sketches(mine.select("key").mapInArrow(_count_keys, "block int, counts binary"), CELLS).tobytes())
-        theirs = sets.mapInArrow(_rows(num, den, shared, limit, asked), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
+        counted = (still.mapInArrow(_prefix_words(num, den, shared, limit), "block int, counts binary"), mine.select("key").mapInArrow(count_keys, "block int, counts binary"))
+        asked = [spark.sparkContext.broadcast(merge_sketches(x, CELLS).tobytes()) for x in counted]
+        theirs = sets.mapInArrow(_rows(num, den, shared, limit, *asked), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
         differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
         able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
         rest = mine.join(theirs, "key").where((F.struct("doc2", "line2") < F.struct(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"))) & able)
