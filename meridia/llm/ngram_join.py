@@ -2,8 +2,9 @@
 
 Shingles are ordered by rarity. Two sets that overlap enough share shingles near the front of that
 order, within a prefix. Rare shingles of the prefix are indexed one by one, frequent ones in
-combinations of two, for which the prefix grows so that one shared entry stays certain. Entries meet
-at their smallest document, not pair by pair; pairs are verified on the texts.
+combinations of two, for which the prefix grows so that one shared entry stays certain. Entries are
+dealt by key into buckets, where each document keeps its likeliest matches; pairs are verified on the
+texts. What a bucket leaves out is searched again among documents that are not in one component yet.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, WIDE, count_keys, deal, pack, search, unpack
 from ._common import Scratch, Sketch, WordHash, column, components, merge_sketches, mix, rarity, shingles
 
 #: Counter cells of each sketch row; prefix tokens to a group, about; size classes below that combine nothing.
@@ -129,23 +131,68 @@ def _measure(k: int, cells: int):
     return run
 
 
+INDEX = "doc_id long, n int, k long, p1 long, p2 long, words binary"
+
+
 def _index(k: int, num: int, den: int, shared, limit: int):
+    """Each set's index keys, packed, with its size, part of its digest and a small bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bounds, counts = set(), levels(num, den), np.frombuffer(shared.value, np.uint8).reshape(2, -1)
-        entries, ids, waiting = [], [], 0
+        rows, waiting = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids, n, digest, p1, p2, keys = zip(*rows)
+            sizes = np.array([len(x) for x in keys])
+            packed = pack(np.concatenate(keys), sizes, np.ones(len(rows), bool))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(np.array(p1)), pa.array(np.array(p2)), packed], names=[x.split()[0] for x in INDEX.split(", ")])
+
         for _, doc, s, key in _sets(batches, k):
             if not len(s) or key in seen:
                 continue
             seen.add(key)
-            e = prefix_entries(s, rarity(counts, s), limit, num, den, bounds)
-            entries.append(e)
-            ids.append(np.full(len(e), doc, np.int64))
+            e = mix(prefix_entries(s, rarity(counts, s), limit, num, den, bounds)) >> np.uint64(16)
+            bits = parity(s)  # folded, it is still a bitmap of parities
+            rows.append((doc, len(s), int.from_bytes(key[:4], "little"), np.bitwise_xor.reduce(bits[: len(bits) // 2]), np.bitwise_xor.reduce(bits[len(bits) // 2 :]), np.unique(e)))
             waiting += len(e)
-            if waiting > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate(ids))], names=["entry", "doc_id"])
-                entries, ids, waiting = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate(ids))], names=["entry", "doc_id"])
+            if waiting > 500_000 or len(rows) == 5000:
+                yield flush()
+                rows, waiting = [], 0
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _deal(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting = {f: [] for f in FIELDS}, 0
+        for batch in batches:
+            key, size = unpack(batch.column("words"))
+            row = np.repeat(np.arange(len(size)), size)
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("n", "k", "p1", "p2")} | {"doc": batch.column("doc_id").to_numpy(zero_copy_only=False)[row]}
+            for f, v in (values | {"key": key, "line": np.zeros(len(row), np.int32), "at": np.full(len(row), -1, np.int32)}).items():
+                parts[f].append(v.view(np.uint64) if f in ("p1", "p2") else v)
+            waiting += len(key)
+            if waiting > GATHER:
+                yield deal(parts, buckets)
+                parts, waiting = {f: [] for f in FIELDS}, 0
+        if waiting:
+            yield deal(parts, buckets)
+
+    return run
+
+
+def _wanted(asked):
+    """(key, doc_id) of the index keys that `asked` may have counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(asked.value, np.uint8).reshape(2, -1)
+        for batch in batches:
+            key, size = unpack(batch.column("words"))
+            hit = rarity(rows, mix(key)) > 0
+            doc = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), size)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit].astype(np.int64)), pa.array(doc, pa.int64())], names=["key", "doc_id"])
 
     return run
 
@@ -169,7 +216,7 @@ def _verify(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, first: int = 2, most: int = MOST, heads: int = HEADS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
 
     Two rows are linked when den * intersection >= num * union of their sets of k-word shingles
@@ -178,17 +225,19 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     the same doc_id are one document. A null doc_id links with nothing and has a null component.
     Other columns are ignored.
 
-    Tokens count as frequent above `frequent` times the mean load of the sketch's cells. Bitmaps of a
-    fixed size rule out most candidates before texts are compared, and never a link. In at most
-    `rounds` rounds every member of a bucket meets one other member only, so that large groups grow
-    together; then every pair that shares an entry and lies in different components is compared.
+    Tokens count as frequent above `frequent` times the mean load of the sketch's cells. In the first
+    search a document has its `first` likeliest matches under a key compared, and of a key of over
+    `heads` documents, or one that makes its bucket exceed `most` entries, all meet the first ones
+    only. Keys under which that left out a pair are then searched in full, less the pairs within one
+    component. So these three decide how much is compared, never the result. Bitmaps of a fixed size
+    rule out most candidates before texts are compared, and never a link.
     """
     if not den <= 2 * num <= 2 * den:
         raise ValueError("num / den must lie between 0.5 and 1")
     spark = docs.sparkSession
     tables = Scratch(spark, "ngram-join")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    seen = tables.save(raw.mapInArrow(_measure(k, CELLS), SEEN_SCHEMA), "measured")
+    seen = tables.save(raw.mapInArrow(_measure(k, CELLS), SEEN_SCHEMA), "measured", dictionary=False)
     counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
     load = seen.where("block is null").agg(F.sum("n")).first()[0] or 0
     limit = int(np.ceil(4 + 2.2 * np.log2(max(4.0, 16 + frequent * load / CELLS) / 4)))
@@ -196,27 +245,20 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     sets = seen.where("block is null").select("doc_id", "n", "key", "parity")
     linked = sets.where("key is not null and doc_id is not null")
     reps = tables.save(linked.groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
-    node = tables.save(linked.join(reps, "key").select("doc_id", "rep", "n", "parity"), "nodes")  # doc -> the first document with its set
+    node = tables.save(linked.join(reps, "key").select("doc_id", "rep", "n", "parity"), "nodes", dictionary=False)  # doc -> the first document with its set
     ids = raw.where("doc_id is not null and text is not null")
-    entries = tables.save(ids.mapInArrow(_index(k, num, den, shared, limit), "entry long, doc_id long"), "entries")
-    # entries of at least two documents; grouped ahead of the shuffle, then joined back
-    several = tables.save(entries.groupBy("entry").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("entry"), "several")
-    members = tables.save(entries.join(several, "entry").join(node.select("doc_id", "rep").distinct(), "doc_id").select("entry", "rep").distinct(), "members")
-    tables.drop("entries", "several")
-    # of buckets with the same members one is enough
-    mark = members.groupBy("entry").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count("*").alias("size")).where("size > 1")
-    mark = tables.save(mark.groupBy("s", "x", "size").agg(F.min("entry").alias("entry")).select("entry"), "buckets")
-    # a document with one id and several sets has as many rows
-    facts = node.where("doc_id = rep").select("rep", "n", "parity").distinct()
-    members = tables.save(members.join(mark, "entry").join(facts, "rep").select("entry", "rep", "n", "parity"), "bucket-members")
-    tables.drop("members", "buckets")
-
+    index = tables.save(ids.mapInArrow(_index(k, num, den, shared, limit), INDEX), "index", dictionary=False)
+    entries = index.agg(F.sum(F.length("words"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // (WIDE * BUCKET)))
+    met = index.mapInArrow(_deal(buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS)
+    met = tables.save(met.select("doc_id", "doc2", "key").distinct(), "met")
     # rows with one id and different sets belong together
     least = node.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("doc_id", "b")
     links = tables.save(node.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "links-same")
 
     differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
     able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
+    pair = [F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")]
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that are linked."""
@@ -224,31 +266,35 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         texts = tables.save(ids.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), f"{name}-texts")
         near = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         out = tables.save(near.mapInArrow(_verify(k), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
-        tables.drop(f"{name}-texts")
+        tables.drop(f"{name}-texts", f"{name}-wanted")
         return out
 
-    pair = [F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")]
-    tried, few, open_ = None, False, members.withColumn("component", F.col("rep"))
-    for r in range(rounds + 1):
-        if r:
-            group = components(spark, links, tables, f"cc-{r}").select(F.col("node").alias("rep"), "component")
-            open_ = members.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            mixed = open_.groupBy("entry").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("entry")
-            open_ = tables.save(open_.join(tables.save(mixed, f"mixed{r}"), "entry"), f"open{r}")
-        last = r == rounds or (r > 0 and few)
-        them = open_.select("entry", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("parity").alias("parity2"), F.col("component").alias("c2"))
-        if not last:  # the member that comes first by a hash of its own each round
-            first = open_.groupBy("entry").agg(F.min(F.xxhash64("rep", F.lit(r))).alias("h"))
-            them = tables.save(them.withColumn("h", F.xxhash64("other", F.lit(r))).join(first, ["entry", "h"]).drop("h"), f"first{r}")
-        p = open_.join(them, "entry").where((F.col("component") != F.col("c2")) & (F.col("rep") < F.col("other") if last else F.lit(True)) & able).select(*pair).distinct()
-        p = tables.save(p if tried is None else p.join(tried, ["a", "b"], "left_anti"), f"pairs{r}")
-        found = verified(p, f"links{r}")
-        n_found = found.count()
-        few = n_found < max(100, 0.002 * (load and sets.count()))
-        links, tried = links.union(found), p if tried is None else tried.union(p)
-        if last:
-            break
-    group = tables.save(components(spark, links, tables, "cc-end"), "components").select(F.col("node").alias("rep"), "component")
+    def grouped(links: DataFrame, name: str) -> DataFrame:
+        return tables.save(components(spark, links, tables, f"cc-{name}"), name).select(F.col("node").alias("rep"), "component")
+
+    them = node.select(F.col("doc_id").alias("doc2"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
+    pairs = met.where("doc2 is not null").select("doc_id", "doc2").distinct().join(node, "doc_id").join(them, "doc2")
+    pairs = tables.save(pairs.where((F.col("rep") != F.col("other")) & able).select(*pair).distinct(), "pairs")
+    links = links.union(verified(pairs, "links"))
+    group = grouped(links, "groups")
+    left = tables.save(met.where("key is not null").select("key").distinct(), "left")
+    tables.drop("met")
+    if left.take(1):
+        asked = spark.sparkContext.broadcast(merge_sketches(left.mapInArrow(count_keys, "block int, counts binary"), CELLS).tobytes())
+        rows = index.mapInArrow(_wanted(asked), "key long, doc_id long").join(left, "key").join(node.select("doc_id", "rep"), "doc_id")
+        rows = tables.save(rows.select("key", "rep").distinct().join(group, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rows")
+        mixed = tables.save(rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key"), "mixed")
+        facts = node.where("doc_id = rep").select("rep", "n", "parity").distinct()  # a document with one id and several sets has as many rows
+        rows = tables.save(rows.join(mixed, "key").join(facts, "rep"), "rows-mixed")
+        # of a key, every pair of two components has a row outside the largest one
+        main = rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+        minor = tables.save(rows.join(main, "key").where("component <> main").drop("main"), "rows-minor")
+        them = rows.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("parity").alias("parity2"), F.col("component").alias("c2"))
+        more = tables.save(minor.join(them, "key").where((F.col("component") != F.col("c2")) & able).select(*pair).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        tables.drop("rows", "mixed", "rows-mixed", "rows-minor")
+        if more.take(1):
+            group = grouped(links.union(verified(more, "links-more")), "groups-more")
+    tables.drop("pairs", "index", "left", "more")
     whole = node.select("doc_id", "rep").distinct().join(group, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sets.join(tables.save(whole, "whole"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
