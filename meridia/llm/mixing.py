@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, WordHash, column, mix
@@ -99,64 +99,136 @@ def _loss(model: bytes, domains: list[str], grid: list[tuple[float, float]]):
     return run
 
 
-def _dot(g: np.ndarray) -> Column:
-    """tokens x posteriors times g."""
-    return F.col("tokens") * sum((F.col("p")[i] * F.lit(float(x)) for i, x in enumerate(g)), F.lit(0.0))
+class _Steps:
+    """Rates after some gradient steps: each takes posteriors times its move off the rate, and stops at 0."""
 
+    def __init__(self, moves: list[np.ndarray]):
+        self.moves = moves
 
-def fit_rates(scored: DataFrame, weights: np.ndarray, tables: Scratch, *, steps: int = 60, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
-    """scored with a column rate, and the expected share of each domain under it.
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        rate = np.ones(len(p))
+        for move in self.moves:
+            rate = np.maximum(0.0, rate - p @ move)
+        return rate
 
-    Minimises |G^(-1/2) (A r - T)|^2 over r >= 0 from r = 1, where column d of A holds the document's
-    tokens times its posteriors, T is all tokens times the weights and G = A A'. So scaled, the
-    largest eigenvalue is 1, and steps of length 1 are projected-gradient steps that cannot diverge.
-    A step is one sum over the table; only sums, one number a domain, come to the driver.
+
+def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+    values = batch.column(batch.schema.get_field_index(name))
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def _sums(k: int, steps: _Steps, trials: list[np.ndarray]):
+    """For each trial move after the steps: tokens by domain, tokens times what the rates moved squared, and the Gram matrix of rows that stay above 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(trials), k + 1 + k * k))
+        for batch in batches:
+            p, tokens = _matrix(batch, "p", k), batch.column(batch.schema.get_field_index("tokens")).to_numpy().astype(np.float64)
+            rate, weighed = steps.rates(p), p * tokens[:, None]
+            for row, move in zip(total, trials):
+                moved = np.maximum(0.0, rate - p @ move)
+                row[:k] += moved @ weighed
+                row[k] += tokens @ (moved - rate) ** 2
+                row[k + 1 :] += (weighed[moved > 0].T @ p[moved > 0]).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["i", "x"])
+
+    return run
+
+
+def _inverse(gram: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse after scaling to a unit diagonal, so that small domains count as large ones do."""
+    d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    return d[:, None] * np.linalg.pinv(gram * d[:, None] * d[None, :], rcond=1e-10, hermitian=True) * d[None, :]
+
+
+def fit_rates(scored: DataFrame, weights: np.ndarray, *, steps: int = 400, tolerance: float = 1e-7) -> tuple[_Steps, np.ndarray, bool]:
+    """Steps from which rates(p) gives the rate of a row of scored(tokens, p); tokens by domain under them; whether the targets are met.
+
+    Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights.
+    Projected-gradient steps minimise |A r - T| over r >= 0 from r = 1, scaled by 1 / tokens for each
+    row, so that rows of equal posteriors keep equal rates, and by the inverse Gram matrix of the rows
+    that are above 0, which changes as rows reach 0. Each step tries several lengths in one pass over
+    the table and takes the best, among them the step scaled by the Gram matrix of all rows, which
+    never goes up. Ends within `tolerance` of the targets, or where the first-order conditions hold
+    and the targets can't be met; the number of steps is a stop for rounding only. Only sums come to
+    the driver, a few numbers for each pair of domains.
     """
     k = len(weights)
-    rows = tables.save(scored.withColumn("p", F.col("posteriors")).withColumn("rate", F.lit(1.0)), "rates0")
-    a = [F.col("tokens") * F.col("p")[i] for i in range(k)]
-    first = rows.agg(F.sum("tokens").alias("t"), *[F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    total = float(first["t"] or 0)
+
+    def look(done: list[np.ndarray], trials: list[np.ndarray]) -> np.ndarray:
+        rows = scored.select("tokens", "p").mapInArrow(_sums(k, _Steps(done), trials), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(len(trials) * (k + 1 + k * k))
+        for r in rows:
+            out[r["i"]] = float(f"{r['x']:.13g}")  # sums differ in their last digits by the order of tasks
+        return out.reshape(len(trials), -1)
+
+    first = look([], [np.zeros(k)])[0]
+    share, gram = first[:k], first[k + 1 :].reshape(k, k)
+    total = float(share.sum())
     if not total:
-        return rows.drop("p"), np.zeros(k)
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(gram + np.eye(k) * np.trace(gram) * 1e-9)
-    target, rate, share = total * weights, F.col("rate"), None
-    for step in range(steps):
-        got = rows.agg(*[F.sum(rate * x).alias(f"s{i}") for i, x in enumerate(a)]).first()
-        share = np.array([float(f"{x:.10g}") for x in got])
-        move = inverse @ (share - target)
-        if np.abs(share - target).max() <= tolerance * total or step == steps - 1 or (step and np.abs(move - last).max() <= 1e-12 * np.abs(move).max()):
+        return _Steps([]), np.zeros(k), False
+    target, whole, moves = total * weights, _inverse(gram), []
+    miss = lambda s: (s - target) @ whole @ (s - target)
+    for _ in range(steps):
+        if np.abs(share - target).max() <= tolerance * total:
             break
-        last = move
-        rate = F.greatest(F.lit(0.0), rate - _dot(np.array([float(f"{x:.10g}") for x in move])))
-        if step % 8 == 7:  # keep the expression short
-            rows, rate = tables.save(rows.withColumn("rate", rate), f"rates{step}"), F.col("rate")
-    return rows.withColumn("rate", rate).drop("p"), share / max(share.sum(), 1e-300)
+        newton, plain = _inverse(gram) @ (share - target), whole @ (share - target)
+        trials = [plain, *[newton * x for x in (4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.03)]]
+        seen = look(moves, trials)
+        best = min(range(len(trials)), key=lambda i: (miss(seen[i][:k]), i))
+        if seen[0][k] <= 1e-18 * total or miss(seen[best][:k]) >= miss(share) * (1 - 1e-9):
+            break
+        moves.append(trials[best])
+        share, gram = seen[best][:k], seen[best][k + 1 :].reshape(k, k)
+    # within a thousandth of each target, and of all tokens for a target of nothing
+    return _Steps(moves), share, bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
+
+
+def _rate(k: int, steps: _Steps):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(batch.schema.get_field_index("tokens")).to_numpy()
+            rate = np.where(tokens > 0, steps.rates(_matrix(batch, "p", k)), 1.0)
+            at = batch.schema.get_field_index("rate")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(np.round(rate, 6)))
+
+    return run
+
+
+#: Columns that mix_documents adds.
+ADDED = ("tokens", "posteriors", "rate", "copies", "on_target")
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, most_labels: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, tokens, posteriors (in the order of `targets`), rate and copies of every row.
+    """`keep` columns, tokens, posteriors (in the order of `targets`), rate, copies and on_target of every row.
 
     labelled has (doc_id, domain); targets are weights by domain, scaled to sum 1. rate is how often a
     document should be seen, and copies its whole number, rounded up for the share of documents that
-    its fraction says, by a hash of doc_id. A null or empty text has no tokens and the rate 1.
+    its fraction says, by a hash of doc_id. A null or empty text has no tokens and the rate 1. Rows of
+    a null doc_id are scored and rated as others; so are rows of repeated ids, one for one. on_target
+    is the same in every row: false if no rates meet the targets within a thousandth, and the rates
+    are then the nearest in the least-squares sense. Kept columns named as the added ones are left out.
     """
     domains, tables = list(targets), Scratch(docs.sparkSession, "mixing")
+    if not domains or min(targets.values()) < 0 or not sum(targets.values()):
+        raise ValueError("targets must be nonnegative weights, and not all 0")
     weights = np.array([targets[d] for d in domains], float)
+    weights /= weights.sum()
     model, scale, power = learn(docs, labelled, domains, most_labels=most_labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    del model
+    names = [c for c in keep if c not in ADDED]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(*[c for c in keep if c != "text"], F.col("text").cast("binary").alias("text"))
-    names = [c for c in keep if c != "text"]
-    scored = rows.mapInArrow(_lazy(shared, len(domains), scale, power, [*names, *(["text"] if "text" in keep else [])]), ", ".join(f"`{c}` {'binary' if c == 'text' else kinds[c]}" for c in [*names, *(["text"] if "text" in keep else [])]) + ", tokens long, posteriors array<double>")
-    if "text" in keep:
-        scored = scored.withColumn("text", F.col("text").cast("string"))
-    rated, _ = fit_rates(scored, weights / weights.sum(), tables)
-    rated = rated.withColumn("rate", F.round("rate", 6))
-    extra = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003) < F.col("rate") - F.floor("rate")
-    return rated.withColumn("copies", F.floor("rate") + extra.cast("long")).select(*keep, "tokens", "posteriors", "rate", "copies")
+    inner = {c: f"k{i}" for i, c in enumerate(names) if c != "text"}  # names of their own, whatever the columns are called
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()], F.col("text").cast("binary").alias("text"))
+    carry = [*inner.values(), *(["text"] if "text" in names else [])]
+    kept = ", ".join([*[f"{k} {kinds[c]}" for c, k in inner.items()], *(["text binary"] if "text" in names else [])])
+    scored = tables.save(rows.mapInArrow(_lazy(shared, len(domains), scale, power, carry), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
+    steps, _, met = fit_rates(scored, weights)
+    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(_rate(len(domains), steps), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
+    key = F.col(inner["doc_id"]) if "doc_id" in inner else F.monotonically_increasing_id()
+    extra = (F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_003)) / 1_000_003) < F.col("rate") - F.floor("rate")
+    out = [F.col("text").cast("string").alias("text") if c == "text" else F.col(inner[c]).alias(c) for c in names]
+    return rated.select(*out, "tokens", F.col("p").alias("posteriors"), "rate", (F.floor("rate") + extra.cast("long")).alias("copies"), F.lit(met).alias("on_target"))
 
 
 def _lazy(shared, k: int, scale: float, power: float, names: list[str]):
