@@ -21,4 +21,4 @@ def test_words_of_all_documents(spark):
         assert secret_scan.common_words(df, most_words=most) == want[:most]
     long = next(w for w in want if len(w) >= 16).encode()
     m = secret_scan.CANDIDATE.search(long)
-    assert secret_scan.measure(long, m, frozenset(w.encode() for w in want))[secret_scan.FEATURES.index("dictionary")] == 1.0
+    assert secret_scan.measure(long, m, frozenset(w.encode() for w in want))[1][secret_scan.FEATURES.index("dictionary")] == 1.0
