@@ -57,10 +57,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad) of pages whose path ends in the number of a labelled document: bad if a label of it has quality 0."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/(\d+)(?:\.html)?/?$", 1)
+    worst = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    return pages.select("url", number.try_cast("long").alias("doc_id")).join(worst, "doc_id").select("url", "bad")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    worst = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    return url_filter.filter_urls(pages, pages.join(worst, "page_id").select("url", "bad"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {

@@ -44,21 +44,30 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, r"[.-]", "h:"), parts(path, r"[^A-Za-z0-9]+", "p:"), parts(names, "&", "q:")))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8, min_lift: float = 1.5) -> DataFrame:
+def lower_bound(share: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a share seen in n rows; z standard deviations wide."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.0005, min_count: int = 8, min_confidence: float = 0.5, min_lift: float = 2.0, z: float = 2.0) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) for bad URLs from (url, bad boolean).
 
-    FP-growth mines token combinations; those that imply the label with the confidence, support and
-    lift asked for stay, less any that contains another one. Rows with a null url or label are left out.
+    FP-growth mines token combinations. Those stay that imply the label in at least `min_count` rows
+    and the share `min_support` of all, with at least `min_confidence`, and whose confidence is, by
+    the lower end of its interval of width `z`, `min_lift` times the share of bad rows at least. Of
+    rules whose tokens contain those of another one, that other alone stays. Rows with a null url or
+    label are left out; rows of one url count each.
     """
     good = labelled.where("url is not null and bad is not null")
-    rows = good.select(F.when(F.col("bad"), F.array_append(url_tokens(F.col("url")), BAD)).otherwise(url_tokens(F.col("url"))).alias("items"))
-    n = rows.count()
-    spark = labelled.sparkSession
-    if not n:
+    rows = good.select(F.when(F.col("bad"), F.array_append(url_tokens(F.col("url")), BAD)).otherwise(url_tokens(F.col("url"))).alias("items"), "bad")
+    seen = rows.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    spark, n = labelled.sparkSession, seen["n"]
+    if not seen["bad"]:
         return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     share = max(min_support, min_count / n)
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=min_confidence).fit(rows).associationRules
-    kept = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=min_confidence).fit(rows.select("items")).associationRules
+    surely = lower_bound(F.col("confidence"), F.col("support") * n / F.col("confidence"), z) >= min_lift * seen["bad"] / n
+    kept = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & surely).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
     kept = kept.select(F.xxhash64("tokens").alias("rule_id"), "*")
     # of rules whose tokens contain those of another, the other alone is kept; found by shared tokens
     one = kept.select(F.col("rule_id").alias("big"), F.explode("tokens").alias("t"), F.size("tokens").alias("n_big"))
