@@ -206,3 +206,84 @@ def short_link(lon, lat, zoom: int) -> Column:
     code = F.shiftleft(spread_bits(x), 1).bitwiseOR(spread_bits(y))
     n = -(-(zoom + 8) // 3)
     return G.let(code, lambda v: F.concat(*[F.substring(F.lit(LINK), F.shiftrightunsigned(v, 58 - 6 * i).bitwiseAND(F.lit(63)).cast("int") + 1, F.lit(1)) for i in range(n)], F.lit("-" * ((zoom + 8) % 3))))
+
+
+def _plus_digits(code: Column) -> Column:
+    """A full code's digits without plus sign and padding."""
+    return F.rtrim(F.replace(F.upper(code), F.lit("+"), F.lit("")), F.lit("0"))
+
+
+def plus_code_bounds(code) -> Column:
+    """Struct minx, miny, maxx, maxy of a full code of 2 to 15 digits, padded ones too; null for others."""
+    digits = _plus_digits(G.col(code))
+
+    def box(d):
+        n = F.length(d)
+        value = lambda i: F.instr(F.lit(PLUS), F.substring(d, i, F.lit(1))) - 1
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: value(i).cast("long"))
+        paired = F.least(n, F.lit(10))
+        # in units of the finest cell: 1 / 25,000,000 degree up, 1 / 8,192,000 degree across
+        step = lambda i, last: F.pow(F.lit(20.0), 4 - F.floor((i - 1) / 2)) * float(last)
+        up = F.aggregate(F.sequence(F.lit(1), paired), F.lit(0.0), lambda a, i: a + F.when(i % 2 == 1, F.get(each, i - 1) * step(i, 3125)).otherwise(0.0))
+        across = F.aggregate(F.sequence(F.lit(1), paired), F.lit(0.0), lambda a, i: a + F.when(i % 2 == 0, F.get(each, i - 1) * step(i, 1024)).otherwise(0.0))
+        fine = lambda a, i, size, part: a + F.when(i > 10, part(F.get(each, i - 1)) * float(size) / F.pow(F.lit(5.0 if size == 3125 else 4.0), i - 10)).otherwise(0.0)
+        up = F.aggregate(F.sequence(F.lit(1), n), up, lambda a, i: fine(a, i, 3125, lambda v: F.floor(v / 4)))
+        across = F.aggregate(F.sequence(F.lit(1), n), across, lambda a, i: fine(a, i, 1024, lambda v: v % 4))
+        high = F.when(n > 10, 3125.0 / F.pow(F.lit(5.0), n - 10)).otherwise(3125.0 * F.pow(F.lit(20.0), 5 - F.ceil(n / 2)))
+        wide = F.when(n > 10, 1024.0 / F.pow(F.lit(4.0), n - 10)).otherwise(1024.0 * F.pow(F.lit(20.0), 5 - F.ceil(n / 2)))
+        x, y = (lambda v: v / 8_192_000 - 180), (lambda v: v / 25_000_000 - 90)
+        return F.struct(x(across).alias("minx"), y(up).alias("miny"), x(across + wide).alias("maxx"), y(up + high).alias("maxy"))
+
+    full = G.col(code).rlike(r"^(?i)[2-9CFGHJMPQRVWX]{2,8}0*\+[2-9CFGHJMPQRVWX]*$") & (F.instr(G.col(code), "+") == 9)
+    return F.when(full, G.let(digits, box))
+
+
+def plus_code_shorten(code, lon, lat) -> Column:
+    """A full code of at least 8 digits without the pairs that a point nearby tells."""
+    c, b = F.upper(G.col(code)), plus_code_bounds(code)
+
+    def cut(box):
+        apart = F.greatest(F.abs((box["minx"] + box["maxx"]) / 2 - G.number(lon)), F.abs((box["miny"] + box["maxy"]) / 2 - G.number(lat)))
+        out = c
+        for pairs in (1, 2, 3, 4):  # 0.3 of the size of the area that the pairs left away span
+            out = F.when(apart < 20.0 ** (2 - pairs) * 0.3, F.substring(c, F.lit(2 * pairs + 1), F.length(c))).otherwise(out)
+        return out
+
+    return F.when(~c.contains("0"), G.let(b, cut))
+
+
+def plus_code_recover(code, lon, lat) -> Column:
+    """The full code nearest to a point that a shortened one stands for; a full code as it is."""
+    c = F.upper(G.col(code))
+    missing = F.lit(8) - (F.instr(c, "+") - 1)
+    lon_, lat_ = G.number(lon), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), G.number(lat)))
+
+    def near(k):
+        size = F.pow(F.lit(20.0), 2 - k["missing"] / 2)
+
+        def move(box):
+            x, y = (box["minx"] + box["maxx"]) / 2, (box["miny"] + box["maxy"]) / 2
+            dy = F.when((lat_ + size / 2 < y) & (y - size >= -90), -size).when((lat_ - size / 2 > y) & (y + size <= 90), size).otherwise(0.0)
+            dx = F.when(lon_ + size / 2 < x, -size).when(lon_ - size / 2 > x, size).otherwise(0.0)
+            return F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+
+        return G.let(plus_code_bounds(k["full"]), move)
+
+    prefix = F.substring(plus_code(lon, lat), F.lit(1), missing)
+    start = F.struct(missing.alias("missing"), F.concat(prefix, c).alias("full"))
+    digits = F.length(c) - 1 + missing
+    ten = lambda p: plus_code(p["x"], p["y"], 11)
+    out = G.let(G.let(start, near), lambda p: F.substring(ten(p), F.lit(1), digits + 1))
+    return F.when(missing <= 0, c).when(missing <= 8, out)
+
+
+def short_link_point(code) -> Column:
+    """Struct lon, lat, zoom of a map short link; the old letter @ counts as ~. Null for other text."""
+    c = F.replace(G.col(code), F.lit("@"), F.lit("~"))
+    letters = F.regexp_extract(c, r"^([A-Za-z0-9_~]{3,10})(-{0,2})$", 1)
+    n, dashes = F.length(letters), F.length(F.regexp_extract(c, r"^([A-Za-z0-9_~]{3,10})(-{0,2})$", 2))
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: (F.instr(F.lit(LINK), F.substring(letters, i, F.lit(1))) - 1).cast("long"))
+    value = F.aggregate(each, F.struct(F.lit(0).cast("long").alias("v"), F.lit(58).alias("s")), lambda a, d: F.struct(F.when(a["s"] >= 0, a["v"].bitwiseOR(F.call_function("shiftleft", d, F.greatest(a["s"], F.lit(0))))).otherwise(a["v"].bitwiseOR(F.call_function("shiftright", d, F.greatest(-a["s"], F.lit(0))))).alias("v"), (a["s"] - 6).alias("s")), lambda a: a["v"])
+    axis = lambda v, span: gather_bits(v) * (span / 2.0**32) - span / 2
+    zoom = n * 3 - 8 - F.when(dashes > 0, F.lit(3) - dashes).otherwise(0)
+    return F.when(n > 0, G.let(value, lambda v: F.struct(axis(F.shiftrightunsigned(v, 1), 360.0).alias("lon"), axis(v, 180.0).alias("lat"), zoom.cast("int").alias("zoom"))))
