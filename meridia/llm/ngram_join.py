@@ -216,7 +216,7 @@ def _verify(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, first: int = 2, most: int = MOST, heads: int = HEADS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, first: int = 1, most: int = MOST, heads: int = HEADS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
 
     Two rows are linked when den * intersection >= num * union of their sets of k-word shingles
