@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,34 +83,144 @@ def rhumb_bearing(lon1, lat1, lon2, lat2) -> Column:
     return F.pmod(F.degrees(F.atan2(dl, _isometric(d) - _isometric(b))) + 360.0, F.lit(360.0))
 
 
-def vincenty(lon1, lat1, lon2, lat2, *, rounds: int = 20) -> Column:
-    """Geodesic distance on WGS 84 by a fixed number of Vincenty's steps; null where they don't settle (near antipodes)."""
-    a, b, c, d = _rad(lon1, lat1, lon2, lat2)
-    dl = c - a
-    u1, u2 = F.atan((1 - FLAT) * F.tan(b)), F.atan((1 - FLAT) * F.tan(d))
-
-    def parts(lam):
-        s = F.hypot(F.cos(u2) * F.sin(lam), F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam))
-        k = F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)
-        sigma = F.atan2(s, k)
-        sa = F.when(s == 0, 0.0).otherwise(F.cos(u1) * F.cos(u2) * F.sin(lam) / s)
-        ca2 = 1 - sa * sa
-        cm = F.when(ca2 <= 1e-15, 0.0).otherwise(k - 2 * F.sin(u1) * F.sin(u2) / ca2)
-        return s, k, sigma, sa, ca2, cm
-
-    def go(acc, _):
-        s, k, sigma, sa, ca2, cm = parts(acc["lam"])
-        cc = FLAT / 16 * ca2 * (4 + FLAT * (4 - 3 * ca2))
-        lam = dl + (1 - cc) * FLAT * sa * (sigma + cc * s * (cm + cc * k * (-1 + 2 * cm * cm)))
-        return F.struct(lam.alias("lam"), F.abs(lam - acc["lam"]).alias("move"))
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(dl.alias("lam"), F.lit(1.0).alias("move")), go)
-    s, k, sigma, _, ca2, cm = parts(end["lam"])
-    u = ca2 * (A * A - (A * (1 - FLAT)) ** 2) / (A * (1 - FLAT)) ** 2
+def inverse(lon1, lat1, lon2, lat2, a: float = A, f: float = FLAT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(metres, azimuth at the start, azimuth at the end) of geodesics on an ellipsoid, in arrays of degrees.
+
+    Vincenty's steps where they settle. Elsewhere, near antipodes, the azimuth at the start by
+    bisection: it decides where the geodesic comes to the other latitude, by integrals over the
+    auxiliary sphere.
+    """
+    lon1, lat1, lon2, lat2 = np.broadcast_arrays(*(np.asarray(x, float) for x in (lon1, lat1, lon2, lat2)))
+    with np.errstate(all="ignore"):
+        u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
+        dl = np.radians(lon2 - lon1 - 360 * np.round((lon2 - lon1) / 360))
+        s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+        lam, move = dl.copy(), np.full(dl.shape, np.inf)
+        for _ in range(40):
+            x, y = c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)
+            ss, cs = np.hypot(x, y), s1 * s2 + c1 * c2 * np.cos(lam)
+            sigma = np.arctan2(ss, cs)
+            sa = np.where(ss > 0, c1 * c2 * np.sin(lam) / np.where(ss > 0, ss, 1), 0)
+            ca2 = 1 - sa * sa
+            cm = np.where(ca2 > 1e-15, cs - 2 * s1 * s2 / np.where(ca2 > 1e-15, ca2, 1), 0)
+            cc = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+            new = dl + (1 - cc) * f * sa * (sigma + cc * ss * (cm + cc * cs * (-1 + 2 * cm * cm)))
+            move, lam = np.abs(new - lam), new
+            if not (move > 1e-13).any():
+                break
+        u = ca2 * f * (2 - f) / (1 - f) ** 2
+        aa = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        bb = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        ds = bb * ss * (cm + bb / 4 * (cs * (-1 + 2 * cm * cm) - bb / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))
+        metres = a * (1 - f) * aa * (sigma - ds)
+        first, last = np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)), np.arctan2(c1 * np.sin(lam), -s1 * c2 + c1 * s2 * np.cos(lam))
+    out = np.array(metres), np.degrees(first) % 360, np.degrees(last) % 360
+    odd = np.flatnonzero(((move > 1e-12) | (np.abs(lam) > np.pi)).ravel() & np.isfinite(dl + u1 + u2).ravel())
+    if len(odd):
+        got = _antipodal(*(x.ravel()[odd] for x in (dl, u1, u2)), a, f)
+        for k in range(3):
+            out[k].ravel()[odd] = got[k]
+    return out
+
+
+def _antipodal(dl, u1, u2, a, f):
+    """As inverse, from differences of longitude and reduced latitudes in radians, by bisection."""
+    nodes, weights = np.polynomial.legendre.leggauss(24)
+    east, dl = np.where(dl < 0, -1.0, 1.0), np.abs(dl)
+    swap = np.abs(u1) < np.abs(u2)
+    b1, b2 = np.where(swap, u2, u1), np.where(swap, u1, u2)
+    north = np.where(b1 > 0, -1.0, 1.0)
+    b1, b2 = np.minimum(b1 * north, -1e-15), b2 * north  # the start is south of the equator, and the farther from it
+
+    def walk(alpha):
+        s0 = np.sin(alpha) * np.cos(b1)
+        c0 = np.sqrt(np.maximum(0, 1 - s0 * s0))
+        ca2 = np.sqrt(np.maximum(0, np.cos(alpha) ** 2 * np.cos(b1) ** 2 + np.cos(b2) ** 2 - np.cos(b1) ** 2))
+        g1, g2 = np.arctan2(np.sin(b1), np.cos(alpha) * np.cos(b1)), np.arctan2(np.sin(b2), ca2)
+        w = np.arctan2(s0 * np.sin(g2), np.cos(g2)) - np.arctan2(s0 * np.sin(g1), np.cos(g1))
+        w = np.where(w < 0, w + 2 * np.pi, w)
+        k2 = f * (2 - f) / (1 - f) ** 2 * c0 * c0
+        at = (g2 + g1)[:, None] / 2 + (g2 - g1)[:, None] / 2 * nodes
+        root = np.sqrt(1 + k2[:, None] * np.sin(at) ** 2)
+        half = (g2 - g1) / 2
+        lam = w - f * s0 * half * (((2 - f) / (1 + (1 - f) * root)) @ weights)
+        return lam, a * (1 - f) * half * (root @ weights), np.arctan2(np.sin(alpha) * np.cos(b1) / np.maximum(np.cos(b2), 1e-300), ca2 / np.maximum(np.cos(b2), 1e-300))
+
+    low, high = np.zeros(len(dl)), np.full(len(dl), np.pi)
+    for _ in range(60):
+        mid = (low + high) / 2
+        less = walk(mid)[0] < dl
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    first = (low + high) / 2
+    _, metres, last = walk(first)
+    # back: mirrored, and from the other end
+    sa, ca, sb, cb = np.sin(first), np.cos(first), np.sin(last), np.cos(last)
+    sa, ca, sb, cb = np.where(swap, sb, sa), np.where(swap, -cb, ca) * np.where(swap, 1, 1), np.where(swap, sa, sb), np.where(swap, -ca, cb)
+    return metres, np.degrees(np.arctan2(sa * east, ca * north)) % 360, np.degrees(np.arctan2(sb * east, cb * north)) % 360
+
+
+def direct(lon, lat, azimuth, metres, a: float = A, f: float = FLAT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lon, lat, azimuth) at the end of geodesics of a length, in arrays of degrees."""
+    lon, lat, azimuth, metres = np.broadcast_arrays(*(np.asarray(x, float) for x in (lon, lat, azimuth, metres)))
+    alpha, tu = np.radians(azimuth), (1 - f) * np.tan(np.radians(lat))
+    u1 = np.arctan(tu)
+    su, cu, sa, ca = np.sin(u1), np.cos(u1), np.sin(alpha), np.cos(alpha)
+    s1 = np.arctan2(tu, ca)
+    s0 = cu * sa
+    c2 = 1 - s0 * s0
+    u = c2 * f * (2 - f) / (1 - f) ** 2
     aa = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
     bb = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    ds = bb * s * (cm + bb / 4 * (k * (-1 + 2 * cm * cm) - bb / 6 * cm * (-3 + 4 * s * s) * (-3 + 4 * cm * cm)))
-    return F.when(s == 0, F.when(k > 0, 0.0)).when(end["move"] < 1e-11, A * (1 - FLAT) * aa * (sigma - ds))
+    sigma = metres / (a * (1 - f) * aa)
+    for _ in range(30):
+        cm, ss, cs = np.cos(2 * s1 + sigma), np.sin(sigma), np.cos(sigma)
+        ds = bb * ss * (cm + bb / 4 * (cs * (-1 + 2 * cm * cm) - bb / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))
+        sigma = metres / (a * (1 - f) * aa) + ds
+    cm, ss, cs = np.cos(2 * s1 + sigma), np.sin(sigma), np.cos(sigma)
+    y = su * cs + cu * ss * ca
+    phi = np.arctan2(y, (1 - f) * np.hypot(s0, su * ss - cu * cs * ca))
+    lam = np.arctan2(ss * sa, cu * cs - su * ss * ca)
+    cc = f / 16 * c2 * (4 + f * (4 - 3 * c2))
+    dl = lam - (1 - cc) * f * s0 * (sigma + cc * ss * (cm + cc * cs * (-1 + 2 * cm * cm)))
+    out = lon + np.degrees(dl)
+    return out - 360 * np.floor((out + 180) / 360), np.degrees(phi), np.degrees(np.arctan2(s0, cu * cs * ca - su * ss)) % 360
+
+
+def geodesic_inverse(lon1, lat1, lon2, lat2) -> Column:
+    """Struct distance, azimuth1, azimuth2 on WGS 84; all null if a coordinate is."""
+
+    @F.pandas_udf("distance double, azimuth1 double, azimuth2 double")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("distance", "azimuth1", "azimuth2"), inverse(a, b, c, d))))
+
+    return run(*map(G.number, (lon1, lat1, lon2, lat2)))
+
+
+def geodesic_direct(lon, lat, azimuth, metres) -> Column:
+    """Struct lon, lat, azimuth at the end of a geodesic on WGS 84."""
+
+    @F.pandas_udf("lon double, lat double, azimuth double")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("lon", "lat", "azimuth"), direct(a, b, c, d))))
+
+    return run(*map(G.number, (lon, lat, azimuth, metres)))
+
+
+def geodesic_interpolate(lon1, lat1, lon2, lat2, fraction) -> Column:
+    """Struct lon, lat of the place that part of the way along the geodesic on WGS 84."""
+
+    @F.pandas_udf("lon double, lat double")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, t: pd.Series) -> pd.DataFrame:
+        metres, azimuth, _ = inverse(a, b, c, d)
+        lon, lat, _ = direct(a, b, azimuth, metres * t.to_numpy())
+        return pd.DataFrame({"lon": lon, "lat": lat})
+
+    return run(*map(G.number, (lon1, lat1, lon2, lat2, fraction)))
+
+
+def vincenty(lon1, lat1, lon2, lat2) -> Column:
+    """Geodesic distance in metres on WGS 84."""
+    return geodesic_inverse(lon1, lat1, lon2, lat2)["distance"]
 
 
 def to_web_mercator(lon, lat) -> Column:
