@@ -54,6 +54,15 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a written table, of ids and numbers, that may be broadcast after a count.
+FEW = 100_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if a count shows that it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """`name`, or with underscores after it what no column of the frames is called, in any case of letters."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -10,6 +10,7 @@ texts. What a bucket leaves out is searched again among documents that are not i
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, WIDE, count_keys, deal, pack, search, unpack
-from ._common import Scratch, Sketch, WordHash, column, components, merge_sketches, mix, rarity, shingles
+from ._common import Scratch, Sketch, WordHash, column, components, if_few, merge_sketches, mix, rarity, shingles
 
 #: Counter cells of each sketch row; prefix tokens to a group, about; size classes below that combine nothing.
 CELLS, GROUP, SMALL = 1 << 21, 6, 20
@@ -152,8 +153,8 @@ def _index(k: int, num: int, den: int, shared, limit: int):
                 continue
             seen.add(key)
             e = mix(prefix_entries(s, rarity(counts, s), limit, num, den, bounds)) >> np.uint64(16)
-            bits = parity(s)  # folded, it is still a bitmap of parities
-            rows.append((doc, len(s), int.from_bytes(key[:4], "little"), np.bitwise_xor.reduce(bits[: len(bits) // 2]), np.bitwise_xor.reduce(bits[len(bits) // 2 :]), np.unique(e)))
+            # folded, it is still a bitmap of parities; it tells small sets apart, and pairs of large ones meet the whole bitmaps later
+            rows.append((doc, len(s), int.from_bytes(key[:4], "little"), np.bitwise_xor.reduce(parity(s)), np.int64(0), np.unique(e)))
             waiting += len(e)
             if waiting > 500_000 or len(rows) == 5000:
                 yield flush()
@@ -197,6 +198,12 @@ def _wanted(asked):
     return run
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled twice."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x, 1) for x in column(batch, "text")], pa.binary())], names=["rep", "text"])
+
+
 def _verify(k: int):
     """(a, b, both, union): intersection and union sizes of the pairs' shingle sets."""
 
@@ -206,8 +213,8 @@ def _verify(k: int):
             both, union = [], []
             for x, y in zip(column(batch, "text_a"), column(batch, "text_b")):
                 if last[0] != y:
-                    last = (y, shingle_set(words.text(y), k))
-                s, t = shingle_set(words.text(x), k), last[1]
+                    last = (y, shingle_set(words.text(zlib.decompress(y)), k))
+                s, t = shingle_set(words.text(zlib.decompress(x)), k), last[1]
                 i = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
                 both.append(i)
                 union.append(len(s) + len(t) - i)
@@ -216,7 +223,7 @@ def _verify(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, frequent: float = 8.0, first: int = 1, most: int = MOST, heads: int = HEADS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, often: int = 4096, first: int = 2, most: int = MOST, heads: int = HEADS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
 
     Two rows are linked when den * intersection >= num * union of their sets of k-word shingles
@@ -225,11 +232,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     the same doc_id are one document. A null doc_id links with nothing and has a null component.
     Other columns are ignored.
 
-    Tokens count as frequent above `frequent` times the mean load of the sketch's cells. In the first
-    search a document has its `first` likeliest matches under a key compared, and of a key of over
-    `heads` documents, or one that makes its bucket exceed `most` entries, all meet the first ones
-    only. Keys under which that left out a pair are then searched in full, less the pairs within one
-    component. So these three decide how much is compared, never the result. Bitmaps of a fixed size
+    Tokens count as frequent in over `often` documents, or 8 times the mean load of the sketch's cells
+    where that is more. In the first search a document has its `first` likeliest matches under a key
+    compared, and of a key of over `heads` documents, or one that makes its bucket exceed `most`
+    entries, all meet the first ones only. Keys under which that left out a pair are then searched in
+    full, less the pairs within one component. So these four decide how much is compared, never the
+    result. Bitmaps of a fixed size
     rule out most candidates before texts are compared, and never a link.
     """
     if not den <= 2 * num <= 2 * den:
@@ -240,7 +248,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     seen = tables.save(raw.mapInArrow(_measure(k, CELLS), SEEN_SCHEMA), "measured", dictionary=False)
     counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
     load = seen.where("block is null").agg(F.sum("n")).first()[0] or 0
-    limit = int(np.ceil(4 + 2.2 * np.log2(max(4.0, 16 + frequent * load / CELLS) / 4)))
+    limit = int(np.ceil(4 + 2.2 * np.log2(max(4.0, often, 16 + 8 * load / CELLS if often else 0) / 4)))
     shared = spark.sparkContext.broadcast(counts.tobytes())
     sets = seen.where("block is null").select("doc_id", "n", "key", "parity")
     linked = sets.where("key is not null and doc_id is not null")
@@ -263,7 +271,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that are linked."""
         wanted = tables.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-wanted")
-        texts = tables.save(ids.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), f"{name}-texts")
+        texts = ids.join(if_few(wanted), "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shrink, "rep long, text binary")
+        texts = tables.save(texts, f"{name}-texts", dictionary=False)
         near = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         out = tables.save(near.mapInArrow(_verify(k), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
         tables.drop(f"{name}-texts", f"{name}-wanted")
@@ -273,8 +282,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         return tables.save(components(spark, links, tables, f"cc-{name}"), name).select(F.col("node").alias("rep"), "component")
 
     them = node.select(F.col("doc_id").alias("doc2"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
-    pairs = met.where("doc2 is not null").select("doc_id", "doc2").distinct().join(node, "doc_id").join(them, "doc2")
-    pairs = tables.save(pairs.where((F.col("rep") != F.col("other")) & able).select(*pair).distinct(), "pairs")
+    met_pairs = tables.save(met.where("doc2 is not null").select("doc_id", "doc2").distinct(), "met-pairs")
+    mine = tables.save(node.join(if_few(met_pairs), "doc_id"), "met-facts", dictionary=False)
+    pairs = them.join(if_few(mine), "doc2").where((F.col("rep") != F.col("other")) & able).select(*pair).distinct()
+    pairs = tables.save(pairs, "pairs")
+    tables.drop("met-pairs", "met-facts")
     links = links.union(verified(pairs, "links"))
     group = grouped(links, "groups")
     left = tables.save(met.where("key is not null").select("key").distinct(), "left")
