@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,36 +29,71 @@ def _meet(grow: float = 0.0) -> Column:
     return (c("l_minx") - grow <= c("r_maxx")) & (c("r_minx") <= c("l_maxx") + grow) & (c("l_miny") - grow <= c("r_maxy")) & (c("r_miny") <= c("l_maxy") + grow)
 
 
-def cell_size(sides: list[tuple[DataFrame, str]], grow: float) -> float:
-    """A grid that boxes of average extent meet in few cells, from one aggregate a side."""
-    best = 0.0
+def extents(sides: list[tuple[DataFrame, str]], grow: float) -> tuple[float, float]:
+    """(size of a grid that boxes of average extent meet in few cells, the largest extent), from one aggregate a side."""
+    best, widest = 0.0, 0.0
     for df, p in sides:
-        r = df.agg(F.avg(F.greatest(F.col(f"{p}_maxx") - F.col(f"{p}_minx"), F.col(f"{p}_maxy") - F.col(f"{p}_miny"))).alias("e"), F.max(f"{p}_maxx").alias("x1"), F.min(f"{p}_minx").alias("x0"), F.count("*").alias("n")).first()
+        extent = F.greatest(F.col(f"{p}_maxx") - F.col(f"{p}_minx"), F.col(f"{p}_maxy") - F.col(f"{p}_miny"))
+        r = df.agg(F.percentile_approx(extent, 0.5).alias("e"), F.max(extent).alias("most"), F.max(f"{p}_maxx").alias("x1"), F.min(f"{p}_minx").alias("x0"), F.count("*").alias("n")).first()
         if r["n"]:
             best = max(best, 2 * ((r["e"] or 0.0) + grow), ((r["x1"] or 0.0) - (r["x0"] or 0.0)) / max(1.0, math.sqrt(r["n"])) / 4)
-    return best or 1.0
+            widest = max(widest, (r["most"] or 0.0) + 2 * grow)
+    return best or 1.0, widest
 
 
-def _cells(p: str, size: float, grow: float) -> Column:
-    at = lambda c, g: F.floor((F.col(f"{p}_{c}") + g) / size)
-    return F.flatten(F.transform(F.sequence(at("minx", -grow), at("maxx", grow)), lambda x: F.transform(F.sequence(at("miny", -grow), at("maxy", grow)), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+def _level(p: str, size: float, grow: float) -> Column:
+    """0 for extents up to a cell's side, and one more for each four times that."""
+    extent = F.greatest(F.col(f"{p}_maxx") - F.col(f"{p}_minx"), F.col(f"{p}_maxy") - F.col(f"{p}_miny")) + 2 * grow
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(extent, F.lit(size)) / size) - 1e-9)).cast("int")
+
+
+def _cells(p: str, size: float, grow: float, top: int) -> Column:
+    """Cells that a box meets, on its own level and all coarser ones: at most four on each."""
+
+    def of(j):
+        side = size * F.pow(F.lit(4.0), j)
+        at = lambda c, g: F.floor((F.col(f"{p}_{c}") + g) / side)
+        return F.flatten(F.transform(F.sequence(at("minx", -grow), at("maxx", grow)), lambda x: F.transform(F.sequence(at("miny", -grow), at("maxy", grow)), lambda y: F.struct(j.alias("j"), x.alias("cx"), y.alias("cy")))))
+
+    return F.flatten(F.transform(F.sequence(F.col(f"{p}_level"), F.lit(top)), of))
+
+
+#: Bytes that a side may have to be broadcast, at 32 a vertex and 64 a row.
+MOST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, geometry: str, most: int) -> int | None:
+    """The bytes of a side of at most `most` rows, counted; None if it is larger than may be broadcast."""
+    r = df.limit(most + 1).agg(F.count("*").alias("n"), F.sum(G.num_coordinates(F.col(geometry))).alias("v")).first()
+    size = 64 * r["n"] + 32 * (r["v"] or 0)
+    return size if r["n"] <= most and size <= MOST_BYTES else None
 
 
 def candidates(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, *, within: float = 0.0, most_broadcast: int = 20_000, size: float | None = None) -> DataFrame:
     """Pairs of rows whose bounds meet, or come within a distance, each once; columns of both sides.
 
-    A right side of at most `most_broadcast` rows (counted) is broadcast and compared by bounds. Beyond,
-    both sides are dealt over grid cells and joined on the cell; a pair is kept in the one cell that
-    holds the lower corner of its common bounds, so nothing has to be deduplicated. Missing and empty
-    geometries pair with nothing. Column names of the sides must differ.
+    A side of at most `most_broadcast` rows and MOST_BYTES (counted), the smaller one if both are, is
+    broadcast and compared by bounds, so the larger one streams. Beyond, both sides are dealt over
+    grid cells and joined on the cell. Large boxes have coarser cells, so none has more than a few; a
+    pair meets on the level of the larger box, in the one cell that holds the lower corner of its
+    common bounds, so nothing has to be deduplicated. Missing and empty geometries pair with nothing.
+    Column names of the sides must differ.
     """
     l, r = with_bounds(left, left_geometry, "l").where("l_minx is not null"), with_bounds(right, right_geometry, "r").where("r_minx is not null")
-    if right.limit(most_broadcast + 1).count() <= most_broadcast:
+    bytes_r = small(right, right_geometry, most_broadcast)
+    bytes_l = small(left, left_geometry, most_broadcast) if bytes_r is None or bytes_r > 1 << 16 else None
+    if bytes_l is not None and (bytes_r is None or bytes_l < bytes_r):
+        return r.join(F.broadcast(l), _meet(within))
+    if bytes_r is not None:
         return l.join(F.broadcast(r), _meet(within))
-    size = size or cell_size([(l, "l"), (r, "r")], within)
-    lc, rc = l.withColumn("cell", F.explode(_cells("l", size, within))), r.withColumn("cell", F.explode(_cells("r", size, 0.0)))
-    home = (F.floor(F.greatest(F.col("l_minx") - within, F.col("r_minx")) / size) == F.col("cell")["cx"]) & (F.floor(F.greatest(F.col("l_miny") - within, F.col("r_miny")) / size) == F.col("cell")["cy"])
-    return lc.join(rc, "cell").where(_meet(within) & home).drop("cell")
+    found, widest = extents([(l, "l"), (r, "r")], within)
+    size = size or found
+    top = max(0, math.ceil(math.log(max(widest, size) / size, 4) - 1e-9))
+    l, r = l.withColumn("l_level", _level("l", size, within)), r.withColumn("r_level", _level("r", size, 0.0))
+    lc, rc = l.withColumn("cell", F.explode(_cells("l", size, within, top))), r.withColumn("cell", F.explode(_cells("r", size, 0.0, top)))
+    side = size * F.pow(F.lit(4.0), F.col("cell")["j"])
+    home = (F.floor(F.greatest(F.col("l_minx") - within, F.col("r_minx")) / side) == F.col("cell")["cx"]) & (F.floor(F.greatest(F.col("l_miny") - within, F.col("r_miny")) / side) == F.col("cell")["cy"])
+    return lc.join(rc, "cell").where((F.col("cell")["j"] == F.greatest("l_level", "r_level")) & _meet(within) & home).drop("cell", "l_level", "r_level")
 
 
 def refine(predicate: str, left: str, right: str, left_kind: str | None, right_kind: str | None) -> Column:
@@ -126,7 +163,10 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     smaller right_ids go first.
     """
     l = left.where(~G.is_empty(F.col(left_geometry)) & F.col(left_geometry).isNotNull()).select(left_id, left_geometry)
-    r = right.where(~G.is_empty(F.col(right_geometry)) & F.col(right_geometry).isNotNull()).select(right_id, right_geometry).cache()
+    r = right.where(~G.is_empty(F.col(right_geometry)) & F.col(right_geometry).isNotNull()).select(right_id, right_geometry)
+    most = plan.get("most_broadcast", 20_000)
+    if small(r, right_geometry, most) is not None and not r.where(G.kind(F.col(right_geometry)) != 1).limit(1).count():
+        return _nearest_points(l, r, left_id, right_id, left_geometry, right_geometry, k, ties)
     box, n = r.select(G.bounds(F.col(right_geometry)).alias("b")).agg(F.min("b.minx"), F.min("b.miny"), F.max("b.maxx"), F.max("b.maxy")).first(), r.count()
     if not n:
         return l.limit(0).select(left_id).crossJoin(r.limit(0).select(right_id)).select("*", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
@@ -154,6 +194,41 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     return out.select(left_id, right_id, "distance", "rank")
 
 
+#: Distances held at once.
+DISTANCES = 1 << 21
+
+
+def _nearest_points(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_geometry: str, right_geometry: str, k: int, ties: bool) -> DataFrame:
+    """nearest for points on both sides, the right ones few enough to go to every executor (counted by the caller)."""
+    rows = right.select(F.col(right_id), G.x(right_geometry).alias("x"), G.y(right_geometry).alias("y")).orderBy(right_id).toArrow()
+    shared = left.sparkSession.sparkContext.broadcast((rows.column("x").to_numpy(), rows.column("y").to_numpy(), rows.column(right_id).combine_chunks()))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((left, left_id), (right, right_id))}
+
+    def run(batches):
+        rx, ry, ids = shared.value
+        n = len(rx)
+        for batch in batches:
+            x, y = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            step = max(1, DISTANCES // max(1, n))
+            for a in range(0, len(x) if n else 0, step):
+                d = np.sqrt((rx[None, :] - x[a : a + step, None]) ** 2 + (ry[None, :] - y[a : a + step, None]) ** 2)
+                limit = np.partition(d, min(k, n) - 1, axis=1)[:, min(k, n) - 1] if n else None
+                i, j = np.nonzero(d <= limit[:, None])
+                order = np.lexsort((j, d[i, j], i))  # right rows come in the order of their ids
+                i, j = i[order], j[order]
+                far = d[i, j]
+                start = np.searchsorted(i, i)
+                place = np.arange(len(i)) - start + 1
+                if ties:
+                    new = np.concatenate([[True], (i[1:] != i[:-1]) | (far[1:] != far[:-1])])
+                    place = place[np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))]
+                keep = place <= k
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i[keep] + a)), ids.take(pa.array(j[keep])), pa.array(far[keep]), pa.array(place[keep].astype(np.int32))], names=[left_id, right_id, "distance", "rank"])
+
+    points = left.select(F.col(left_id), G.x(left_geometry).alias("x"), G.y(left_geometry).alias("y"))
+    return points.mapInArrow(run, f"`{left_id}` {kinds[left_id]}, `{right_id}` {kinds[right_id]}, distance double, rank int")
+
+
 def filter_box(df: DataFrame, geometry: str, minx: float, miny: float, maxx: float, maxy: float, *, bounds: tuple[str, str, str, str] | None = None) -> DataFrame:
     """Rows whose bounds meet a box; with stored bounds columns the scan itself skips row groups."""
     if bounds:
