@@ -42,3 +42,10 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 360 - 180).cast("double").alias("x"), F.col("value").alias("y"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("m"))
     sort = F.sort_array(F.collect_list(F.struct("ts", "event_id", G.vertex(F.col("x"), F.col("y"), None, F.col("m")).alias("v"))))
     return e.groupBy("user_id").agg(sort.alias("s")).where("size(s) > 1").select("user_id", G.line_string(F.transform("s", lambda v: v["v"])).alias("traj"))
+
+
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of customers and suppliers that have traded, each once, with the points of both."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    pairs = lines.join(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").select("c_custkey", "s_suppkey").distinct()
+    return pairs.join(customers(spark, sf), "c_custkey").join(suppliers(spark, sf), "s_suppkey")
