@@ -215,8 +215,6 @@ def _plus_digits(code: Column) -> Column:
 
 def plus_code_bounds(code) -> Column:
     """Struct minx, miny, maxx, maxy of a full code of 2 to 15 digits, padded ones too; null for others."""
-    digits = _plus_digits(G.col(code))
-
     def box(d):
         n = F.length(d)
         value = lambda i: F.instr(F.lit(PLUS), F.substring(d, i, F.lit(1))) - 1
@@ -234,47 +232,39 @@ def plus_code_bounds(code) -> Column:
         x, y = (lambda v: v / 8_192_000 - 180), (lambda v: v / 25_000_000 - 90)
         return F.struct(x(across).alias("minx"), y(up).alias("miny"), x(across + wide).alias("maxx"), y(up + high).alias("maxy"))
 
-    full = G.col(code).rlike(r"^(?i)[2-9CFGHJMPQRVWX]{2,8}0*\+[2-9CFGHJMPQRVWX]*$") & (F.instr(G.col(code), "+") == 9)
-    return F.when(full, G.let(digits, box))
+    full = lambda c: c.rlike(r"^(?i)[2-9CFGHJMPQRVWX]{2,8}0*\+[2-9CFGHJMPQRVWX]*$") & (F.instr(c, "+") == 9)
+    return G.let(G.col(code), lambda c: F.when(full(c), G.let(_plus_digits(c), box)))
 
 
 def plus_code_shorten(code, lon, lat) -> Column:
     """A full code of at least 8 digits without the pairs that a point nearby tells."""
-    c, b = F.upper(G.col(code)), plus_code_bounds(code)
 
-    def cut(box):
-        apart = F.greatest(F.abs((box["minx"] + box["maxx"]) / 2 - G.number(lon)), F.abs((box["miny"] + box["maxy"]) / 2 - G.number(lat)))
+    def cut(k):
+        box, c = k["b"], k["c"]
         out = c
         for pairs in (1, 2, 3, 4):  # 0.3 of the size of the area that the pairs left away span
-            out = F.when(apart < 20.0 ** (2 - pairs) * 0.3, F.substring(c, F.lit(2 * pairs + 1), F.length(c))).otherwise(out)
-        return out
+            out = F.when(k["apart"] < 20.0 ** (2 - pairs) * 0.3, F.substring(c, F.lit(2 * pairs + 1), F.length(c))).otherwise(out)
+        return F.when(~c.contains("0") & box.isNotNull(), out)
 
-    return F.when(~c.contains("0"), G.let(b, cut))
+    apart = lambda k: F.greatest(F.abs((k["b"]["minx"] + k["b"]["maxx"]) / 2 - k["x"]), F.abs((k["b"]["miny"] + k["b"]["maxy"]) / 2 - k["y"]))
+    at = G.let(F.upper(G.col(code)), lambda c: F.struct(c.alias("c"), plus_code_bounds(c).alias("b"), G.number(lon).alias("x"), G.number(lat).alias("y")))
+    return G.let(G.let(at, lambda k: F.struct(k["c"].alias("c"), k["b"].alias("b"), apart(k).alias("apart"))), cut)
 
 
 def plus_code_recover(code, lon, lat) -> Column:
     """The full code nearest to a point that a shortened one stands for; a full code as it is."""
-    c = F.upper(G.col(code))
-    missing = F.lit(8) - (F.instr(c, "+") - 1)
-    lon_, lat_ = G.number(lon), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), G.number(lat)))
 
     def near(k):
         size = F.pow(F.lit(20.0), 2 - k["missing"] / 2)
-
-        def move(box):
-            x, y = (box["minx"] + box["maxx"]) / 2, (box["miny"] + box["maxy"]) / 2
-            dy = F.when((lat_ + size / 2 < y) & (y - size >= -90), -size).when((lat_ - size / 2 > y) & (y + size <= 90), size).otherwise(0.0)
-            dx = F.when(lon_ + size / 2 < x, -size).when(lon_ - size / 2 > x, size).otherwise(0.0)
-            return F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-
-        return G.let(plus_code_bounds(k["full"]), move)
-
-    prefix = F.substring(plus_code(lon, lat), F.lit(1), missing)
-    start = F.struct(missing.alias("missing"), F.concat(prefix, c).alias("full"))
-    digits = F.length(c) - 1 + missing
-    ten = lambda p: plus_code(p["x"], p["y"], 11)
-    out = G.let(G.let(start, near), lambda p: F.substring(ten(p), F.lit(1), digits + 1))
-    return F.when(missing <= 0, c).when(missing <= 8, out)
+        x, y = (k["b"]["minx"] + k["b"]["maxx"]) / 2, (k["b"]["miny"] + k["b"]["maxy"]) / 2
+        dy = F.when((k["y"] + size / 2 < y) & (y - size >= -90), -size).when((k["y"] - size / 2 > y) & (y + size <= 90), size).otherwise(0.0)
+        dx = F.when(k["x"] + size / 2 < x, -size).when(k["x"] - size / 2 > x, size).otherwise(0.0)
+        moved = G.let(F.struct((x + dx).alias("x"), (y + dy).alias("y")), lambda p: plus_code(p["x"], p["y"], 11))
+        return F.when(k["missing"] <= 0, k["c"]).when(k["missing"] <= 8, F.substring(moved, F.lit(1), F.length(k["c"]) - 1 + k["missing"] + 1))
+
+    start = G.let(F.upper(G.col(code)), lambda c: F.struct(c.alias("c"), (F.lit(9) - F.instr(c, "+")).alias("missing"), G.number(lon).alias("x"), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), G.number(lat))).alias("y")))
+    full = lambda k: F.concat(F.substring(plus_code(k["x"], k["y"]), F.lit(1), k["missing"]), k["c"])
+    return G.let(G.let(start, lambda k: F.struct(k["c"].alias("c"), k["missing"].alias("missing"), k["x"].alias("x"), k["y"].alias("y"), plus_code_bounds(full(k)).alias("b"))), near)
 
 
 def short_link_point(code) -> Column:

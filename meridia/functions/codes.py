@@ -32,7 +32,9 @@ def size_text(size) -> Column:
     text = F.lit("(too large to display)")
     for i in range(len(SIZES), 0, -1):
         part = n / float(1024**i)
-        shown = F.concat(F.when(part < 10, F.format_string("%.2f", part)).otherwise(F.format_string("%.1f", part)), F.lit(f" {SIZES[i - 1]}"))
+        # ties go to the even digit
+        digits = lambda k: F.bround(part.cast("decimal(38,18)"), k).cast(f"decimal(38,{k})").cast("string")  # noqa: E731, B023
+        shown = F.concat(F.when(part < 10, digits(2)).otherwise(digits(1)), F.lit(f" {SIZES[i - 1]}"))
         text = F.when(n < float(1024 ** (i + 1)), shown).otherwise(text)
     text = F.when(n < 1024, F.concat(F.floor(n).cast("string"), F.lit(" B"))).otherwise(text)
     odd = F.when(F.isnan(v), "(nan)").when(v == math.inf, "(inf)").when(v == -math.inf, "(-inf)")

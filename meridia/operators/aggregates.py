@@ -44,7 +44,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def collect(geometry) -> Column:
     """Aggregate: the group's single geometries as one of the multi kind."""
     all_ = F.collect_list(G.col(geometry))
-    return F.when(F.size(all_) > 0, F.struct(F.get(all_, F.lit(0))["kind"].cast("int").alias("k"), F.flatten(F.transform(all_, lambda g: g["parts"])).alias("p"))).withField("k", F.when(F.get(all_, F.lit(0))["kind"] <= 3, F.get(all_, F.lit(0))["kind"] + 3).otherwise(F.get(all_, F.lit(0))["kind"]))
+    first = F.get(all_, F.lit(0))["kind"]
+    made = F.struct(F.when(first <= 3, first + 3).otherwise(first).cast("int").alias("kind"), F.flatten(F.transform(all_, lambda g: g["parts"])).alias("parts"))
+    return F.when(F.size(all_) > 0, made).cast(G.GEOMETRY)
 
 
 def spatial_sort(df: DataFrame, geometry: str, *, level: int = 16, curve: str = "hilbert", partitions: int | None = None) -> DataFrame:
