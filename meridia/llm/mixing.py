@@ -25,12 +25,11 @@ def word_buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each domain have a word in each bucket."""
     hashes, counts, docs = WordHash(lower=True), {}, {}
     for batch in batches:
         for domain, words in zip(column(batch, "domain"), hashes.texts(column(batch, "text"))):
-            at = word_buckets(words)
-            c = counts.setdefault(domain, np.zeros(1 << BITS, np.int64))
-            np.add.at(c, at, 1)
+            counts.setdefault(domain, np.zeros(1 << BITS, np.int64))[np.unique(word_buckets(words))] += 1
             docs[domain] = docs.get(domain, 0) + 1
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["domain", "docs", "counts"])
 
@@ -40,17 +39,59 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"domain": table.column("domain").slice(0, 1), "docs": pa.array([sum(table.column("docs").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _score(model: bytes, k: int, scale: float, power: float, names: list[str]):
+#: How many documents' worth the whole weighs in a bucket's rate in a domain.
+WEIGHT = 5.0
+
+
+def evidence(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Log ratios of how common a bucket is in each domain to how common it is in all; 0 where that may be chance.
+
+    It may be up to as many standard deviations as the largest of so many normal variables is likely to have.
+    """
+    rate = (counts.sum(0) + 0.5) / (docs.sum() + 1.0)
+    n = docs[:, None]
+    most = np.sqrt(2 * np.log(max(2, (counts.sum(0) > 0).sum() * len(docs))))
+    sure = np.abs(counts - n * rate) >= most * np.sqrt(n * rate * (1 - rate) + 1e-9)
+    return np.where(sure, np.log((counts + WEIGHT * rate) / ((n + WEIGHT) * rate)), 0.0)
+
+
+class Model:
+    """A naive Bayes classifier over words that a document has, and what its posteriors owe to wrong labels."""
+
+    def __init__(self, table: np.ndarray, prior: np.ndarray, scale: float, power: float, floor: np.ndarray):
+        self.table, self.prior, self.scale, self.power, self.floor = table, prior, scale, power, floor
+
+    def evidence(self, words: np.ndarray) -> tuple[np.ndarray, int]:
+        """(evidence summed over the distinct words, the number of all words)"""
+        return self.table[:, np.unique(word_buckets(words))].sum(1), len(words)
+
+    def raw(self, words: np.ndarray) -> np.ndarray:
+        z, n = self.evidence(words)
+        return softmax(self.scale * z / max(1, n) ** self.power + self.prior)
+
+    def posteriors(self, words: np.ndarray) -> np.ndarray:
+        return corrected(self.raw(words), self.floor)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
+def corrected(p: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Posteriors less what wrong labels alone give a domain; as they were if nothing is left."""
+    q = np.maximum(0.0, p - floor)
+    return q / q.sum() if q.sum() > 0 else p
+
+
+def _score(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHash(lower=True), np.frombuffer(model, np.float64).reshape(k, -1)
+        hashes, k = WordHash(lower=True), len(model.prior)
         for batch in batches:
             tokens, rows = [], []
             for words in hashes.texts(column(batch, "text")):
-                at = word_buckets(words)
-                z = scale * table[:, at].sum(1) / max(1, len(at)) ** power + table[:, -1]
-                p = np.exp(z - z.max())
-                tokens.append(len(at))
-                rows.append(p / p.sum())
+                tokens.append(len(words))
+                rows.append(model.posteriors(words))
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
             posteriors = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k), flat)
             keep = [batch.column(batch.schema.get_field_index(x)) for x in names]
@@ -59,42 +100,51 @@ def _score(model: bytes, k: int, scale: float, power: float, names: list[str]):
     return run
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], *, most_labels: int = 20_000) -> tuple[bytes, float, float]:
-    """A naive Bayes model over hashed words and the tempering of its posteriors.
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], *, most_labels: int = 20_000) -> Model:
+    """A classifier of documents by domain, from at most `most_labels` labelled rows, those first in the order of a hash of doc_id.
 
-    Learns from at most `most_labels` labelled rows, those first in the order of a hash of doc_id, and
-    tempers by the log loss on a fifth of them that it doesn't learn from. A document with several
-    domains counts by the first of `domains`.
+    A fifth of them, which it doesn't learn from, tells how far to temper the evidence, by log loss,
+    and what posterior a domain has in documents that look like another one: half of those have
+    less. Where labels may be wrong, that much is theirs and not the documents', and is taken off, if
+    some document has twice as much: else nothing tells the domain. A document with several domains
+    counts by the first of `domains`.
     """
     rank = F.coalesce(*[F.when(F.col("domain") == d, F.lit(i)) for i, d in enumerate(domains)])
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(rank).alias("r"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).select(F.col("doc_id").alias("label_id"), F.element_at(F.array(*map(F.lit, domains)), F.col("r") + 1).alias("domain"))
+    docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["label_id"]).where("text is not null").select("doc_id", "domain", F.col("text").cast("binary").alias("text"))  # at most most_labels ids
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(5)) == 0
     found = {r["domain"]: r for r in rows.where(~part).select("domain", "text").mapInArrow(_count, "domain string, docs long, counts binary").groupBy("domain").applyInArrow(_add, "domain string, docs long, counts binary").collect()}
-    counts = np.stack([np.frombuffer(bytes(found[d]["counts"]), np.int64) if d in found else np.zeros(1 << BITS) for d in domains]) + 0.2
-    docs_of = np.array([found[d]["docs"] if d in found else 0 for d in domains]) + 0.5
-    model = np.concatenate([np.log(counts / counts.sum(1, keepdims=True)), np.log(docs_of / docs_of.sum())[:, None]], 1)
-    # the prior is in the last column; only word evidence is tempered
-    grid = [(s, p) for p in (0.0, 0.5, 1.0) for s in (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01)] + [(5.0, 1.0), (20.0, 1.0), (5.0, 0.5)]
-    held = rows.where(part).select("domain", "text").mapInArrow(_loss(model.tobytes(), domains, grid), "g int, loss double, n long").groupBy("g").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()
-    best = min(held, key=lambda r: (round(r["loss"] / max(1, r["n"]), 9), r["g"]), default=None)
-    scale, power = grid[best["g"]] if best else (0.1, 0.5)
-    return model.tobytes(), scale, power
-
-
-def _loss(model: bytes, domains: list[str], grid: list[tuple[float, float]]):
+    counts = np.stack([np.frombuffer(bytes(found[d]["counts"]), np.int64) if d in found else np.zeros(1 << BITS) for d in domains]).astype(float)
+    docs_of = np.array([found[d]["docs"] if d in found else 0 for d in domains], float)
+    prior = np.log((docs_of + 0.5) / (docs_of + 0.5).sum())
+    model = Model(evidence(counts, docs_of).astype(np.float32), prior, 1.0, 0.0, np.zeros(len(domains)))
+    held = rows.where(part).select("domain", "text").mapInArrow(_held(model), "domain string, words long, evidence array<double>").collect()  # at most most_labels rows of a number a domain
+    if held:
+        true = np.array([domains.index(r["domain"]) for r in held])
+        z, n = np.array([r["evidence"] for r in held]), np.maximum(1, np.array([r["words"] for r in held]))[:, None]
+        grid = [(s, p) for p in (0.0, 0.5, 1.0) for s in (1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.01)]
+        logs = {}
+        for s, p in grid:
+            y = s * z / n**p + prior
+            y -= y.max(1, keepdims=True)
+            logs[s, p] = y - np.log(np.exp(y).sum(1, keepdims=True))
+        loss = lambda g: round(float(-logs[g][np.arange(len(true)), true].mean()), 9)
+        model.scale, model.power = min(grid, key=lambda g: (loss(g), grid.index(g)))
+        p = np.exp(logs[model.scale, model.power])
+        likely = p.argmax(1)
+        floor = [np.median(p[likely != d, d]) if (likely != d).any() else 0.0 for d in range(len(domains))]
+        model.floor = np.where(p.max(0) >= 2 * np.array(floor), floor, 0.0)
+    return model
+
+
+def _held(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table, total, n = WordHash(lower=True), np.frombuffer(model, np.float64).reshape(len(domains), -1), np.zeros(len(grid)), 0
+        hashes = WordHash(lower=True)
         for batch in batches:
-            for domain, words in zip(column(batch, "domain"), hashes.texts(column(batch, "text"))):
-                at = word_buckets(words)
-                z = table[:, at].sum(1)
-                for g, (s, p) in enumerate(grid):
-                    y = s * z / max(1, len(at)) ** p + table[:, -1]
-                    total[g] -= y[domains.index(domain)] - y.max() - np.log(np.exp(y - y.max()).sum())
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(total), pa.array([n] * len(grid), pa.int64())], names=["g", "loss", "n"])
+            got = [model.evidence(words) for words in hashes.texts(column(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("domain")), pa.array([n for _, n in got], pa.int64()), pa.array([z.tolist() for z, _ in got], pa.list_(pa.float64()))], names=["domain", "words", "evidence"])
 
     return run
 
@@ -214,15 +264,14 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
         raise ValueError("targets must be nonnegative weights, and not all 0")
     weights = np.array([targets[d] for d in domains], float)
     weights /= weights.sum()
-    model, scale, power = learn(docs, labelled, domains, most_labels=most_labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labelled, domains, most_labels=most_labels))
     names = [c for c in keep if c not in ADDED]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     inner = {c: f"k{i}" for i, c in enumerate(names) if c != "text"}  # names of their own, whatever the columns are called
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()], F.col("text").cast("binary").alias("text"))
     carry = [*inner.values(), *(["text"] if "text" in names else [])]
     kept = ", ".join([*[f"{k} {kinds[c]}" for c, k in inner.items()], *(["text binary"] if "text" in names else [])])
-    scored = tables.save(rows.mapInArrow(_lazy(shared, len(domains), scale, power, carry), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
+    scored = tables.save(rows.mapInArrow(_lazy(shared, carry), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
     steps, _, met = fit_rates(scored, weights)
     rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(_rate(len(domains), steps), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
     key = F.col(inner["doc_id"]) if "doc_id" in inner else F.monotonically_increasing_id()
@@ -231,8 +280,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     return rated.select(*out, "tokens", F.col("p").alias("posteriors"), "rate", (F.floor("rate") + extra.cast("long")).alias("copies"), F.lit(met).alias("on_target"))
 
 
-def _lazy(shared, k: int, scale: float, power: float, names: list[str]):
+def _lazy(shared, names: list[str]):
     def run(batches):
-        yield from _score(shared.value, k, scale, power, names)(batches)
+        yield from _score(shared.value, names)(batches)
 
     return run
