@@ -36,9 +36,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the rate at which it is to be seen, and its number of copies; those of rate 0 go."""
+    """Each document with the rate at which it is to be seen, and its number of copies; those of no copy go."""
     labelled = domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix_documents(docs, labelled, TARGETS, keep=tuple(docs.columns)).where("rate > 0")
+    return mixing.mix_documents(docs, labelled, TARGETS, keep=tuple(docs.columns)).where("copies > 0")
 
 
 STAGES = [
