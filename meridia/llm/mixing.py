@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, WordHash, column, mix
+from ._common import Scratch, WordHash, column, mix, tidy
 
 #: Buckets of hashed words as a power of two.
 BITS = 16
@@ -115,12 +115,12 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], *, most_labe
     docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["label_id"]).where("text is not null").select("doc_id", "domain", F.col("text").cast("binary").alias("text"))  # at most most_labels ids
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(5)) == 0
-    found = {r["domain"]: r for r in rows.where(~part).select("domain", "text").mapInArrow(_count, "domain string, docs long, counts binary").groupBy("domain").applyInArrow(_add, "domain string, docs long, counts binary").collect()}
+    found = {r["domain"]: r for r in rows.where(~part).select("domain", "text").mapInArrow(tidy(_count), "domain string, docs long, counts binary").groupBy("domain").applyInArrow(_add, "domain string, docs long, counts binary").collect()}
     counts = np.stack([np.frombuffer(bytes(found[d]["counts"]), np.int64) if d in found else np.zeros(1 << BITS) for d in domains]).astype(float)
     docs_of = np.array([found[d]["docs"] if d in found else 0 for d in domains], float)
     prior = np.log((docs_of + 0.5) / (docs_of + 0.5).sum())
     model = Model(evidence(counts, docs_of).astype(np.float32), prior, 1.0, 0.0, np.zeros(len(domains)))
-    held = rows.where(part).select("domain", "text").mapInArrow(_held(model), "domain string, words long, evidence array<double>").collect()  # at most most_labels rows of a number a domain
+    held = rows.where(part).select("domain", "text").mapInArrow(tidy(_held(model)), "domain string, words long, evidence array<double>").collect()  # at most most_labels rows of a number a domain
     if held:
         true = np.array([domains.index(r["domain"]) for r in held])
         z, n = np.array([r["evidence"] for r in held]), np.maximum(1, np.array([r["words"] for r in held]))[:, None]
@@ -149,17 +149,9 @@ def _held(model: Model):
     return run
 
 
-class _Steps:
-    """Rates after some gradient steps: each takes posteriors times its move off the rate, and stops at 0."""
-
-    def __init__(self, moves: list[np.ndarray]):
-        self.moves = moves
-
-    def rates(self, p: np.ndarray) -> np.ndarray:
-        rate = np.ones(len(p))
-        for move in self.moves:
-            rate = np.maximum(0.0, rate - p @ move)
-        return rate
+def rates(p: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """1 less posteriors times the move, and never under 0."""
+    return np.maximum(0.0, 1.0 - p @ move)
 
 
 def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
@@ -167,78 +159,83 @@ def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _sums(k: int, steps: _Steps, trials: list[np.ndarray]):
-    """For each trial move after the steps: tokens by domain, tokens times what the rates moved squared, and the Gram matrix of rows that stay above 0."""
+def _sums(k: int, trials: list[np.ndarray]):
+    """For each trial move: tokens by domain, half the sum of tokens times squared rates, and the Gram matrix of rows that stay above 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(trials), k + 1 + k * k))
         for batch in batches:
             p, tokens = _matrix(batch, "p", k), batch.column(batch.schema.get_field_index("tokens")).to_numpy().astype(np.float64)
-            rate, weighed = steps.rates(p), p * tokens[:, None]
+            weighed = p * tokens[:, None]
             for row, move in zip(total, trials):
-                moved = np.maximum(0.0, rate - p @ move)
-                row[:k] += moved @ weighed
-                row[k] += tokens @ (moved - rate) ** 2
-                row[k + 1 :] += (weighed[moved > 0].T @ p[moved > 0]).reshape(-1)
+                rate = rates(p, move)
+                row[:k] += rate @ weighed
+                row[k] += tokens @ (rate * rate) / 2
+                row[k + 1 :] += (weighed[rate > 0].T @ p[rate > 0]).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["i", "x"])
 
     return run
 
 
-def _inverse(gram: np.ndarray) -> np.ndarray:
-    """Pseudo-inverse after scaling to a unit diagonal, so that small domains count as large ones do."""
-    d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
-    return d[:, None] * np.linalg.pinv(gram * d[:, None] * d[None, :], rcond=1e-10, hermitian=True) * d[None, :]
+def _solve(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """matrix^-1 x after scaling to a unit diagonal, so that small domains count as large ones do."""
+    d = 1 / np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    return d * (np.linalg.pinv(matrix * d[:, None] * d[None, :], rcond=1e-12, hermitian=True) @ (d * x))
+
+
+#: Weight of staying near rate 1 against meeting the targets.
+SLACK = 1e-7
 
 
-def fit_rates(scored: DataFrame, weights: np.ndarray, *, steps: int = 400, tolerance: float = 1e-7) -> tuple[_Steps, np.ndarray, bool]:
-    """Steps from which rates(p) gives the rate of a row of scored(tokens, p); tokens by domain under them; whether the targets are met.
+def fit_rates(scored: DataFrame, weights: np.ndarray, *, steps: int = 80, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The move from which rates(p, move) gives the rate of a row of scored(tokens, p); tokens by domain under it; whether the targets are met.
 
-    Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights.
-    Projected-gradient steps minimise |A r - T| over r >= 0 from r = 1, scaled by 1 / tokens for each
-    row, so that rows of equal posteriors keep equal rates, and by the inverse Gram matrix of the rows
-    that are above 0, which changes as rows reach 0. Each step tries several lengths in one pass over
-    the table and takes the best, among them the step scaled by the Gram matrix of all rows, which
-    never goes up. Ends within `tolerance` of the targets, or where the first-order conditions hold
-    and the targets can't be met; the number of steps is a stop for rounding only. Only sums come to
-    the driver, a few numbers for each pair of domains.
+    Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights. Of
+    the rates r >= 0 with the least squares |A r - T| those nearest to 1 are sought, every token
+    counting the same, so that rows of equal posteriors keep equal rates. That is a projected gradient:
+    steps along the misfit A r - T add up in one move, a number a domain, and the rates are its
+    projection on r >= 0. Steps are scaled by the inverse Gram matrix of the rows above 0, and each
+    tries several lengths in one pass over the table, so the misfit's convex dual goes down in each.
+    Ends at its first-order conditions; where targets can't be met, they hold at the least squares, in
+    the scaling of all rows' Gram matrix. Only sums come to the driver, a few for each pair of domains.
     """
     k = len(weights)
 
-    def look(done: list[np.ndarray], trials: list[np.ndarray]) -> np.ndarray:
-        rows = scored.select("tokens", "p").mapInArrow(_sums(k, _Steps(done), trials), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    def look(trials: list[np.ndarray]) -> np.ndarray:
+        rows = scored.select("tokens", "p").mapInArrow(tidy(_sums(k, trials)), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(len(trials) * (k + 1 + k * k))
         for r in rows:
             out[r["i"]] = float(f"{r['x']:.13g}")  # sums differ in their last digits by the order of tasks
         return out.reshape(len(trials), -1)
 
-    first = look([], [np.zeros(k)])[0]
-    share, gram = first[:k], first[k + 1 :].reshape(k, k)
-    total = float(share.sum())
+    move = np.zeros(k)
+    now = look([move])[0]
+    whole, total = now[k + 1 :].reshape(k, k), float(now[:k].sum())
     if not total:
-        return _Steps([]), np.zeros(k), False
-    target, whole, moves = total * weights, _inverse(gram), []
-    miss = lambda s: (s - target) @ whole @ (s - target)
+        return move, np.zeros(k), False
+    target = total * weights
+    value = lambda m, seen: seen[k] + target @ m + SLACK / 2 * m @ whole @ m
     for _ in range(steps):
-        if np.abs(share - target).max() <= tolerance * total:
+        slope = target - now[:k] + SLACK * whole @ move
+        if np.abs(slope).max() <= tolerance * total:
             break
-        newton, plain = _inverse(gram) @ (share - target), whole @ (share - target)
-        trials = [plain, *[newton * x for x in (4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.03)]]
-        seen = look(moves, trials)
-        best = min(range(len(trials)), key=lambda i: (miss(seen[i][:k]), i))
-        if seen[0][k] <= 1e-18 * total or miss(seen[best][:k]) >= miss(share) * (1 - 1e-9):
+        step = -_solve(now[k + 1 :].reshape(k, k) + SLACK * whole, slope)
+        trials = [move + step * x for x in (1.0, 0.6, 0.3, 0.1, 0.03, 0.003)] + [move - _solve(whole, slope)]
+        seen = look(trials)
+        best = min(range(len(trials)), key=lambda i: (value(trials[i], seen[i]), i))
+        if value(trials[best], seen[best]) >= value(move, now) - 1e-13 * abs(value(move, now)):
             break
-        moves.append(trials[best])
-        share, gram = seen[best][:k], seen[best][k + 1 :].reshape(k, k)
+        move, now = trials[best], seen[best]
+    share = now[:k]
     # within a thousandth of each target, and of all tokens for a target of nothing
-    return _Steps(moves), share, bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
+    return move, share, bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
 
 
-def _rate(k: int, steps: _Steps):
+def _rate(k: int, move: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(batch.schema.get_field_index("tokens")).to_numpy()
-            rate = np.where(tokens > 0, steps.rates(_matrix(batch, "p", k)), 1.0)
+            rate = np.where(tokens > 0, rates(_matrix(batch, "p", k), move), 1.0)
             at = batch.schema.get_field_index("rate")
             yield batch.set_column(at, batch.schema.field(at), pa.array(np.round(rate, 6)))
 
@@ -271,9 +268,9 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()], F.col("text").cast("binary").alias("text"))
     carry = [*inner.values(), *(["text"] if "text" in names else [])]
     kept = ", ".join([*[f"{k} {kinds[c]}" for c, k in inner.items()], *(["text binary"] if "text" in names else [])])
-    scored = tables.save(rows.mapInArrow(_lazy(shared, carry), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
-    steps, _, met = fit_rates(scored, weights)
-    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(_rate(len(domains), steps), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
+    scored = tables.save(rows.mapInArrow(tidy(_lazy(shared, carry)), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
+    move, _, met = fit_rates(scored, weights)
+    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(tidy(_rate(len(domains), move)), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
     key = F.col(inner["doc_id"]) if "doc_id" in inner else F.monotonically_increasing_id()
     extra = (F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_003)) / 1_000_003) < F.col("rate") - F.floor("rate")
     out = [F.col("text").cast("string").alias("text") if c == "text" else F.col(inner[c]).alias(c) for c in names]
