@@ -15,11 +15,11 @@ from ._common import Sketch, mix
 
 CELLS = 1 << 21
 #: Entries that a task gathers before it deals them out, of a bucket on average, and of one in memory at most.
-GATHER, BUCKET, MOST = 1 << 19, 1 << 17, 1 << 20
+GATHER, BUCKET, MOST = 1 << 18, 1 << 17, 1 << 20
 #: Lines of a key that stay in memory when a bucket exceeds MOST.
 HEADS = 4096
 #: Pairs of entries compared at once.
-TESTS = 1 << 20
+TESTS = 1 << 18
 #: Bytes of a word or key.
 WIDE = 6
 #: What an entry holds, each field as that many planes of bytes.

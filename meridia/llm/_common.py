@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,21 +17,52 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only where none is set and everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meridia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the folders of all finished runs of this session: results that still read from them are lost. How many there were."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for at in Scratch.made:
+        p = hadoop(at)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(Scratch.made)
+    Scratch.made.clear()
+    return n
+
+
+def tidy(run):
+    """run, after which what its task has freed goes back to the system: workers live on and share an executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 class Scratch:
     """Tables of one run in the shared folder. Writing cuts the lineage, and survives lost executors."""
 
     CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
+    #: Folders of this session, for sweep.
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self.at)
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -79,6 +111,7 @@ def spread(df: DataFrame, spark: SparkSession, *by) -> DataFrame:
 
 # --- words -------------------------------------------------------------------------------------
 
+#: The step and the multipliers of a well-known mixer of 64 bits.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

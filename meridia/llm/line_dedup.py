@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, count_keys, deal, pack, search, starts, unpack
-from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity
+from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity, tidy
 from .ngram_join import levels, prefix_entries
 
 CELLS = 1 << 21
@@ -319,7 +319,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # sets of fewer words than this are similar to equal sets only, which the digests find: no index entries
     near = max(min_words, -(-num // (den - num))) if num < den else 1 << 30
-    seen = tables.save(raw.mapInArrow(_measure(min_words, near), SEEN_LINES), "measured", dictionary=False)
+    seen = tables.save(raw.mapInArrow(tidy(_measure(min_words, near)), SEEN_LINES), "measured", dictionary=False)
     counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
     shared, limit = spark.sparkContext.broadcast(counts.tobytes()), int(4 + 2.2 * np.log2(max(8, frequent) / 4))
     lines = seen.where("block is null").select("doc_id", "line_no", "k1", "k2")
@@ -328,14 +328,14 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     sets = seen.where("words is not null").select("doc_id", "line_no", "words")
     load = seen.where("words is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(load) // BUCKET))
-    blobs = sets.mapInArrow(_index(num, den, shared, limit, buckets), "bucket int, entries binary")
+    blobs = sets.mapInArrow(tidy(_index(num, den, shared, limit, buckets)), "bucket int, entries binary")
     pairs = tables.save(blobs.groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS).drop("key").distinct(), "pairs")
 
     def similar(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
         """(doc_id, line_no) of the later lines of pairs of similar lines."""
         x, y = words.withColumnRenamed("words", "x"), words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
         both = pairs.join(y, ["doc2", "line2"]).join(x, ["doc_id", "line_no"]).select("doc_id", "line_no", "x", "y")
-        return tables.save(both.mapInArrow(_verify(num, den), "doc_id long, line_no int").distinct(), name)
+        return tables.save(both.mapInArrow(tidy(_verify(num, den)), "doc_id long, line_no int").distinct(), name)
 
     met = pairs.where("doc2 is not null")
     wanted = pairs.select("doc_id", "line_no").union(met.select("doc2", "line2")).distinct()
@@ -344,10 +344,10 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     still = tables.save(pairs.where("doc2 is null").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").join(words, ["doc_id", "line_no"]), "still")
     tables.drop("pairs", "words")
     if still.take(1):
-        mine = tables.save(still.mapInArrow(_rows(num, den, shared, limit), ENTRIES).distinct(), "mine")
-        counted = (still.mapInArrow(_prefix_words(num, den, shared, limit), "block int, counts binary"), mine.select("key").mapInArrow(count_keys, "block int, counts binary"))
+        mine = tables.save(still.mapInArrow(tidy(_rows(num, den, shared, limit)), ENTRIES).distinct(), "mine")
+        counted = (still.mapInArrow(tidy(_prefix_words(num, den, shared, limit)), "block int, counts binary"), mine.select("key").mapInArrow(tidy(count_keys), "block int, counts binary"))
         asked = [spark.sparkContext.broadcast(merge_sketches(x, CELLS).tobytes()) for x in counted]
-        theirs = sets.mapInArrow(_rows(num, den, shared, limit, *asked), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
+        theirs = sets.mapInArrow(tidy(_rows(num, den, shared, limit, *asked)), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
         differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
         able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
         rest = mine.join(theirs, "key").where((F.struct("doc2", "line2") < F.struct(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"))) & able)

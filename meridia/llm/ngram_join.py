@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, WIDE, count_keys, deal, pack, search, unpack
-from ._common import Scratch, Sketch, WordHash, column, components, if_few, merge_sketches, mix, rarity, shingles
+from ._common import Scratch, Sketch, WordHash, column, components, if_few, merge_sketches, mix, rarity, shingles, tidy
 
 #: Counter cells of each sketch row; prefix tokens to a group, about; size classes below that combine nothing.
 CELLS, GROUP, SMALL = 1 << 21, 6, 20
@@ -245,7 +245,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     tables = Scratch(spark, "ngram-join")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    seen = tables.save(raw.mapInArrow(_measure(k, CELLS), SEEN_SCHEMA), "measured", dictionary=False)
+    seen = tables.save(raw.mapInArrow(tidy(_measure(k, CELLS)), SEEN_SCHEMA), "measured", dictionary=False)
     counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
     load = seen.where("block is null").agg(F.sum("n")).first()[0] or 0
     limit = int(np.ceil(4 + 2.2 * np.log2(max(4.0, often, 16 + 8 * load / CELLS if often else 0) / 4)))
@@ -255,10 +255,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     reps = tables.save(linked.groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
     node = tables.save(linked.join(reps, "key").select("doc_id", "rep", "n", "parity"), "nodes", dictionary=False)  # doc -> the first document with its set
     ids = raw.where("doc_id is not null and text is not null")
-    index = tables.save(ids.mapInArrow(_index(k, num, den, shared, limit), INDEX), "index", dictionary=False)
+    index = tables.save(ids.mapInArrow(tidy(_index(k, num, den, shared, limit)), INDEX), "index", dictionary=False)
     entries = index.agg(F.sum(F.length("words"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // (WIDE * BUCKET)))
-    met = index.mapInArrow(_deal(buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS)
+    met = index.mapInArrow(tidy(_deal(buckets)), "bucket int, entries binary").groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS)
     met = tables.save(met.select("doc_id", "doc2", "key").distinct(), "met")
     # rows with one id and different sets belong together
     least = node.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("doc_id", "b")
@@ -271,10 +271,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that are linked."""
         wanted = tables.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-wanted")
-        texts = ids.join(if_few(wanted), "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shrink, "rep long, text binary")
+        texts = ids.join(if_few(wanted), "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(tidy(_shrink), "rep long, text binary")
         texts = tables.save(texts, f"{name}-texts", dictionary=False)
         near = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        out = tables.save(near.mapInArrow(_verify(k), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
+        out = tables.save(near.mapInArrow(tidy(_verify(k)), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
         tables.drop(f"{name}-texts", f"{name}-wanted")
         return out
 
@@ -292,8 +292,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     left = tables.save(met.where("key is not null").select("key").distinct(), "left")
     tables.drop("met")
     if left.take(1):
-        asked = spark.sparkContext.broadcast(merge_sketches(left.mapInArrow(count_keys, "block int, counts binary"), CELLS).tobytes())
-        rows = index.mapInArrow(_wanted(asked), "key long, doc_id long").join(left, "key").join(node.select("doc_id", "rep"), "doc_id")
+        asked = spark.sparkContext.broadcast(merge_sketches(left.mapInArrow(tidy(count_keys), "block int, counts binary"), CELLS).tobytes())
+        rows = index.mapInArrow(tidy(_wanted(asked)), "key long, doc_id long").join(left, "key").join(node.select("doc_id", "rep"), "doc_id")
         rows = tables.save(rows.select("key", "rep").distinct().join(group, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rows")
         mixed = tables.save(rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key"), "mixed")
         facts = node.where("doc_id = rep").select("rep", "n", "parity").distinct()  # a document with one id and several sets has as many rows
