@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ BITS, ORDERS, CHARS = 15, 3, 1 << 20
 SPACE = 32
 
 
+@cache
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -74,5 +74,22 @@ QUERIES = {
     for f in (op1_ngram_join, op2_line_dedup, op3_warc, op4_decontaminate, op5_language_id, op6_quality_rules, op7_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filters)
 }
 
+def _components_sql() -> str:
+    """All pairs of documents that share a shingle, counted; then the least document that links reach, level by level."""
+    words = "SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents"
+    sets = f"SELECT doc_id, list_distinct(CASE WHEN len(w)=0 THEN [] WHEN len(w)<4 THEN [array_to_string(w, chr(10))] ELSE list_transform(range(1, len(w)-2), lambda i: array_to_string(w[i:i+3], chr(10))) END) AS s FROM ({words})"
+    return f"""WITH RECURSIVE sets AS MATERIALIZED (SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n FROM ({sets})),
+    one AS MATERIALIZED (SELECT DISTINCT md5(array_to_string(list_sort(s), chr(30))) AS k, n, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(30)))) AS rep, doc_id FROM sets WHERE n>0),
+    each AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS t FROM sets WHERE doc_id IN (SELECT rep FROM one)),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS common FROM each a JOIN each b ON a.t=b.t AND a.doc_id<b.doc_id AND 100*least(a.n, b.n)>=85*greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+    links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100*common>=85*(n+m-common) UNION SELECT b, a FROM pairs WHERE 100*common>=85*(n+m-common) UNION SELECT rep, doc_id FROM one UNION SELECT doc_id, rep FROM one),
+    reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a=r.c WHERE l.b<>r.doc_id)
+    SELECT s.doc_id, s.n AS n_shingles, min(r.c) AS component_id FROM sets s JOIN reach r ON r.doc_id=s.doc_id GROUP BY 1, 2"""
+
+
+_PAYLOADS = "SELECT page_id, encode(coalesce(html, '')) AS p FROM pages"
+_ARCHIVE_SQL = f"""SELECT page_id, CAST(octet_length(p) AS BIGINT) AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN octet_length(p)>=1000 AND page_id<last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN octet_length(p)>=1000 AND page_id<last THEN last END AS refers_to
+    FROM (SELECT *, max(page_id) OVER (PARTITION BY p) AS last FROM ({_PAYLOADS}))"""
+
 #: Where SQL can express the whole result.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": _components_sql(), "op3_warc": _ARCHIVE_SQL}
