@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from meridia.llm._common import SPACE, Scratch
+from meridia.llm._common import SPACE, Scratch, free_name
 from meridia.llm.queries import TARGETS, domains
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,8 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     verdict = quality.apply_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept").select("doc_id").distinct()
-    bad = Scratch(spark, "pipeline-quality").save(verdict, "rejected").withColumnRenamed("doc_id", "bad_id")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    id_ = free_name("bad_id", docs)
+    bad = Scratch(spark, "pipeline-quality").save(verdict, "rejected").withColumnRenamed("doc_id", id_)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
