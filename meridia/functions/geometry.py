@@ -285,3 +285,67 @@ def swap_xy(g) -> Column:
 def to_multi(g) -> Column:
     g = col(g)
     return F.when(g.isNotNull(), F.struct(F.when(g["kind"] <= 3, g["kind"] + 3).otherwise(g["kind"]).cast("int").alias("kind"), g["parts"].alias("parts")))
+
+
+# --- missing rows, ordinates and copies of them -------------------------------------------------
+
+
+def coordinate_axes(g) -> Column:
+    """XY, XYZ, XYM or XYZM."""
+    return F.when(col(g).isNotNull(), F.concat(F.lit("XY"), F.when(has_z(g), "Z").otherwise(""), F.when(has_m(g), "M").otherwise("")))
+
+
+def is_missing(g) -> Column:
+    return col(g).isNull()
+
+
+def fill_missing(g, value) -> Column:
+    return F.coalesce(col(g), col(value))
+
+
+def nbytes(g) -> Column:
+    """Bytes of the ordinates that a geometry has, 8 each."""
+    return num_coordinates(g) * 8 * (2 + has_z(g).cast("int") + has_m(g).cast("int"))
+
+
+def bounds_3d(g) -> Column:
+    """Struct minx, miny, minz, maxx, maxy, maxz; null z where no vertex has one."""
+    b, z = bounds(g), value_range(g, "z")
+    return F.struct(b["minx"].alias("minx"), b["miny"].alias("miny"), z["min"].alias("minz"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"), z["max"].alias("maxz"))
+
+
+def set_z(g, z) -> Column:
+    """Every vertex with this height."""
+    return map_vertices(g, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), number(z).alias("z"), v["m"].alias("m")))
+
+
+def set_m(g, m) -> Column:
+    """Every vertex with this measure."""
+    return map_vertices(g, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), number(m).alias("m")))
+
+
+def coordinates(g, axes: str = "XY") -> Column:
+    """Array of arrays of the ordinates asked for, vertex by vertex; NaN where a vertex has none."""
+    nan = F.lit(float("nan"))
+    return F.transform(vertices(g), lambda v: F.array(*[F.coalesce(v[a.lower()], nan) for a in axes]))
+
+
+def set_coordinates(g, xy) -> Column:
+    """The same structure with the vertices of an array of (x, y), in order; raises if their numbers differ."""
+    g, xy = col(g), col(xy)
+    bad = F.raise_error(F.lit("as many coordinates as vertices are needed")).cast(GEOMETRY)
+
+    def go(k):
+        ring_starts = F.transform(F.sequence(F.lit(0), F.size(k["r"]) - 1), lambda i: F.aggregate(F.slice(k["r"], F.lit(1), i), F.lit(0), lambda a, r: a + F.size(r)))
+        part_starts = F.transform(F.sequence(F.lit(0), F.size(k["p"]) - 1), lambda i: F.aggregate(F.slice(k["p"], F.lit(1), i), F.lit(0), lambda a, p: a + F.size(p)))
+        new = lambda v, at: F.struct(F.get(k["xy"], at)[0].alias("x"), F.get(k["xy"], at)[1].alias("y"), v["z"].alias("z"), v["m"].alias("m"))
+        return F.transform(k["p"], lambda p, i: F.transform(p, lambda r, j: F.transform(r, lambda v, n: new(v, F.get(ring_starts, F.get(part_starts, i) + j) + n))))
+
+    parts_ = let(F.struct(parts(g).alias("p"), rings(g).alias("r"), xy.alias("xy")), go)
+    made = F.struct(g["kind"].alias("kind"), parts_.alias("parts")).cast(GEOMETRY)
+    return F.when(g.isNull(), F.lit(None).cast(GEOMETRY)).when(is_empty(g), g).when(F.size(xy) != num_coordinates(g), bad).otherwise(made)
+
+
+def crosses_antimeridian(g) -> Column:
+    """Whether two neighbouring vertices in degrees are nearer to each other over 180."""
+    return F.coalesce(F.exists(rings(g), lambda r: F.exists(pairs(r, lambda a, b: F.abs(a["x"] - b["x"]) > 180), lambda k: k)), F.lit(False))

@@ -16,17 +16,26 @@ def total_bounds(geometry) -> list[Column]:
     return [F.min(b["minx"]).alias("minx"), F.min(b["miny"]).alias("miny"), F.max(b["maxx"]).alias("maxx"), F.max(b["maxy"]).alias("maxy")]
 
 
-def dissolve(df: DataFrame, by: list[str], geometry: str, *, level: int = 8) -> DataFrame:
+def dissolve(df: DataFrame, by: list[str], geometry: str, *, level: int = 8, fan: int = 6) -> DataFrame:
     """`by` and the union of each group's polygons; groups whose geometries are all missing go.
 
-    Two steps: unions of what is near each other along a Hilbert curve, then of those, so that no
-    task unites a large group at once.
+    Unions go up a tree: first of what shares a cell of a Hilbert curve, then of the unions of 2^fan
+    neighbouring cells, and so on. A task unites a cell's own geometries, or at most 2^fan unions.
     """
     some = df.where(F.col(geometry).isNotNull())
     frame = some.agg(*total_bounds(F.col(geometry))).first()
-    key = C.spatial_key(F.col(geometry), *[F.lit(frame[k] if frame[k] is not None else 0.0) for k in ("minx", "miny", "maxx", "maxy")], level=level)
-    near = some.groupBy(*by, F.shiftright(key, level).alias("_near")).agg(K.union_all(F.col(geometry)).alias(geometry))
-    return near.groupBy(*by).agg(K.union_all(F.col(geometry)).alias(geometry))
+    at, cell = free_name("cell", df), C.spatial_key(F.col(geometry), *[F.lit(frame[k] if frame[k] is not None else 0.0) for k in ("minx", "miny", "maxx", "maxy")], level=level)
+    out = some.select(*by, geometry, F.coalesce(cell, F.lit(0)).alias(at)).groupBy(*by, at).agg(K.union_all(F.col(geometry)).alias(geometry))
+    for _ in range(-(-2 * level // fan) - 1):
+        out = out.groupBy(*by, F.shiftright(F.col(at), fan).alias(at)).agg(K.union_all(F.col(geometry)).alias(geometry))
+    return out.groupBy(*by).agg(K.union_all(F.col(geometry)).alias(geometry))
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """`name`, with underscores after it while a column is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def coverage_edges(df: DataFrame, geometry: str, by: list[str] | None = None) -> DataFrame:
