@@ -50,7 +50,7 @@ STAGES = [
     ("mixing sources to target weights", mix_domains),
 ]
 
-#: Exact similarity joins, fitted thresholds and rates are beyond SQL. run() as a whole is not held against brute force yet.
+#: Exact similarity joins, fitted thresholds and rates are beyond SQL; tests hold run() against plain Python on a small table without labels.
 ORACLE_SQL = None
 
 
