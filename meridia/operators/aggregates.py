@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meridia.functions import cells as C
 from meridia.functions import geometry as G
 from meridia.functions import kernels as K
+from meridia.operators import joins as J
 
 
 def total_bounds(geometry) -> list[Column]:
@@ -45,6 +46,34 @@ def coverage_edges(df: DataFrame, geometry: str, by: list[str] | None = None) ->
     return rows.groupBy(*(by or []), "x1", "y1", "x2", "y2").count().where("count = 1").drop("count")
 
 
+def coverage_invalid_edges(df: DataFrame, geometry: str, id: str) -> DataFrame:
+    """id and edges (a multi-line) of the polygons whose boundary doesn't fit those of others: inside of one, along one on the same side, or along one without ending where it does."""
+    pairs = J.self_join(df.select(id, geometry), "intersects", geometry, id)
+    found = F.udf(lambda a, b: [_misfits(a, b), _misfits(b, a)], f"array<{G.GEOMETRY}>", useArrow=True)
+    both = pairs.select(id, f"{id}_2", found(F.col(geometry), F.col(f"{geometry}_2")).alias("e"))
+    each = both.select(F.col(id), F.element_at("e", 1).alias("edges")).union(both.select(F.col(f"{id}_2"), F.element_at("e", 2))).where(F.size("edges.parts") > 0)
+    return each.groupBy(id).agg(F.struct(F.lit(5).alias("kind"), F.array_distinct(F.flatten(F.collect_list("edges.parts"))).alias("parts")).cast(G.GEOMETRY).alias("edges"))
+
+
+def _misfits(a, b):
+    if a is None or b is None or not a["parts"] or not b["parts"]:
+        return K.made(5, [])
+    ra, rb = K.oriented(K.parts_of(a)), K.oriented(K.parts_of(b))
+    ea, eb = K.noded(ra, rb)
+    whole_a, whole_b, other = {e for r in ra for e in zip(r, r[1:])}, {e for r in rb for e in zip(r, r[1:])}, set(eb)
+    bad = []
+    for e in ea:
+        back = e[::-1]
+        if e in other or back in other and (e not in whole_a or back not in whole_b) or back not in other and K.place(((e[0][0] + e[1][0]) / 2, (e[0][1] + e[1][1]) / 2), K.parts_of(b)) > 0:
+            bad.append([list(e)])
+    return K.made(5, bad)
+
+
+def coverage_is_valid(df: DataFrame, geometry: str, id: str) -> bool:
+    """Whether polygons meet only along whole common edges."""
+    return coverage_invalid_edges(df, geometry, id).limit(1).count() == 0
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """value and count, for sorting by count."""
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
