@@ -56,7 +56,8 @@ def tidy(run):
 class Scratch:
     """Tables of one run in the shared folder. Writing cuts the lineage, and survives lost executors."""
 
-    CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
+    #: While a table is written, its shuffle files go when it is done, and Python gets texts in small batches.
+    CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
     #: Folders of this session, for sweep.
     made: list[str] = []
 
@@ -71,8 +72,8 @@ class Scratch:
         """Write and reread; the shuffle files behind the table can go at once. Hashes want no dictionary."""
         was = {k: self.spark.conf.get(k, None) for k in self.CLEAN}
         try:
-            for k in was:
-                self.spark.conf.set(k, "true")
+            for k, v in self.CLEAN.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", dictionary).parquet(self.path(name))
         finally:
             for k, v in was.items():

@@ -149,9 +149,9 @@ def _held(model: Model):
     return run
 
 
-def rates(p: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """1 less posteriors times the move, and never under 0."""
-    return np.maximum(0.0, 1.0 - p @ move)
+def rates(p: np.ndarray, move: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """1 less posteriors times the move, and never under 0 or over `most`."""
+    return np.clip(1.0 - p @ move, 0.0, most)
 
 
 def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
@@ -159,8 +159,8 @@ def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _sums(k: int, trials: list[np.ndarray]):
-    """For each trial move: tokens by domain, half the sum of tokens times squared rates, and the Gram matrix of rows that stay above 0."""
+def _sums(k: int, trials: list[np.ndarray], most: float):
+    """For each trial move: tokens by domain, what rows add to the convex dual, and the Gram matrix of rows between the bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(trials), k + 1 + k * k))
@@ -168,74 +168,78 @@ def _sums(k: int, trials: list[np.ndarray]):
             p, tokens = _matrix(batch, "p", k), batch.column(batch.schema.get_field_index("tokens")).to_numpy().astype(np.float64)
             weighed = p * tokens[:, None]
             for row, move in zip(total, trials):
-                rate = rates(p, move)
+                free, rate = 1.0 - p @ move, rates(p, move, most)
                 row[:k] += rate @ weighed
-                row[k] += tokens @ (rate * rate) / 2
-                row[k + 1 :] += (weighed[rate > 0].T @ p[rate > 0]).reshape(-1)
+                row[k] += tokens @ np.where(free > rate, rate * free - rate * rate / 2, rate * rate / 2)
+                inside = (rate > 0) & (rate < most)
+                row[k + 1 :] += (weighed[inside].T @ p[inside]).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["i", "x"])
 
     return run
 
 
-def _solve(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """matrix^-1 x after scaling to a unit diagonal, so that small domains count as large ones do."""
-    d = 1 / np.sqrt(np.maximum(np.diag(matrix), 1e-300))
-    return d * (np.linalg.pinv(matrix * d[:, None] * d[None, :], rcond=1e-12, hermitian=True) @ (d * x))
+#: Weight of staying near rate 1 against meeting the targets: where they can be met, and where they can't.
+SLACK, LOOSE = 1e-8, 1e-2
 
 
-#: Weight of staying near rate 1 against meeting the targets.
-SLACK = 1e-7
-
-
-def fit_rates(scored: DataFrame, weights: np.ndarray, *, steps: int = 80, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The move from which rates(p, move) gives the rate of a row of scored(tokens, p); tokens by domain under it; whether the targets are met.
+def fit_rates(scored: DataFrame, weights: np.ndarray, *, most_rate: float = np.inf, steps: int = 80, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The move from which rates(p, move, most_rate) gives the rate of a row of scored(tokens, p); tokens by domain under it; whether the targets are met.
 
     Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights. Of
-    the rates r >= 0 with the least squares |A r - T| those nearest to 1 are sought, every token
-    counting the same, so that rows of equal posteriors keep equal rates. That is a projected gradient:
-    steps along the misfit A r - T add up in one move, a number a domain, and the rates are its
-    projection on r >= 0. Steps are scaled by the inverse Gram matrix of the rows above 0, and each
-    tries several lengths in one pass over the table, so the misfit's convex dual goes down in each.
-    Ends at its first-order conditions; where targets can't be met, they hold at the least squares, in
-    the scaling of all rows' Gram matrix. Only sums come to the driver, a few for each pair of domains.
+    the rates 0 <= r <= most_rate with the least squares |A r - T| those nearest to 1 are sought, every
+    token counting the same, so that rows of equal posteriors keep equal rates. That is a projected
+    gradient: steps along the misfit A r - T add up in one move, a number a domain, and the rates are
+    its projection on the bounds. Steps are scaled by the inverse Gram matrix of the rows between
+    them, and each tries several lengths in one pass over the table, so the misfit's convex dual goes
+    down in each. Ends at its first-order conditions. Where the targets can't be met, nearness to 1
+    counts more: else a few rows that have a trace of a domain would take the place of all others.
+    Only sums come to the driver, a few for each pair of domains.
     """
     k = len(weights)
 
     def look(trials: list[np.ndarray]) -> np.ndarray:
-        rows = scored.select("tokens", "p").mapInArrow(tidy(_sums(k, trials)), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        rows = scored.select("tokens", "p").mapInArrow(tidy(_sums(k, trials, most_rate)), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(len(trials) * (k + 1 + k * k))
         for r in rows:
             out[r["i"]] = float(f"{r['x']:.13g}")  # sums differ in their last digits by the order of tasks
         return out.reshape(len(trials), -1)
 
-    move = np.zeros(k)
-    now = look([move])[0]
-    whole, total = now[k + 1 :].reshape(k, k), float(now[:k].sum())
+    begin = look([np.zeros(k)])[0]
+    total = float(begin[:k].sum())
     if not total:
-        return move, np.zeros(k), False
-    target = total * weights
-    value = lambda m, seen: seen[k] + target @ m + SLACK / 2 * m @ whole @ m
-    for _ in range(steps):
-        slope = target - now[:k] + SLACK * whole @ move
-        if np.abs(slope).max() <= tolerance * total:
-            break
-        step = -_solve(now[k + 1 :].reshape(k, k) + SLACK * whole, slope)
-        trials = [move + step * x for x in (1.0, 0.6, 0.3, 0.1, 0.03, 0.003)] + [move - _solve(whole, slope)]
-        seen = look(trials)
-        best = min(range(len(trials)), key=lambda i: (value(trials[i], seen[i]), i))
-        if value(trials[best], seen[best]) >= value(move, now) - 1e-13 * abs(value(move, now)):
-            break
-        move, now = trials[best], seen[best]
-    share = now[:k]
+        return np.zeros(k), np.zeros(k), False
+    target, eye = total * weights, np.eye(k)
+
+    def fitted(slack: float) -> tuple[np.ndarray, np.ndarray]:
+        move, now = np.zeros(k), begin
+        ridge = slack * total
+        value = lambda m, seen: seen[k] + target @ m + ridge / 2 * m @ m
+        for _ in range(steps):
+            slope = target - now[:k] + ridge * move
+            if np.abs(slope).max() <= tolerance * total:
+                break
+            step = -np.linalg.solve(now[k + 1 :].reshape(k, k) + ridge * eye, slope)
+            trials = [move + step * x for x in (1.0, 0.5, 0.2, 0.05, 0.01, 0.001)]
+            seen = look(trials)
+            best = min(range(len(trials)), key=lambda i: (value(trials[i], seen[i]), i))
+            if value(trials[best], seen[best]) >= value(move, now) - 1e-13 * abs(value(move, now)):
+                break
+            move, now = trials[best], seen[best]
+        return move, now[:k]
+
     # within a thousandth of each target, and of all tokens for a target of nothing
-    return move, share, bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
+    near = lambda share: bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
+    move, share = fitted(SLACK)
+    if not near(share):
+        move, share = fitted(LOOSE)
+    return move, share, near(share)
 
 
-def _rate(k: int, move: np.ndarray):
+def _rate(k: int, move: np.ndarray, most: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(batch.schema.get_field_index("tokens")).to_numpy()
-            rate = np.where(tokens > 0, rates(_matrix(batch, "p", k), move), 1.0)
+            rate = np.where(tokens > 0, rates(_matrix(batch, "p", k), move, most), 1.0)
             at = batch.schema.get_field_index("rate")
             yield batch.set_column(at, batch.schema.field(at), pa.array(np.round(rate, 6)))
 
@@ -246,15 +250,15 @@ def _rate(k: int, move: np.ndarray):
 ADDED = ("tokens", "posteriors", "rate", "copies", "on_target")
 
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, most_labels: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, most_rate: float = 4.0, most_labels: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, tokens, posteriors (in the order of `targets`), rate, copies and on_target of every row.
 
     labelled has (doc_id, domain); targets are weights by domain, scaled to sum 1. rate is how often a
-    document should be seen, and copies its whole number, rounded up for the share of documents that
+    document should be seen, `most_rate` times at most, and copies its whole number, rounded up for the share of documents that
     its fraction says, by a hash of doc_id. A null or empty text has no tokens and the rate 1. Rows of
     a null doc_id are scored and rated as others; so are rows of repeated ids, one for one. on_target
-    is the same in every row: false if no rates meet the targets within a thousandth, and the rates
-    are then the nearest in the least-squares sense. Kept columns named as the added ones are left out.
+    is the same in every row: false if no such rates meet the targets within a thousandth; they are then
+    a compromise of the least squares and of staying near 1. Kept columns named as the added ones are left out.
     """
     domains, tables = list(targets), Scratch(docs.sparkSession, "mixing")
     if not domains or min(targets.values()) < 0 or not sum(targets.values()):
@@ -269,8 +273,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     carry = [*inner.values(), *(["text"] if "text" in names else [])]
     kept = ", ".join([*[f"{k} {kinds[c]}" for c, k in inner.items()], *(["text binary"] if "text" in names else [])])
     scored = tables.save(rows.mapInArrow(tidy(_lazy(shared, carry)), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
-    move, _, met = fit_rates(scored, weights)
-    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(tidy(_rate(len(domains), move)), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
+    move, _, met = fit_rates(scored, weights, most_rate=most_rate)
+    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(tidy(_rate(len(domains), move, most_rate)), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
     key = F.col(inner["doc_id"]) if "doc_id" in inner else F.monotonically_increasing_id()
     extra = (F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_003)) / 1_000_003) < F.col("rate") - F.floor("rate")
     out = [F.col("text").cast("string").alias("text") if c == "text" else F.col(inner[c]).alias(c) for c in names]
