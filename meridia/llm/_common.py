@@ -56,8 +56,8 @@ def tidy(run):
 class Scratch:
     """Tables of one run in the shared folder. Writing cuts the lineage, and survives lost executors."""
 
-    #: While a table is written, its shuffle files go when it is done, and Python gets texts in small batches.
-    CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    #: While a table is written: its shuffle files go when it is done.
+    CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     #: Folders of this session, for sweep.
     made: list[str] = []
 
