@@ -1,11 +1,11 @@
-"""The queries op1 to op10: each applies one operator to its whole table."""
+"""The queries op1 to op13: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, url_filter, warc
+from . import chunk_dedup, decontaminate, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, resampling, secret_scan, url_filter, warc
 
 
 #: Share of tokens by domain that op7 and the pipeline aim at.
@@ -69,11 +69,26 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_words=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_line_dedup, op3_warc, op4_decontaminate, op5_language_id, op6_quality_rules, op7_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filters)
+    for f in (op1_ngram_join, op2_line_dedup, op3_warc, op4_decontaminate, op5_language_id, op6_quality_rules, op7_mixing, op8_substring_dedup, op9_secret_scan, op10_url_filters, op11_prefix_trie, op12_resampling, op13_packing)
 }
 
+
 def _components_sql() -> str:
     """All pairs of documents that share a shingle, counted; then the least document that links reach, level by level."""
     words = "SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents"
@@ -91,5 +106,39 @@ _PAYLOADS = "SELECT page_id, encode(coalesce(html, '')) AS p FROM pages"
 _ARCHIVE_SQL = f"""SELECT page_id, CAST(octet_length(p) AS BIGINT) AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN octet_length(p)>=1000 AND page_id<last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN octet_length(p)>=1000 AND page_id<last THEN last END AS refers_to
     FROM (SELECT *, max(page_id) OVER (PARTITION BY p) AS last FROM ({_PAYLOADS}))"""
 
+
+def _crc_sql(x: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, bit by bit."""
+    bytes_ = f"list_transform(range(octet_length(encode({x}))), lambda i: CAST('0x' || substr(hex(encode({x})), 2*i+1, 2) AS BIGINT))"
+    eight = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bytes_}), lambda a, b: {eight}), 4294967295)"
+
+
+#: All prefixes of all rebuilt conversations, grouped; a node's subtree by the prefixes of the conversation that names it.
+_TRIE_SQL = f"""WITH own AS MATERIALIZED (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS q FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+    drawn AS (SELECT *, {_crc_sql("CAST(conv_id AS VARCHAR)")}%4 AS h FROM own),
+    rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.q[1:c.h], []), c.q[c.h+1:]) AS q FROM drawn c LEFT JOIN own b ON b.conv_id=c.conv_id-c.conv_id%20),
+    each AS (SELECT conv_id, q, unnest(range(len(q)+1)) AS d FROM rebuilt),
+    prefixes AS MATERIALIZED (SELECT conv_id, d, CASE WHEN d=0 THEN '' ELSE md5(to_json(q[1:d])) END AS k, CASE WHEN d=1 THEN '' WHEN d>1 THEN md5(to_json(q[1:d-1])) END AS above, CASE WHEN d>0 THEN len(regexp_extract_all(q[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words, d=len(q) AS ends FROM each),
+    nodes AS MATERIALIZED (SELECT d, k, above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*)-1)*max(words) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2, 3),
+    children AS (SELECT d-1 AS d, above AS k, count(*) AS n FROM nodes WHERE d>0 GROUP BY 1, 2),
+    whole AS (SELECT m.*, coalesce(n, 0) AS n_children FROM nodes m LEFT JOIN children USING (d, k)),
+    sums AS (SELECT p.d, p.k, sum(m.saved) AS saved, sum(CAST(m.n_children=0 AS BIGINT)) AS leaves FROM whole m JOIN prefixes p ON p.conv_id=m.conv_id AND p.d<=m.d GROUP BY 1, 2)
+    SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+    FROM whole m JOIN sums s USING (d, k) LEFT JOIN nodes u ON u.d=m.d-1 AND u.k=m.above"""
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RESAMPLE_SQL = f"""WITH mine AS MATERIALIZED (SELECT doc_id, {_FOLDED} AS w FROM documents WHERE doc_id IS NOT NULL),
+    a AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS g FROM mine) GROUP BY 1, 2),
+    b AS MATERIALIZED (SELECT g, count(*) AS n FROM (SELECT unnest({_FOLDED}) AS g FROM benchmark) GROUP BY 1),
+    hashed AS MATERIALIZED (SELECT g, {_crc_sql("g")}%10000 AS k FROM (SELECT g FROM a UNION SELECT g FROM b)),
+    s AS (SELECT k, sum(n) AS n FROM a JOIN hashed USING (g) GROUP BY 1), t AS (SELECT k, sum(n) AS n FROM b JOIN hashed USING (g) GROUP BY 1),
+    sums AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM s)+10000 AS DOUBLE) AS ss, CAST((SELECT coalesce(sum(n), 0) FROM t)+10000 AS DOUBLE) AS tt),
+    gains AS MATERIALIZED (SELECT k, CAST(floor(1000*ln((CAST(coalesce(t.n, 0) AS DOUBLE)+1)*ss/((CAST(coalesce(s.n, 0) AS DOUBLE)+1)*tt))) AS BIGINT) AS gain FROM (SELECT unnest(range(10000)) AS k) LEFT JOIN s USING (k) LEFT JOIN t USING (k), sums),
+    weights AS (SELECT doc_id, sum(n*gain) AS weight FROM a JOIN hashed USING (g) JOIN gains USING (k) GROUP BY 1),
+    scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) AS BIGINT)+CAST(floor(-1000*ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)+0.5::DOUBLE)/4294967296::DOUBLE))) AS BIGINT) AS score FROM mine LEFT JOIN weights USING (doc_id)),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features>=20)
+    SELECT doc_id, n_features, weight, score, r.rank FROM scored LEFT JOIN (SELECT * FROM ranked WHERE rank<=10*n//100) r USING (doc_id)"""
+
 #: Where SQL can express the whole result.
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": _components_sql(), "op3_warc": _ARCHIVE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": _components_sql(), "op3_warc": _ARCHIVE_SQL, "op11_prefix_trie": _TRIE_SQL, "op12_resampling": _RESAMPLE_SQL}
