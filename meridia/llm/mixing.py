@@ -149,9 +149,12 @@ def _held(model: Model):
     return run
 
 
-def rates(p: np.ndarray, move: np.ndarray, most: float = np.inf) -> np.ndarray:
-    """1 less posteriors times the move, and never under 0 or over `most`."""
-    return np.clip(1.0 - p @ move, 0.0, most)
+def rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rates of rows with posteriors p: from 1 on, each step takes off posteriors times it, and stops at 0."""
+    r = np.ones(len(p))
+    for change in (p @ np.reshape(steps, (-1, p.shape[1])).T).T:
+        r = np.maximum(0.0, r - change)
+    return r
 
 
 def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
@@ -159,87 +162,72 @@ def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _sums(k: int, trials: list[np.ndarray], most: float):
-    """For each trial move: tokens by domain, what rows add to the convex dual, and the Gram matrix of rows between the bounds."""
+def _sums(k: int, done: np.ndarray, trials: np.ndarray):
+    """Tokens by domain after the steps done and each one of the trials; the Gram matrix of all rows last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(trials), k + 1 + k * k))
+        total, gram = np.zeros((len(trials), k)), np.zeros((k, k))
         for batch in batches:
             p, tokens = _matrix(batch, "p", k), batch.column(batch.schema.get_field_index("tokens")).to_numpy().astype(np.float64)
-            weighed = p * tokens[:, None]
-            for row, move in zip(total, trials):
-                free, rate = 1.0 - p @ move, rates(p, move, most)
-                row[:k] += rate @ weighed
-                row[k] += tokens @ np.where(free > rate, rate * free - rate * rate / 2, rate * rate / 2)
-                inside = (rate > 0) & (rate < most)
-                row[k + 1 :] += (weighed[inside].T @ p[inside]).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["i", "x"])
+            weighed, now = p * tokens[:, None], rates(p, done)
+            for row, change in zip(total, (p @ trials.T).T):
+                row += np.maximum(0.0, now - change) @ weighed
+            gram += weighed.T @ p
+        flat = np.concatenate([total.reshape(-1), gram.reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(flat.size, dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
     return run
 
 
-#: Weight of staying near rate 1 against meeting the targets: where they can be met, and where they can't.
-SLACK, LOOSE = 1e-8, 1e-2
+#: Lengths of a step that are tried together; 1 is safe, as no rows can turn the misfit faster than all of them.
+LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 
 
-def fit_rates(scored: DataFrame, weights: np.ndarray, *, most_rate: float = np.inf, steps: int = 80, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The move from which rates(p, move, most_rate) gives the rate of a row of scored(tokens, p); tokens by domain under it; whether the targets are met.
+def fit_rates(scored: DataFrame, weights: np.ndarray, *, most_steps: int = 200, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Steps from which rates(p, steps) gives the rate of a row of scored(tokens, p); tokens by domain under them; whether the targets are met.
 
-    Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights. Of
-    the rates 0 <= r <= most_rate with the least squares |A r - T| those nearest to 1 are sought, every
-    token counting the same, so that rows of equal posteriors keep equal rates. That is a projected
-    gradient: steps along the misfit A r - T add up in one move, a number a domain, and the rates are
-    its projection on the bounds. Steps are scaled by the inverse Gram matrix of the rows between
-    them, and each tries several lengths in one pass over the table, so the misfit's convex dual goes
-    down in each. Ends at its first-order conditions. Where the targets can't be met, nearness to 1
-    counts more: else a few rows that have a trace of a domain would take the place of all others.
-    Only sums come to the driver, a few for each pair of domains.
+    Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights.
+    Projected gradient steps from rates of 1 lower the squares of A r - T over all r >= 0. Misfits are
+    measured by the inverse Gram matrix of the posteriors, every token counting the same: by how much
+    the table as a whole can change them; a domain of which no row has anything is left out. A step is
+    a number a domain, so a row's rate is found again from the steps and its posteriors, and only sums
+    come to the driver, a few for each domain. Each pass over the table tries several lengths along
+    the gradient and keeps the one of least squares. Ends when every domain is within `tolerance` of
+    all tokens of its target, when no step gains a millionth of the squares any more, or after
+    most_steps.
     """
     k = len(weights)
 
-    def look(trials: list[np.ndarray]) -> np.ndarray:
-        rows = scored.select("tokens", "p").mapInArrow(tidy(_sums(k, trials, most_rate)), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(len(trials) * (k + 1 + k * k))
+    def look(done: np.ndarray, trials: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = scored.select("tokens", "p").mapInArrow(tidy(_sums(k, done, trials)), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(len(trials) * k + k * k)
         for r in rows:
             out[r["i"]] = float(f"{r['x']:.13g}")  # sums differ in their last digits by the order of tasks
-        return out.reshape(len(trials), -1)
+        return out[: len(trials) * k].reshape(-1, k), out[len(trials) * k :].reshape(k, k)
 
-    begin = look([np.zeros(k)])[0]
-    total = float(begin[:k].sum())
+    steps = np.zeros((0, k))
+    (share,), gram = look(steps, np.zeros((1, k)))
+    total = float(share.sum())
     if not total:
-        return np.zeros(k), np.zeros(k), False
-    target, eye = total * weights, np.eye(k)
-
-    def fitted(slack: float) -> tuple[np.ndarray, np.ndarray]:
-        move, now = np.zeros(k), begin
-        ridge = slack * total
-        value = lambda m, seen: seen[k] + target @ m + ridge / 2 * m @ m
-        for _ in range(steps):
-            slope = target - now[:k] + ridge * move
-            if np.abs(slope).max() <= tolerance * total:
-                break
-            step = -np.linalg.solve(now[k + 1 :].reshape(k, k) + ridge * eye, slope)
-            trials = [move + step * x for x in (1.0, 0.5, 0.2, 0.05, 0.01, 0.001)]
-            seen = look(trials)
-            best = min(range(len(trials)), key=lambda i: (value(trials[i], seen[i]), i))
-            if value(trials[best], seen[best]) >= value(move, now) - 1e-13 * abs(value(move, now)):
-                break
-            move, now = trials[best], seen[best]
-        return move, now[:k]
-
+        return steps, np.zeros(k), False
+    target, inverse = total * weights, np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    square = lambda s: float((s - target) @ inverse @ (s - target))
+    while len(steps) < most_steps and np.abs(share - target).max() > tolerance * total:
+        trials = np.outer(LENGTHS, inverse @ (share - target))
+        seen, _ = look(steps, trials)
+        best = min(range(len(trials)), key=lambda i: (square(seen[i]), i))
+        if square(seen[best]) >= square(share) * (1 - 1e-6):
+            break
+        steps, share = np.vstack([steps, trials[best]]), seen[best]
     # within a thousandth of each target, and of all tokens for a target of nothing
-    near = lambda share: bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
-    move, share = fitted(SLACK)
-    if not near(share):
-        move, share = fitted(LOOSE)
-    return move, share, near(share)
+    return steps, share, bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
 
 
-def _rate(k: int, move: np.ndarray, most: float):
+def _rate(k: int, steps: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(batch.schema.get_field_index("tokens")).to_numpy()
-            rate = np.where(tokens > 0, rates(_matrix(batch, "p", k), move, most), 1.0)
+            rate = np.where(tokens > 0, rates(_matrix(batch, "p", k), steps), 1.0)
             at = batch.schema.get_field_index("rate")
             yield batch.set_column(at, batch.schema.field(at), pa.array(np.round(rate, 6)))
 
@@ -247,18 +235,20 @@ def _rate(k: int, move: np.ndarray, most: float):
 
 
 #: Columns that mix_documents adds.
-ADDED = ("tokens", "posteriors", "rate", "copies", "on_target")
+ADDED = ("tokens", "posteriors", "rate", "copies", "on_target", "residual")
 
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, most_rate: float = 4.0, most_labels: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, tokens, posteriors (in the order of `targets`), rate, copies and on_target of every row.
+def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, most_labels: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` columns, tokens, posteriors (in the order of `targets`), rate, copies, on_target and residual of every row.
 
     labelled has (doc_id, domain); targets are weights by domain, scaled to sum 1. rate is how often a
-    document should be seen, `most_rate` times at most, and copies its whole number, rounded up for the share of documents that
+    document should be seen, and copies its whole number, rounded up for the share of documents that
     its fraction says, by a hash of doc_id. A null or empty text has no tokens and the rate 1. Rows of
     a null doc_id are scored and rated as others; so are rows of repeated ids, one for one. on_target
-    is the same in every row: false if no such rates meet the targets within a thousandth; they are then
-    a compromise of the least squares and of staying near 1. Kept columns named as the added ones are left out.
+    and residual are the same in every row: whether each target is met within a thousandth, and the
+    share of all tokens that each domain has beyond its target (in the order of `targets`). Where no
+    rates meet the targets they are those of least squares. Kept columns named as the added ones are
+    left out.
     """
     domains, tables = list(targets), Scratch(docs.sparkSession, "mixing")
     if not domains or min(targets.values()) < 0 or not sum(targets.values()):
@@ -273,12 +263,13 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     carry = [*inner.values(), *(["text"] if "text" in names else [])]
     kept = ", ".join([*[f"{k} {kinds[c]}" for c, k in inner.items()], *(["text binary"] if "text" in names else [])])
     scored = tables.save(rows.mapInArrow(tidy(_lazy(shared, carry)), f"{kept}, tokens long, posteriors array<double>".lstrip(", ")).withColumnRenamed("posteriors", "p"), "scored")
-    move, _, met = fit_rates(scored, weights, most_rate=most_rate)
-    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(tidy(_rate(len(domains), move, most_rate)), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
+    steps, share, met = fit_rates(scored, weights)
+    rated = scored.withColumn("rate", F.lit(0.0)).mapInArrow(tidy(_rate(len(domains), steps)), f"{kept}, tokens long, p array<double>, rate double".lstrip(", "))
+    residual = np.round(share / max(1.0, share.sum()) - weights, 9).tolist()
     key = F.col(inner["doc_id"]) if "doc_id" in inner else F.monotonically_increasing_id()
     extra = (F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_003)) / 1_000_003) < F.col("rate") - F.floor("rate")
     out = [F.col("text").cast("string").alias("text") if c == "text" else F.col(inner[c]).alias(c) for c in names]
-    return rated.select(*out, "tokens", F.col("p").alias("posteriors"), "rate", (F.floor("rate") + extra.cast("long")).alias("copies"), F.lit(met).alias("on_target"))
+    return rated.select(*out, "tokens", F.col("p").alias("posteriors"), "rate", (F.floor("rate") + extra.cast("long")).alias("copies"), F.lit(met).alias("on_target"), F.array(*map(F.lit, residual)).alias("residual"))
 
 
 def _lazy(shared, names: list[str]):

@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -172,14 +173,16 @@ class Ids:
     """Token ids of texts as little-endian bytes of 32 bits each.
 
     With `by_words`, texts of the first 256 characters are looked up word by word, and only new words
-    go to the tokenizer; this holds for a tokenizer that lower-cases, splits as _WORDS does and drops
-    white space. Other texts are encoded whole. `most_words` bounds what is remembered.
+    go to the tokenizer; this holds for a tokenizer that lower-cases, splits as _WORDS does, drops white
+    space and marks the last token of a word. Other texts are encoded whole. `most_words` bounds what is remembered.
     """
 
     def __init__(self, path: str, by_words: bool, most_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words, self.most, self.known = Tokenizer.from_file(path), by_words, most_words, {}
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        self.last = np.array([name.endswith("</w>") for name, _ in names])  # tokens that end a word
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -187,16 +190,17 @@ class Ids:
     def learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > self.most:
             self.known.clear()
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of, ids = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
-        ends = np.searchsorted(of, np.arange(len(words)), "right") * 4
-        if len(of) and of[-1] == len(words) - 1:
-            at = 0
-            for word, end in zip(words, ends.tolist()):
-                self.known[word] = ids[at:end]
-                at = end
-        else:  # a word that is split otherwise
-            self.known.update((w, self.whole(w)) for w in words)
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                data, at = ids.astype("<u4").tobytes(), 0
+                for word, end in zip(part, (ends * 4).tolist()):
+                    self.known[word] = data[at:end]
+                    at = end
+            else:  # a word that is split otherwise
+                self.known.update((w, self.whole(w)) for w in part)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -222,6 +226,12 @@ class Ids:
         return out
 
 
+@cache
+def _ids(path: str, by_words: bool) -> Ids:
+    """One for each worker, so that what a task has looked up the next one knows."""
+    return Ids(path, by_words)
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -229,7 +239,7 @@ def _cut(path: str, by_words: bool, capacity: int, end_id: int, chars: int):
     """Pieces of each text, each with the task that cut it and how many of its length that task cut before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen, task = Ids(path, by_words), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        ids, seen, task = _ids(path, by_words), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs, texts = column(batch, "doc_id"), column(batch, "text")
