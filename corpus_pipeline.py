@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from meridia.llm._common import SPACE, Scratch, free_name
-from meridia.llm.queries import TARGETS, domains
+from meridia.llm._common import SPACE, Scratch, released, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Shares of tokens over what the other stages leave. Poor documents are gone by then, so quality is no domain here.
+TARGETS = {"toxic": 0.01, "clean": 0.99}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    verdict = quality.apply_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept").select("doc_id").distinct()
-    id_ = free_name("bad_id", docs)
-    bad = Scratch(spark, "pipeline-quality").save(verdict, "rejected").withColumnRenamed("doc_id", id_)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    tables = Scratch(spark, "pipeline-quality")
+    with released():
+        verdict = quality.apply_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        bad = tables.save(verdict.where("not kept").select("doc_id").distinct(), "rejected")
+    return without(docs, bad)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the rate at which it is to be seen, and its number of copies; those of no copy go."""
-    labelled = domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labelled = labels.select("doc_id", F.when(F.col("toxic") > 0, "toxic").when(F.col("toxic") == 0, "clean").alias("domain"))
     return mixing.mix_documents(docs, labelled, TARGETS, keep=tuple(docs.columns)).where("copies > 0")
 
 

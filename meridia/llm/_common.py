@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,23 @@ def tidy(run):
     return wrapped
 
 
+#: What operators have made inside the innermost `released` block of this thread.
+_INSIDE: ContextVar[list | None] = ContextVar("inside", default=None)
+
+
+@contextmanager
+def released():
+    """Tables that operators write inside the block are deleted at its end; what is needed later must be saved inside it to a Scratch made before."""
+    mine: list[Scratch] = []
+    token = _INSIDE.set(mine)
+    try:
+        yield
+    finally:
+        _INSIDE.reset(token)
+        for made in mine:
+            made.delete()
+
+
 class Scratch:
     """Tables of one run in the shared folder. Writing cuts the lineage, and survives lost executors."""
 
@@ -64,9 +83,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         Scratch.made.append(self.at)
+        if (inside := _INSIDE.get()) is not None:
+            inside.append(self)
+
+    def delete(self) -> None:
+        """All tables of the run: results that still read from them are lost."""
+        self.drop("")
+        Scratch.made.remove(self.at)
 
     def path(self, name: str) -> str:
-        return f"{self.at}/{name}"
+        return f"{self.at}/{name}" if name else self.at
 
     def save(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
         """Write and reread; the shuffle files behind the table can go at once. Hashes want no dictionary."""
@@ -96,6 +122,13 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id, null or not, is none of ids(doc_id). Always by a shuffle, as ids grow with the corpus."""
+    id_ = free_name("gone_id", docs)
+    gone = ids.select(F.col("doc_id").alias(id_)).hint("merge")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """`name`, or with underscores after it what no column of the frames is called, in any case of letters."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -249,19 +282,31 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 4, counts, np.minimum(63, 4 + np.ceil(2.2 * np.log2(x / 4)))).astype(np.uint8)
 
 
-def merge_sketches(blocks: DataFrame, cells: int) -> np.ndarray:
-    """Sums (block, counts) rows of all tasks; 2 x cells levels, one byte each, come to the driver."""
+def _added(kind: str):
+    """Sums the counts of a group's rows as they come, 32-bit numbers of tasks or 64-bit sums."""
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(Sketch.BLOCK, np.uint64)
-        for c in table.column("counts").combine_chunks().to_pylist():
-            total[: len(c) // 4] += np.frombuffer(c, np.uint32)
-        return pa.table({"block": table.column("block").slice(0, 1).combine_chunks().cast(pa.int32()), "levels": pa.array([level(total).tobytes()], pa.binary())})
+        for batch in batches:
+            for c in column(batch, "counts"):
+                part = np.frombuffer(c, kind)
+                total[: len(part)] += part
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+
+    return add
+
 
+#: Groups in which the tasks' counts of a block are added up first.
+GROUPS = 256
+
+
+def merge_sketches(blocks: DataFrame, cells: int) -> np.ndarray:
+    """Sums (block, counts) rows of all tasks, in two steps; 2 x cells levels, one byte each, come to the driver."""
+    part = blocks.withColumn("part", F.spark_partition_id() % GROUPS).groupBy("block", "part").applyInArrow(_added("u4"), "block int, counts binary")
     out = np.zeros(2 * cells, np.uint8)
-    for r in blocks.groupBy("block").applyInArrow(add, "block int, levels binary").toLocalIterator():
-        part = np.frombuffer(bytes(r["levels"]), np.uint8)[: 2 * cells - r["block"] * Sketch.BLOCK]
-        out[r["block"] * Sketch.BLOCK :][: len(part)] = part
+    for r in part.groupBy("block").applyInArrow(_added("u8"), "block int, counts binary").toLocalIterator():
+        found = level(np.frombuffer(bytes(r["counts"]), np.uint64))[: 2 * cells - r["block"] * Sketch.BLOCK]
+        out[r["block"] * Sketch.BLOCK :][: len(found)] = found
     return out.reshape(2, cells)
 
 

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, free_name
+from ._common import Scratch, released, without
 
 #: Found by greedy cover: every way to substitute a fifth of a window of 8 to 15 words leaves a seed of one of them.
 MASKS = ("1111011", "110010111", "1110100011", "1011111", "11101101", "1101000111")
@@ -91,7 +91,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that hold no benchmark passage, with their columns."""
-    bad = find_leaks(docs, benchmark, **how).select("doc_id").distinct()
-    id_ = free_name("leaked_id", docs)
-    bad = Scratch(docs.sparkSession, "decontaminated").save(bad, "ids").withColumnRenamed("doc_id", id_)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    tables = Scratch(docs.sparkSession, "decontaminated")
+    with released():
+        bad = tables.save(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "ids")
+    return without(docs, bad)

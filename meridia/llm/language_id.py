@@ -74,9 +74,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([np.asarray(c, np.int64).tobytes() for c in counts.values()], pa.binary())], names=["lang", "docs", "counts"])
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
-    return pa.table({"lang": table.column("lang").slice(0, 1), "docs": pa.array([sum(table.column("docs").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums a group's counts as they come."""
+    total, docs = np.zeros(1 << BITS, np.int64), 0
+    for batch in batches:
+        docs += sum(column(batch, "docs"))
+        for c in column(batch, "counts"):
+            total += np.frombuffer(c, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([docs], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["lang", "docs", "counts"])
 
 
 def train(labelled: DataFrame, *, smooth: float = 0.5, most_languages: int = 500) -> tuple[list[str], np.ndarray]:
@@ -86,6 +91,8 @@ def train(labelled: DataFrame, *, smooth: float = 0.5, most_languages: int = 500
     language, and that raises.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text").mapInArrow(_count, "lang string, docs long, counts binary")
+    # tasks' counts in two steps, the first in up to 256 groups a language
+    rows = rows.withColumn("part", F.spark_partition_id() % 256).groupBy("lang", "part").applyInArrow(_add, "lang string, docs long, counts binary")
     rows = sorted(rows.groupBy("lang").applyInArrow(_add, "lang string, docs long, counts binary").limit(most_languages + 1).collect())
     if len(rows) > most_languages:
         raise ValueError(f"over {most_languages} languages")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, count_keys, deal, pack, search, starts, unpack
-from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity, tidy
+from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity, released, tidy
 from .ngram_join import levels, prefix_entries
 
 CELLS = 1 << 21
@@ -368,7 +368,10 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     replaced, and so does the order of lines; a text may end up empty.
     """
     id_, gone, split = (free_name(x, docs) for x in ("gone_id", "gone_lines", "lines"))
-    later = later_lines(docs.select("doc_id", "text"), **how).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone))
+    tables = Scratch(docs.sparkSession, "line-keep")
+    with released():
+        later = tables.save(later_lines(docs.select("doc_id", "text"), **how), "later")
+    later = later.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone)).hint("merge")
     out = docs.join(later, F.col("doc_id") == F.col(id_), "left").withColumn(split, F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))

@@ -163,27 +163,31 @@ def _matrix(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
 
 
 def _sums(k: int, done: np.ndarray, trials: np.ndarray):
-    """Tokens by domain after the steps done and each one of the trials; the Gram matrix of all rows last."""
+    """After the steps done and each one of the trials: tokens by domain, and the Gram matrix of the rows above 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, gram = np.zeros((len(trials), k)), np.zeros((k, k))
+        total = np.zeros((len(trials), k + k * k))
         for batch in batches:
             p, tokens = _matrix(batch, "p", k), batch.column(batch.schema.get_field_index("tokens")).to_numpy().astype(np.float64)
             weighed, now = p * tokens[:, None], rates(p, done)
             for row, change in zip(total, (p @ trials.T).T):
-                row += np.maximum(0.0, now - change) @ weighed
-            gram += weighed.T @ p
-        flat = np.concatenate([total.reshape(-1), gram.reshape(-1)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(flat.size, dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+                rate = np.maximum(0.0, now - change)
+                row[:k] += rate @ weighed
+                row[k:] += (weighed[rate > 0].T @ p[rate > 0]).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["i", "x"])
 
     return run
 
 
-#: Lengths of a step that are tried together; 1 is safe, as no rows can turn the misfit faster than all of them.
-LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
+#: Lengths of a step that are tried together, along the gradient scaled by all rows (1 is safe) and along that scaled by the rows above 0.
+LENGTHS, FREE_LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0), (1.0, 0.7, 0.4, 0.2, 0.05)
 
 
-def fit_rates(scored: DataFrame, weights: np.ndarray, *, most_steps: int = 200, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, bool]:
+def _inverse(gram: np.ndarray) -> np.ndarray:
+    return np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+
+
+def fit_rates(scored: DataFrame, weights: np.ndarray, *, most_steps: int = 60, tolerance: float = 1e-6, least_gain: float = 1e-4) -> tuple[np.ndarray, np.ndarray, bool]:
     """Steps from which rates(p, steps) gives the rate of a row of scored(tokens, p); tokens by domain under them; whether the targets are met.
 
     Column d of A holds a row's tokens times its posteriors, and T is all tokens times the weights.
@@ -191,36 +195,37 @@ def fit_rates(scored: DataFrame, weights: np.ndarray, *, most_steps: int = 200,
     measured by the inverse Gram matrix of the posteriors, every token counting the same: by how much
     the table as a whole can change them; a domain of which no row has anything is left out. A step is
     a number a domain, so a row's rate is found again from the steps and its posteriors, and only sums
-    come to the driver, a few for each domain. Each pass over the table tries several lengths along
-    the gradient and keeps the one of least squares. Ends when every domain is within `tolerance` of
-    all tokens of its target, when no step gains a millionth of the squares any more, or after
-    most_steps.
+    come to the driver, a few for each pair of domains. Each pass over the table tries several lengths
+    along the gradient, in two scalings, and keeps the one of least squares. Ends when every domain is
+    within `tolerance` of all tokens of its target, when a step takes less than the share
+    `least_gain` off the squares, or after most_steps.
     """
     k = len(weights)
 
-    def look(done: np.ndarray, trials: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(done: np.ndarray, trials: np.ndarray) -> np.ndarray:
         rows = scored.select("tokens", "p").mapInArrow(tidy(_sums(k, done, trials)), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(len(trials) * k + k * k)
+        out = np.zeros(len(trials) * (k + k * k))
         for r in rows:
             out[r["i"]] = float(f"{r['x']:.13g}")  # sums differ in their last digits by the order of tasks
-        return out[: len(trials) * k].reshape(-1, k), out[len(trials) * k :].reshape(k, k)
+        return out.reshape(len(trials), -1)
 
     steps = np.zeros((0, k))
-    (share,), gram = look(steps, np.zeros((1, k)))
-    total = float(share.sum())
+    now = look(steps, np.zeros((1, k)))[0]
+    total = float(now[:k].sum())
     if not total:
         return steps, np.zeros(k), False
-    target, inverse = total * weights, np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
-    square = lambda s: float((s - target) @ inverse @ (s - target))
-    while len(steps) < most_steps and np.abs(share - target).max() > tolerance * total:
-        trials = np.outer(LENGTHS, inverse @ (share - target))
-        seen, _ = look(steps, trials)
+    target, inverse = total * weights, _inverse(now[k:].reshape(k, k))
+    square = lambda s: float((s[:k] - target) @ inverse @ (s[:k] - target))
+    while len(steps) < most_steps and np.abs(now[:k] - target).max() > tolerance * total:
+        miss = now[:k] - target
+        trials = np.vstack([np.outer(LENGTHS, inverse @ miss), np.outer(FREE_LENGTHS, _inverse(now[k:].reshape(k, k)) @ miss)])
+        seen = look(steps, trials)
         best = min(range(len(trials)), key=lambda i: (square(seen[i]), i))
-        if square(seen[best]) >= square(share) * (1 - 1e-6):
+        if square(seen[best]) >= square(now) * (1 - least_gain):
             break
-        steps, share = np.vstack([steps, trials[best]]), seen[best]
+        steps, now = np.vstack([steps, trials[best]]), seen[best]
     # within a thousandth of each target, and of all tokens for a target of nothing
-    return steps, share, bool((np.abs(share - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
+    return steps, now[:k], bool((np.abs(now[:k] - target) <= 1e-3 * np.where(weights > 0, target, total)).all())
 
 
 def _rate(k: int, steps: np.ndarray):
@@ -246,7 +251,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     its fraction says, by a hash of doc_id. A null or empty text has no tokens and the rate 1. Rows of
     a null doc_id are scored and rated as others; so are rows of repeated ids, one for one. on_target
     and residual are the same in every row: whether each target is met within a thousandth, and the
-    share of all tokens that each domain has beyond its target (in the order of `targets`). Where no
+    share of the mixture's tokens that each domain has beyond its target (in the order of `targets`). Where no
     rates meet the targets they are those of least squares. Kept columns named as the added ones are
     left out.
     """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, WIDE, count_keys, deal, pack, search, unpack
-from ._common import Scratch, Sketch, WordHash, column, components, if_few, merge_sketches, mix, rarity, shingles, tidy
+from ._common import Scratch, Sketch, WordHash, column, components, if_few, merge_sketches, mix, rarity, released, shingles, tidy, without
 
 #: Counter cells of each sketch row; prefix tokens to a group, about; size classes below that combine nothing.
 CELLS, GROUP, SMALL = 1 << 21, 6, 20
@@ -271,7 +271,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that are linked."""
         wanted = tables.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-wanted")
-        texts = ids.join(if_few(wanted), "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(tidy(_shrink), "rep long, text binary")
+        texts = ids.join(wanted.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(tidy(_shrink), "rep long, text binary")
         texts = tables.save(texts, f"{name}-texts", dictionary=False)
         near = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         out = tables.save(near.mapInArrow(tidy(_verify(k)), "a long, b long, both long, union long").where(f"both * {den} >= union * {num}").select("a", "b").distinct(), name)
@@ -314,5 +314,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The documents without those that are linked, over any way, to one with a smaller doc_id."""
-    found = jaccard_components(docs.select("doc_id", "text"), **how).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(Scratch(docs.sparkSession, "ngram-keep").save(found, "copies"), "doc_id", "left_anti")
+    tables = Scratch(docs.sparkSession, "ngram-keep")
+    with released():
+        copies = tables.save(jaccard_components(docs.select("doc_id", "text"), **how).where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    return without(docs, copies)
