@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, WIDE, count_keys, deal, pack, search, unpack
-from ._common import Scratch, Sketch, WordHash, column, components, if_few, merge_sketches, mix, rarity, released, shingles, tidy, without
+from ._common import Scratch, Sketch, WordHash, column, components, merge_sketches, mix, rarity, released, shingles, tidy, without
 
 #: Counter cells of each sketch row; prefix tokens to a group, about; size classes below that combine nothing.
 CELLS, GROUP, SMALL = 1 << 21, 6, 20
@@ -283,8 +283,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     them = node.select(F.col("doc_id").alias("doc2"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
     met_pairs = tables.save(met.where("doc2 is not null").select("doc_id", "doc2").distinct(), "met-pairs")
-    mine = tables.save(node.join(if_few(met_pairs), "doc_id"), "met-facts", dictionary=False)
-    pairs = them.join(if_few(mine), "doc2").where((F.col("rep") != F.col("other")) & able).select(*pair).distinct()
+    mine = tables.save(node.join(met_pairs.hint("merge"), "doc_id"), "met-facts", dictionary=False)
+    pairs = them.join(mine.hint("merge"), "doc2").where((F.col("rep") != F.col("other")) & able).select(*pair).distinct()
     pairs = tables.save(pairs, "pairs")
     tables.drop("met-pairs", "met-facts")
     links = links.union(verified(pairs, "links"))
