@@ -324,7 +324,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     shared, limit = spark.sparkContext.broadcast(counts.tobytes()), int(4 + 2.2 * np.log2(max(8, frequent) / 4))
     lines = seen.where("block is null").select("doc_id", "line_no", "k1", "k2")
     copied = tables.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copied")
-    copies = lines.join(copied.hint("merge"), ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
+    copies = lines.join(copied, ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
     sets = seen.where("words is not null").select("doc_id", "line_no", "words")
     load = seen.where("words is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(load) // BUCKET))
@@ -334,14 +334,14 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     def similar(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
         """(doc_id, line_no) of the later lines of pairs of similar lines."""
         x, y = words.withColumnRenamed("words", "x"), words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
-        both = pairs.hint("merge").join(y, ["doc2", "line2"]).hint("merge").join(x, ["doc_id", "line_no"]).select("doc_id", "line_no", "x", "y")
+        both = pairs.join(y, ["doc2", "line2"]).join(x, ["doc_id", "line_no"]).select("doc_id", "line_no", "x", "y")
         return tables.save(both.mapInArrow(tidy(_verify(num, den)), "doc_id long, line_no int").distinct(), name)
 
     met = pairs.where("doc2 is not null")
-    # sides that grow with the corpus are never broadcast, so plans are the same at every size
+    # these grow with the corpus and are never broadcast, so plans are the same at every size; what the second search leaves is small
     wanted = pairs.select("doc_id", "line_no").union(met.select("doc2", "line2")).distinct()
     words = tables.save(sets.join(wanted.hint("merge"), ["doc_id", "line_no"]).select("doc_id", "line_no", "words"), "words")
-    found = similar(met, words, "found")
+    found = similar(met.hint("merge"), words.hint("merge"), "found")
     still = tables.save(pairs.where("doc2 is null").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").join(words, ["doc_id", "line_no"]), "still")
     tables.drop("pairs", "words")
     if still.take(1):
@@ -354,7 +354,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
         rest = mine.join(theirs, "key").where((F.struct("doc2", "line2") < F.struct(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"))) & able)
         rest = tables.save(rest.select("doc_id", "line_no", "doc2", "line2").distinct(), "rest")
         other = rest.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no")).distinct()
-        words = sets.join(other.union(still.select("doc_id", "line_no")).distinct().hint("merge"), ["doc_id", "line_no"])
+        words = sets.join(other.union(still.select("doc_id", "line_no")).distinct(), ["doc_id", "line_no"])
         found = found.union(similar(rest, words.select("doc_id", "line_no", "words"), "found-rest"))
         tables.drop("rest", "mine")
     out = tables.save(copies.union(found).distinct(), "later")
