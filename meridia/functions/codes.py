@@ -50,11 +50,18 @@ def sortable_id(timestamp, sequence) -> Column:
 
 
 def sortable_ids(df, name: str, timestamp: Column | None = None):
-    """df with a column of ids of one moment, unique within its partitions' numbers: rows beyond 65,536 of one take the next milliseconds."""
-    at = F.unix_millis(F.current_timestamp() if timestamp is None else timestamp)
-    row = F.monotonically_increasing_id()
-    # partition above 33 bits, row below: both go into the sequence and the milliseconds that follow
-    return df.withColumn(name, F.shiftleft(at, 16) + F.shiftright(row, 33) * 65536 * 1024 + row.bitwiseAND(F.lit((1 << 33) - 1)))
+    """df with a column of ids without gaps from one moment on: rows beyond 65,536 take the next milliseconds, so ids made later than that many milliseconds are larger.
+
+    Rows are counted by partition first, so df must give the same partitions when it is read again.
+    """
+    n = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # a row a partition
+    before, at = [], 0
+    for p in range(max(n, default=-1) + 1):
+        before.append(at)
+        at += n.get(p, 0)
+    start = F.unix_millis(F.current_timestamp() if timestamp is None else timestamp)
+    row = F.get(F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>"), F.spark_partition_id()) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn(name, F.shiftleft(start, 16) + row)
 
 
 def sortable_id_millis(c) -> Column:

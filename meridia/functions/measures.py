@@ -129,6 +129,24 @@ def distance_xy(g, px, py) -> Column:
     return F.when((G.dimension(g) == 2) & (location(g, px, py) >= 0), 0.0).when(G.dimension(g) >= 1, edges).otherwise(dots)
 
 
+def nearest_xy(g, px, py) -> Column:
+    """Struct d, x, y: the nearest place of a geometry to a point, and its distance; the point itself inside polygons."""
+    qx, qy = G.number(px), G.number(py)
+
+    def on(a, b):
+        def at(p):
+            t = F.when(p["n"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["t"] / p["n"]))).otherwise(0.0)
+            return G.let(t, lambda t: G.let(F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y")), there))
+
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return G.let(F.struct(((qx - a["x"]) * dx + (qy - a["y"]) * dy).alias("t"), (dx * dx + dy * dy).alias("n")), at)
+
+    there = lambda v: F.struct(F.hypot(v["x"] - qx, v["y"] - qy).alias("d"), v["x"].alias("x"), v["y"].alias("y"))
+    edges = F.array_min(F.flatten(F.transform(G.rings(g), lambda r: G.pairs(r, on))))
+    own = F.struct(F.lit(0.0).alias("d"), qx.alias("x"), qy.alias("y"))
+    return F.when((G.dimension(g) == 2) & (location(g, px, py) >= 0), own).when(G.dimension(g) >= 1, edges).otherwise(F.array_min(F.transform(G.vertices(g), there)))
+
+
 def bounds_intersect(a: Column, b: Column) -> Column:
     return (a["minx"] <= b["maxx"]) & (b["minx"] <= a["maxx"]) & (a["miny"] <= b["maxy"]) & (b["miny"] <= a["maxy"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import geometry as G
+from . import measures as M
 from .kernels import made, parts_of, place, rings_of
 
 #: Segments of the first geometry that are compared with all of the second at once.
@@ -140,13 +141,19 @@ def dwithin(g, h, limit: float) -> Column:
     return F.coalesce(distance(g, h) <= limit, F.lit(False))
 
 
-def shortest_line(g, h) -> Column:
-    """The line from the nearest place of one geometry to that of the other."""
+def shortest_line(g, h, *, left_kind: str | None = None) -> Column:
+    """The line from the nearest place of one geometry to that of the other; in columns if g is said to hold points."""
+    if left_kind == "point":
+        near = M.nearest_xy(h, G.x(g), G.y(g))
+        return G.let(near, lambda n: F.when(n.isNotNull() & G.x(g).isNotNull(), G.line_string(F.array(G.vertex(G.x(g), G.y(g)), G.vertex(n["x"], n["y"])))))
     return _udf(lambda a, b: (m := closest(a, b)) and made(2, [[[m[1], m[2]]]]), G.GEOMETRY)(G.col(g), G.col(h))
 
 
-def nearest_points(g, h) -> Column:
-    """Struct a, b of the nearest places as points."""
+def nearest_points(g, h, *, left_kind: str | None = None) -> Column:
+    """Struct a, b of the nearest places as points; in columns if g is said to hold points."""
+    if left_kind == "point":
+        near = M.nearest_xy(h, G.x(g), G.y(g))
+        return G.let(near, lambda n: F.when(n.isNotNull() & G.x(g).isNotNull(), F.struct(G.point(G.x(g), G.y(g)).alias("a"), G.point(n["x"], n["y"]).alias("b"))))
     return _udf(lambda a, b: (m := closest(a, b)) and {"a": made(1, [[[m[1]]]]), "b": made(1, [[[m[2]]]])}, f"struct<a:{G.GEOMETRY},b:{G.GEOMETRY}>")(G.col(g), G.col(h))
 
 

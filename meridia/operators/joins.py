@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geometry as G
 from meridia.functions import kernels as K
 from meridia.functions import measures as M
+from meridia.operators.saved import saved
 
 #: Predicates that hold only where the bounds meet.
 PREDICATES = ("intersects", "contains", "within", "covers", "covered_by", "touches", "crosses", "overlaps", "equals", "contains_properly")
@@ -99,6 +100,15 @@ def candidates(left: DataFrame, right: DataFrame, left_geometry: str, right_geom
 def refine(predicate: str, left: str, right: str, left_kind: str | None, right_kind: str | None) -> Column:
     """The exact test; column expressions where a side is known to hold points, boxes are Python's otherwise."""
     g, h = F.col(left), F.col(right)
+    if (left_kind, right_kind) in (("box", "point"), ("point", "box")):
+        # candidates carry the bounds of both sides
+        p, q = ("r", "l") if right_kind == "point" else ("l", "r")
+        x, y, box = F.col(f"{p}_minx"), F.col(f"{p}_miny"), {k: F.col(f"{q}_{k}") for k in ("minx", "miny", "maxx", "maxy")}
+        inside = (x > box["minx"]) & (x < box["maxx"]) & (y > box["miny"]) & (y < box["maxy"])
+        meets = (x >= box["minx"]) & (x <= box["maxx"]) & (y >= box["miny"]) & (y <= box["maxy"])
+        one_way = {"contains", "contains_properly", "covers"} if left_kind == "box" else {"within", "covered_by"}
+        tests = {"intersects": meets, "touches": meets & ~inside, **{k: meets if k.startswith("cover") else inside for k in one_way}}
+        return tests.get(predicate, F.lit(False))
     if right_kind == "point" and predicate in ("contains", "contains_properly"):
         return M.contains_xy(g, G.x(h), G.y(h))
     if right_kind == "point" and predicate in ("intersects", "covers"):
@@ -184,10 +194,11 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
         found = candidates(l, r, left_geometry, right_geometry, within=reach, **plan).withColumn("distance", M.distance_xy(h, G.x(g), G.y(g))).where(F.col("distance") <= reach)
         ranked = found.select(left_id, right_id, "distance", rank.alias("rank"), F.count("*").over(Window.partitionBy(left_id)).alias("seen")).where(F.col("rank") <= k)
         full = ranked.where(F.col("seen") >= min(k, n)) if reach < diagonal else ranked
+        full = saved(full)
         out = full if out is None else out.union(full)
         if reach >= diagonal:
             break
-        l = l.join(full.select(left_id).distinct(), left_id, "left_anti")
+        l = saved(l.join(full.select(left_id).distinct(), left_id, "left_anti"))
         if l.limit(1).count() == 0:
             break
         reach *= 4

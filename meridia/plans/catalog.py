@@ -55,7 +55,7 @@ def r(c, n: int = 6):
 
 @register(f"SELECT n_nationkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM ({CUST}) c JOIN ({NATION}) b ON lon>x0 AND lon<x1 AND lat>y0 AND lat<y1 JOIN orders ON o_custkey=c_custkey GROUP BY 1")
 def points_in_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    at = J.spatial_join(nations(spark, sf), customers(spark, sf), "contains", "nation_box", "cust_pt", right_kind="point").select("n_nationkey", "c_custkey")
+    at = J.spatial_join(nations(spark, sf), customers(spark, sf), "contains", "nation_box", "cust_pt", left_kind="box", right_kind="point").select("n_nationkey", "c_custkey")
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
     return at.join(orders, "c_custkey").groupBy("n_nationkey").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 

@@ -147,7 +147,7 @@ def box_distances(spark: SparkSession, sf: str) -> DataFrame:
 def shortest_lines(spark: SparkSession, sf: str) -> DataFrame:
     """From each customer to the box of the customer's nation."""
     at = customers(spark, sf).join(F.broadcast(nations(spark, sf).select(F.col("n_nationkey").alias("c_nationkey"), "nation_box")), "c_nationkey")  # 25 rows
-    g = at.select("c_custkey", D.nearest_points("cust_pt", "nation_box").alias("p"), M.length(D.shortest_line("cust_pt", "nation_box")).alias("length"))
+    g = at.select("c_custkey", D.nearest_points("cust_pt", "nation_box", left_kind="point").alias("p"), M.length(D.shortest_line("cust_pt", "nation_box", left_kind="point")).alias("length"))
     return g.select("c_custkey", r(G.x("p.b")).alias("x"), r(G.y("p.b")).alias("y"), r("length").alias("length"))
 
 
