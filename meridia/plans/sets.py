@@ -1,4 +1,4 @@
-"""Registered queries of sets of cells, and their SQL twins: areas counted in tiles of one zoom."""
+"""Registered queries of sets of cells and of coverages, and their SQL twins: areas counted in tiles of one zoom."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions import cells as C
+from meridia.functions import geometry as G
 from meridia.functions import grids, h3
+from meridia.functions import measures as M
 from meridia.operators import cellsets as K
-from meridia.plans.catalog import CUST, register
-from meridia.plans.tables import customers
+from meridia.operators import outlines as O
+from meridia.plans.catalog import CUST, NATION, r, register
+from meridia.plans.tables import customers, nations
 
 #: Tiles of zoom 6 around customers, and of zoom 3 around every third one; both by nation.
 _XY = "CAST(floor((lon+180)/360*64) AS BIGINT) AS x, CAST(floor((1-ln(tan(pi()/4+radians(lat)/2))/pi())/2*64) AS BIGINT) AS y"
@@ -71,3 +74,29 @@ def cells_compacted(spark: SparkSession, sf: str) -> DataFrame:
         one = held.join(sizes, "c_nationkey").select("c_nationkey", "n", ((F.col("finest") <= level) & (F.col("few") <= F.col("many"))).alias("whole"))
         out = one if out is None else out.join(one.select("c_nationkey", F.col("n").alias("n2"), F.col("whole").alias("whole2")), "c_nationkey").select("c_nationkey", F.least("n", "n2").alias("n_customers"), (F.col("whole") & F.col("whole2")).alias("whole"))
     return out
+
+
+_GRID = f"SELECT n_nationkey, n_regionkey, n_nationkey%5 AS i, n_nationkey//5 AS j FROM ({NATION})"
+_REACH = f"""WITH RECURSIVE g AS ({_GRID}), reach(n_regionkey, i, j, ti, tj) AS (SELECT n_regionkey, i, j, i, j FROM g UNION
+    SELECT r.n_regionkey, r.i, r.j, g.i, g.j FROM reach r JOIN g ON g.n_regionkey=r.n_regionkey AND abs(g.i-r.ti)+abs(g.j-r.tj)=1), parts AS (SELECT n_regionkey, i, j, min(ti*5+tj) AS part FROM reach GROUP BY 1, 2, 3)"""
+
+
+@register(f"{_REACH} SELECT n_regionkey, part, area, sum(area) OVER (PARTITION BY n_regionkey) AS region FROM (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY count(*), min(j*5+i)) AS part, CAST(count(*)*72*34 AS DOUBLE) AS area FROM parts GROUP BY n_regionkey, part)")
+def region_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """The polygons of the regions' unions, ordered by area and their lowest box."""
+    from pyspark.sql import Window
+
+    u = O.coverage_union(nations(spark, sf), "nation_box", ["n_regionkey"]).select("n_regionkey", M.area("nation_box").alias("area"), F.array_min(F.transform(G.vertices("nation_box"), lambda v: F.struct(v["y"], v["x"]))).alias("low"))
+    order, whole = Window.partitionBy("n_regionkey").orderBy("area", "low"), Window.partitionBy("n_regionkey")
+    return u.select("n_regionkey", F.row_number().over(order).cast("long").alias("part"), "area", F.sum("area").over(whole).alias("region"))
+
+
+_BOXES = f"SELECT DISTINCT c_nationkey, CAST(floor((lon+180)/11.25) AS BIGINT) AS i, CAST(floor((lat+90)/5.625) AS BIGINT) AS j FROM ({CUST})"
+
+
+@register(f"SELECT a.c_nationkey, round(CAST(count(*) AS DOUBLE)*11.25*5.625, 3) AS area, round(CAST(sum((CASE WHEN l.i IS NULL THEN 5.625 ELSE 0 END)+(CASE WHEN r.i IS NULL THEN 5.625 ELSE 0 END)+(CASE WHEN u.i IS NULL THEN 11.25 ELSE 0 END)+(CASE WHEN d.i IS NULL THEN 11.25 ELSE 0 END)) AS DOUBLE), 3) AS outline FROM ({_BOXES}) a LEFT JOIN ({_BOXES}) l ON l.c_nationkey=a.c_nationkey AND l.i=a.i-1 AND l.j=a.j LEFT JOIN ({_BOXES}) r ON r.c_nationkey=a.c_nationkey AND r.i=a.i+1 AND r.j=a.j LEFT JOIN ({_BOXES}) u ON u.c_nationkey=a.c_nationkey AND u.i=a.i AND u.j=a.j+1 LEFT JOIN ({_BOXES}) d ON d.c_nationkey=a.c_nationkey AND d.i=a.i AND d.j=a.j-1 GROUP BY 1")
+def geohash_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Area and length of the outlines, holes too, of each nation's geohashes of two letters."""
+    boxes = customers(spark, sf).select("c_nationkey", C.geohash("lon", "lat", 2).alias("code")).distinct().select("c_nationkey", grids.geohash_polygon("code").alias("g"))
+    u = O.coverage_union(boxes, "g", ["c_nationkey"])
+    return u.groupBy("c_nationkey").agg(r(F.sum(M.area("g")), 3).alias("area"), r(F.sum(M.perimeter("g")), 3).alias("outline"))
