@@ -74,8 +74,8 @@ def base_failed() -> Column:
 
 
 def passed(rule: str, value: Column) -> Column:
-    """How many of the rule's cutoffs the value exceeds."""
-    return F.aggregate(F.array(*map(F.lit, CUTOFFS[rule])), F.lit(0), lambda n, c: n + F.when(value > c, 1).otherwise(0))
+    """The first of the rule's cutoffs, from 1, that the value exceeds, and with it all later ones; one beyond the last if none."""
+    return F.aggregate(F.array(*map(F.lit, CUTOFFS[rule])), F.lit(1), lambda n, c: n + F.when(value > c, 0).otherwise(1))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -93,7 +93,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def safe_cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """(stratum, rule, step): reject documents that exceed the rule's first `step` cutoffs.
+    """(stratum, rule, step): reject documents that exceed the rule's cutoff of number `step`; cutoffs are tried from the most lenient on.
 
     With probability 1 - error, over the draw of the labels, no stratum loses more than the share
     `risk` of its good documents, all rules taken together. Of the safe cutoffs of a rule the one with
@@ -107,7 +107,7 @@ def safe_cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.05,
     counts = rows.groupBy("stratum", "rule", "steps").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad"))
     step = F.explode(F.sequence(F.lit(1), F.lit(max(map(len, CUTOFFS.values()))))).alias("step")
     at = counts.select("*", step).groupBy("stratum", "rule", "step").agg(
-        F.sum("good").alias("n"), F.sum(F.when(F.col("steps") >= F.col("step"), F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(F.col("steps") >= F.col("step"), F.col("bad")).otherwise(0)).alias("hit"))
+        F.sum("good").alias("n"), F.sum(F.when(F.col("steps") <= F.col("step"), F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(F.col("steps") <= F.col("step"), F.col("bad")).otherwise(0)).alias("hit"))
     strata = known.select(F.count_distinct("stratum").alias("strata"))
     share = risk / len(CUTOFFS)
     p = F.when(F.col("k") <= share * F.col("n"), binomial_tail(F.col("k"), F.col("n"), share)).otherwise(1.0)
@@ -129,6 +129,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, risk: float = 0.05, error
     measured = tables.save(base_features(docs), "features")
     cut = tables.save(safe_cutoffs(measured, labels, risk=risk, error=error).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "step"))).alias("cut")), "cutoffs")
     cut = F.broadcast(cut) if cut.count() <= most_broadcast else cut  # a row a stratum; beyond, an ordinary join
-    failed = F.filter(F.array(*[F.when(passed(r, c) >= F.element_at("cut", F.lit(r)), F.lit(r)) for r, c in features().items()]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(passed(r, c) <= F.element_at("cut", F.lit(r)), F.lit(r)) for r, c in features().items()]), lambda x: x.isNotNull())
     out = measured.join(cut, "stratum", "left").select("*", base_failed().alias("base_failed"), F.coalesce(failed, F.array().cast("array<string>")).alias("failed_rules"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")

@@ -82,3 +82,24 @@ def test_stages_and_run(spark, tmp_path):
     # without labels every document has the same posteriors, so mixing keeps them all
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == sorted(want) and all(r["copies"] >= 1 for r in out)
+
+
+def test_run_with_labels_takes_toxic_documents_away_and_leaves_the_others(spark, tmp_path):
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(400)]
+    rows, labels = [], []
+    for d in range(900):
+        toxic = d % 15 == 0
+        text = " ".join(rng.choice(vocabulary) for _ in range(40)) + (" vile nasty foul" if toxic else "")
+        rows.append((d, text, "en", "s", len(text)))
+        if d % 3:
+            labels.append((d, 1, int(toxic != (rng.random() < 0.03))))  # a few labels are wrong
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([*labels, *[(d, 1, int(d % 15 == 0)) for d in range(0, 900, 3)]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r["on_target"] for r in out) and set(out[0].asDict()) == {*corpus_pipeline.COLUMNS, "tokens", "posteriors", "rate", "copies", "on_target", "residual"}
+    kept = {r["doc_id"] for r in out}
+    clean, toxic = {d for d, *_ in rows if d % 15}, {d for d, *_ in rows if d % 15 == 0}
+    assert len(clean & kept) > 0.97 * len(clean) and len(toxic & kept) < 0.4 * len(toxic)
+    assert max(abs(x) for x in out[0]["residual"]) < 1e-3
