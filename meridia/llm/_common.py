@@ -282,8 +282,8 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 4, counts, np.minimum(63, 4 + np.ceil(2.2 * np.log2(x / 4)))).astype(np.uint8)
 
 
-def _added(kind: str):
-    """Sums the counts of a group's rows as they come, 32-bit numbers of tasks or 64-bit sums."""
+def _added(kind: str, as_levels: bool):
+    """Sums the counts of a group's rows as they come, 32-bit numbers of tasks or 64-bit sums; as levels of a byte each if they are the last."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(Sketch.BLOCK, np.uint64)
@@ -291,7 +291,7 @@ def _added(kind: str):
             for c in column(batch, "counts"):
                 part = np.frombuffer(c, kind)
                 total[: len(part)] += part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(level(total) if as_levels else total).tobytes()], pa.binary())], names=["block", "counts"])
 
     return add
 
@@ -302,10 +302,10 @@ GROUPS = 256
 
 def merge_sketches(blocks: DataFrame, cells: int) -> np.ndarray:
     """Sums (block, counts) rows of all tasks, in two steps; 2 x cells levels, one byte each, come to the driver."""
-    part = blocks.withColumn("part", F.spark_partition_id() % GROUPS).groupBy("block", "part").applyInArrow(_added("u4"), "block int, counts binary")
+    part = blocks.withColumn("part", F.spark_partition_id() % GROUPS).groupBy("block", "part").applyInArrow(_added("u4", False), "block int, counts binary")
     out = np.zeros(2 * cells, np.uint8)
-    for r in part.groupBy("block").applyInArrow(_added("u8"), "block int, counts binary").toLocalIterator():
-        found = level(np.frombuffer(bytes(r["counts"]), np.uint64))[: 2 * cells - r["block"] * Sketch.BLOCK]
+    for r in part.groupBy("block").applyInArrow(_added("u8", True), "block int, counts binary").toLocalIterator():
+        found = np.frombuffer(bytes(r["counts"]), np.uint8)[: 2 * cells - r["block"] * Sketch.BLOCK]
         out[r["block"] * Sketch.BLOCK :][: len(found)] = found
     return out.reshape(2, cells)
 
