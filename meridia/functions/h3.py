@@ -221,9 +221,14 @@ def _five(base: Column) -> Column:
     return base.isin(list(PENTAGONS))
 
 
+def _sevens(level) -> Column:
+    """The digits beyond a resolution, all 7."""
+    return F.call_function("shiftleft", _long(1), (45 - 3 * G.col(level)).cast("int")) - _long(1)
+
+
 def h3_is_pentagon(c) -> Column:
     c = G.col(c)
-    return _five(h3_base_cell(c)) & (F.ltrim(h3_digits(c), F.lit("0")) == "")
+    return _five(h3_base_cell(c)) & (c.bitwiseAND(_long((1 << 45) - 1)) == _sevens(h3_resolution(c)))
 
 
 def h3_is_valid(c) -> Column:
@@ -240,12 +245,12 @@ def h3_is_valid(c) -> Column:
 def h3_parent(c, level) -> Column:
     """The cell of a coarser resolution that a cell descends from; null if it isn't coarser or its own."""
     c, level = G.col(c), G.col(level)
-    return F.when((level >= 0) & (level <= h3_resolution(c)), _pack(h3_base_cell(c), F.substring(h3_digits(c), F.lit(1), level.cast("int"))))
+    return F.when((level >= 0) & (level <= h3_resolution(c)), (c - F.shiftleft((h3_resolution(c) - level).cast("long"), 52)).bitwiseOR(_sevens(level)))
 
 
 def h3_center_child(c, level) -> Column:
     c, level = G.col(c), G.col(level)
-    return F.when((level <= FINEST) & (level >= h3_resolution(c)), _pack(h3_base_cell(c), F.rpad(h3_digits(c), level.cast("int"), F.lit("0"))))
+    return F.when((level <= FINEST) & (level >= h3_resolution(c)), c + F.shiftleft((level - h3_resolution(c)).cast("long"), 52) - _sevens(h3_resolution(c)) + _sevens(level))
 
 
 def h3_children_count(c, level) -> Column:
@@ -259,10 +264,17 @@ def h3_children(c, level=None) -> Column:
     c = G.col(c)
     to = h3_resolution(c) + 1 if level is None else G.col(level)
     more = F.greatest(to.cast("int") - h3_resolution(c), F.lit(0))
-    last = lambda n: F.transform(F.sequence(_long(0), F.call_function("pow", F.lit(7.0), n).cast("long") - 1), lambda i: F.lpad(F.conv(i.cast("string"), 10, 7), n, F.lit("0")))
-    tails = F.when(more == 0, F.array(F.lit(""))).otherwise(last(more))
-    kept = G.let(F.struct(h3_is_pentagon(c).alias("five"), tails.alias("tails")), lambda p: F.filter(p["tails"], lambda t: ~(p["five"] & F.ltrim(t, F.lit("0")).startswith("1"))))
-    return F.when(to <= FINEST, G.let(F.struct(h3_base_cell(c).alias("b"), h3_digits(c).alias("d")), lambda p: F.transform(kept, lambda t: _pack(p["b"], F.concat(p["d"], t)))))
+
+    def next_(k, n):
+        """Children of a cell of resolution n - 1."""
+        shift = (45 - 3 * n).cast("int")
+        first = k + _long(1 << 52) - F.call_function("shiftleft", _long(7), shift)
+        digits = F.when(h3_is_pentagon(k), _const((0, 2, 3, 4, 5, 6), "int")).otherwise(_const(range(7), "int"))
+        return F.transform(digits, lambda d: first + F.call_function("shiftleft", d.cast("long"), shift))
+
+    down = lambda p: F.aggregate(F.sequence(F.lit(1), p["more"]), F.array(p["c"]), lambda cells, n: F.flatten(F.transform(cells, lambda k: next_(k, p["r"] + n))))
+    made = F.when(more == 0, F.array(c)).otherwise(G.let(F.struct(c.alias("c"), h3_resolution(c).alias("r"), more.alias("more")), down))
+    return F.when(to <= FINEST, made)
 
 
 def _size_below(levels: Column, five: Column) -> Column:
@@ -739,9 +751,9 @@ def h3_edge_line(e, level: int) -> Column:
         far = lambda u, v: (u["x"] - v["x"]) * (u["x"] - v["x"]) + (u["y"] - v["y"]) * (u["y"] - v["y"]) + (u["z"] - v["z"]) * (u["z"] - v["z"])
         # points as far from one centre as from the other, to a tenth of the way between them
         on = F.transform(p["o"], lambda u: F.abs(F.sqrt(far(u, p["a"])) - F.sqrt(far(u, p["b"]))) < 0.12 * F.sqrt(far(p["a"], p["b"])))
-        first = F.array_position(F.transform(on, lambda x, i: x & ~F.get(on, (i + k - 1) % k)), F.lit(True)) - 1
-        n = F.size(F.filter(on, lambda x: x))
-        return G.let(F.struct(first.cast("int").alias("s"), n.alias("n")), lambda q: F.transform(F.sequence(F.lit(0), q["n"] - 1), lambda i: _lonlat(F.get(p["o"], (q["s"] + i) % k))))
+        first = lambda on: F.array_position(F.transform(on, lambda x, i: x & ~F.get(on, (i + k - 1) % k)), F.lit(True)) - 1
+        n = lambda on: F.size(F.filter(on, lambda x: x))
+        return G.let(G.let(on, lambda on: F.struct(first(on).cast("int").alias("s"), n(on).alias("n"))), lambda q: F.transform(F.sequence(F.lit(0), q["n"] - 1), lambda i: _lonlat(F.get(p["o"], (q["s"] + i) % k))))
 
     return G.let(F.struct(F.transform(_outline(h3_edge_origin(e)), _unit).alias("o"), middle(h3_edge_origin(e)).alias("a"), middle(h3_edge_destination(e, level)).alias("b")), shared)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geometry as G
 from meridia.functions import grids, h3
 from meridia.functions import measures as M
-from meridia.operators.saved import saved
+from meridia.operators.saved import saved, spread
 
 #: A cell and all that descend from it lie within so many radians of its centre at resolution 0; each finer one within 1 / sqrt(7) of that.
 REACH = 0.62 * h3.UNIT
@@ -140,12 +140,16 @@ def h3_disks(cells: DataFrame, cell: str, level: int, k: int) -> DataFrame:
     """(cell, other, steps) for all cells within k steps of each distinct cell of a resolution.
 
     Rings grow one by one, each written before the next: a step asks the neighbours of the last ring
-    only, and leaves out what is in the last two.
+    only, each cell's once, and leaves out what is in the last two.
     """
     last = saved(cells.where(F.col(cell).isNotNull()).select(F.col(cell).alias(cell)).distinct().select(cell, F.col(cell).alias("other"), F.lit(0).alias("steps")))
-    rings = [last]
+    rings, known = [last], None
     for n in range(1, k + 1):
-        near = last.select(cell, F.explode(F.array_compact(h3.h3_neighbors("other", level))).alias("other")).distinct()
+        new = last.select("other").distinct()
+        new = saved(new if known is None else new.join(known, "other", "left_anti"))
+        new = saved(spread(new, "other").select("other", F.array_compact(h3.h3_neighbors("other", level)).alias("near_")))
+        known = new if known is None else known.union(new)
+        near = last.join(known, "other").select(cell, F.explode("near_").alias("other")).distinct()
         seen = rings[-1].union(rings[-2]) if n > 1 else rings[-1]
         last = saved(near.join(seen.select(cell, "other"), [cell, "other"], "left_anti").withColumn("steps", F.lit(n)))
         rings.append(last)

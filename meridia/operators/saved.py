@@ -24,3 +24,14 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task of a spread table has at most, and at least where cores are left.
+MOST_ROWS, LEAST_ROWS = 20_000, 500
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by key: a small file or shuffle is one task or few, whatever the work on its rows is."""
+    rows = df.count()
+    n = max(min(3 * df.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS), -(-rows // MOST_ROWS), 1)
+    return df.repartition(n, key)

@@ -11,7 +11,8 @@ from meridia.functions import geometry as G
 from meridia.functions import h3 as H
 from meridia.operators import covers
 from meridia.plans.catalog import CUST, NATION, r, register
-from meridia.plans.tables import customers, nations, rings
+from meridia.operators.saved import saved
+from meridia.plans.tables import customers, nations, rings, spread
 
 LEVELS = (3, 6, 9)
 
@@ -48,6 +49,12 @@ def _each_level(f, name: str = "cell"):
     return F.explode(F.array(*[F.struct(F.lit(n).alias("r"), f(n).alias(name)) for n in LEVELS]))
 
 
+def _cells_once(rows: DataFrame, cell: str, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The rows, written, and their cells each once: what is asked of a cell needn't be asked for all rows in it."""
+    rows = saved(rows)
+    return rows, spread(saved(rows.select(cell, *names).distinct()), cell)
+
+
 @register(f"SELECT c_custkey, CAST(r AS INTEGER) AS r, cell, lower(printf('%x', cell)) AS token, CAST(base AS INTEGER) AS base FROM ({CELLS})")
 def h3_cells_of_points(spark: SparkSession, sf: str) -> DataFrame:
     rows = customers(spark, sf).select("c_custkey", _each_level(lambda n: H.h3_cell("lon", "lat", n)).alias("k")).select("c_custkey", "k.*")
@@ -63,24 +70,28 @@ def h3_counts(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"SELECT c_custkey, CAST(u.r AS INTEGER) AS r, true AS back, CAST(6-u.r AS BIGINT) AS steps, CASE WHEN u.r=3 THEN 7 ELSE 1 END AS n_children FROM (SELECT c_custkey FROM ({CUST})), (VALUES (3), (6)) u(r)")
 def h3_parents(spark: SparkSession, sf: str) -> DataFrame:
     """A cell descends from each of its parents, has its place among their descendants, and the centre child leads back to them."""
-    rows = customers(spark, sf).select("c_custkey", H.h3_cell("lon", "lat", 6).alias("c")).select("*", F.explode(F.array(F.lit(3), F.lit(6))).alias("r"))
-    rows = rows.withColumn("p", H.h3_parent("c", F.col("r")))
+    own, cells = _cells_once(customers(spark, sf).select("c_custkey", H.h3_cell("lon", "lat", 6).alias("c")), "c")
+    rows = cells.select("*", F.explode(F.array(F.lit(3), F.lit(6))).alias("r")).withColumn("p", H.h3_parent("c", F.col("r")))
     place = H.h3_child_position("c", F.col("r"))
     back = H.h3_contains("p", "c") & (H.h3_child_at("p", place, F.lit(6)) == F.col("c")) & (H.h3_parent(H.h3_center_child("p", F.lit(9)), F.col("r")) == F.col("p")) & (F.array_position(H.h3_children("p", F.lit(6)), F.col("c")) == place + 1)
     n = F.size(F.filter(H.h3_children("p", F.least(F.col("r") + 1, F.lit(6))), lambda k: H.h3_resolution(k) <= 6))
-    return rows.select("c_custkey", "r", back.alias("back"), (6 - F.col("r")).cast("long").alias("steps"), F.when(H.h3_is_pentagon("p") & (F.col("r") == 3), n + 1).otherwise(n).alias("n_children"))
+    found = rows.select("c", "r", back.alias("back"), (6 - F.col("r")).cast("long").alias("steps"), F.when(H.h3_is_pentagon("p") & (F.col("r") == 3), n + 1).otherwise(n).alias("n_children"))
+    return own.join(found, "c").select("c_custkey", "r", "back", "steps", "n_children")
 
 
 @register(f"SELECT c_custkey, CAST(r AS INTEGER) AS r, true AS same, true AS near FROM ({CELLS})")
 def h3_centers(spark: SparkSession, sf: str) -> DataFrame:
     """A cell's centre lies in it, and no further from the point than its corners reach."""
-    rows = customers(spark, sf).select("c_custkey", "lon", "lat", _each_level(lambda n: H.h3_cell("lon", "lat", n)).alias("k")).select("c_custkey", "lon", "lat", "k.*").withColumn("m", H.h3_center("cell"))
-    same = F.coalesce(*[F.when(F.col("r") == n, H.h3_cell("m.lon", "m.lat", n) == F.col("cell")) for n in LEVELS])
     from meridia.functions import geodesy as D
 
-    far = D.haversine("lon", "lat", "m.lon", "m.lat", H.RADIUS)
+    rows = customers(spark, sf).select("c_custkey", "lon", "lat", _each_level(lambda n: H.h3_cell("lon", "lat", n)).alias("k")).select("c_custkey", "lon", "lat", "k.*")
+    rows, cells = _cells_once(rows, "cell", "r")
+    one = lambda v, name: F.explode(F.array(v)).alias(name)  # noqa: E731 - a step of its own, so that what follows doesn't repeat it
+    cells = cells.select("*", one(H.h3_center("cell"), "m"))
+    same = F.coalesce(*[F.when(F.col("r") == n, H.h3_cell("m.lon", "m.lat", n) == F.col("cell")) for n in LEVELS])
     reach = F.array_max(F.transform(H.h3_boundary("cell"), lambda v: D.haversine(v["lon"], v["lat"], "m.lon", "m.lat", H.RADIUS)))
-    return rows.select("c_custkey", "r", same.alias("same"), (far <= reach * 1.000001).alias("near"))
+    far = D.haversine("lon", "lat", "m.lon", "m.lat", H.RADIUS)
+    return rows.join(cells.select("cell", "m", same.alias("same"), reach.alias("reach")), "cell").select("c_custkey", "r", "same", (far <= F.col("reach") * 1.000001).alias("near"))
 
 
 @register("SELECT CAST(r AS INTEGER) AS r, CAST(2+120*power(7, r) AS BIGINT) AS n, CAST(12 AS BIGINT) AS n_five, round(4*pi()*power(6371007.180918475, 2)/1e6, 3) AS km2, CAST(6*(2+120*power(7, r))-12 AS BIGINT) AS n_sides, CAST(0 AS BIGINT) AS one_way FROM (VALUES (0), (1), (2)) v(r), (SELECT count(*) AS regions FROM region)")
@@ -101,7 +112,7 @@ def h3_whole_earth(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"SELECT c_custkey, CAST(k AS INTEGER) AS steps, CAST(CASE WHEN k=0 THEN 1 ELSE 6*k END AS BIGINT) AS n FROM ({CUST}), (VALUES (0), (1), (2), (3)) v(k)")
 def h3_disks(spark: SparkSession, sf: str) -> DataFrame:
     """Cells by steps from each customer's; around a cell of five neighbours, where fewer come, as many as a whole ring has."""
-    own = customers(spark, sf).select("c_custkey", H.h3_cell("lon", "lat", 5).alias("cell"))
+    own = saved(customers(spark, sf).select("c_custkey", H.h3_cell("lon", "lat", 5).alias("cell")))
     rings_ = covers.h3_disks(own, "cell", 5, 3)
     counts = rings_.groupBy("cell", "steps").agg(F.count("*").alias("n"), F.max(H.h3_is_pentagon("other")).alias("five"))
     near_five = counts.groupBy("cell").agg(F.max("five").alias("bent"))
@@ -138,8 +149,10 @@ def h3_ring_covers(spark: SparkSession, sf: str) -> DataFrame:
 def h3_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Directed edges of each customer's cell: turned around they come back, lead to neighbours, and are as long from both sides."""
     one = lambda v, name: F.explode(F.array(v)).alias(name)  # noqa: E731 - a step of its own, so that what follows doesn't repeat it
-    rows = customers(spark, sf).select("c_custkey", one(H.h3_cell("lon", "lat", 4), "c")).select("*", F.explode(H.h3_edges("c")).alias("e"))
+    own, cells = _cells_once(customers(spark, sf).select("c_custkey", H.h3_cell("lon", "lat", 4).alias("c")), "c")
+    rows = cells.select("*", F.explode(H.h3_edges("c")).alias("e"))
     rows = rows.select("*", one(H.h3_edge_destination("e", 4), "to")).select("*", one(H.h3_edge("to", "c", 4), "back"))
     rows = rows.select("*", one(F.struct(H.h3_edge_length("e", 4).alias("m"), H.h3_edge_length("back", 4).alias("m2"), H.h3_edge_destination("back", 4).alias("home")), "k"))
     every = lambda c: F.min(c.cast("int")).cast("boolean")
-    return rows.groupBy("c_custkey").agg(every(F.col("k.home") == F.col("c")).alias("there_and_back"), every((H.h3_edge_origin("back") == F.col("to")) & (H.h3_edge_origin("e") == F.col("c"))).alias("half"), every(F.abs(F.col("k.m") - F.col("k.m2")) < 1e-3).alias("as_long"))
+    found = rows.groupBy("c").agg(every(F.col("k.home") == F.col("c")).alias("there_and_back"), every((H.h3_edge_origin("back") == F.col("to")) & (H.h3_edge_origin("e") == F.col("c"))).alias("half"), every(F.abs(F.col("k.m") - F.col("k.m2")) < 1e-3).alias("as_long"))
+    return own.join(found, "c").select("c_custkey", "there_and_back", "half", "as_long")

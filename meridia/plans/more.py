@@ -17,7 +17,7 @@ from meridia.functions import measures as M
 from meridia.functions import pairwise as D
 from meridia.operators import aggregates as A
 from meridia.plans.catalog import CUST, EDGE, NATION, RING, r, register
-from meridia.plans.tables import customers, nations, rings, table
+from meridia.plans.tables import customers, nations, rings, spread, table
 
 #: Two different nations' boxes, each pair once.
 BOXES = f"SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1 FROM ({NATION}) a JOIN ({NATION}) b ON a.n_nationkey<b.n_nationkey"
@@ -195,7 +195,7 @@ def grid_faces(spark: SparkSession, sf: str) -> DataFrame:
     far = n + F.lit(0.5)
     lines = F.transform(F.sequence(F.lit(0), n), lambda i: F.array(G.vertex(i, -0.5), G.vertex(i, far)))
     over = F.transform(F.sequence(F.lit(0), n), lambda i: F.array(G.vertex(-0.5, i), G.vertex(far, i)))
-    g = table(spark, sf, "customer").select("c_custkey", W.polygonize_full(G.multi_line_string(F.concat(lines, over))).alias("p"))
+    g = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", W.polygonize_full(G.multi_line_string(F.concat(lines, over))).alias("p"))
     return g.select("c_custkey", G.num_geometries("p.polygons").cast("long").alias("faces"), r(M.area("p.polygons")).alias("area"), G.num_geometries("p.dangles").cast("long").alias("dangles"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import constructive as P
 from meridia.functions import geometry as G
+from meridia.operators.saved import spread  # noqa: F401 - for the queries too
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,7 +18,8 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     """c_custkey, c_nationkey, lon, lat, cust_pt."""
     k = F.col("c_custkey")
     lon, lat = (k * 7919) % 36000 / 100.0 - 180.0, (k * 6971) % 17000 / 100.0 - 85.0
-    return table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", lon.alias("lon"), lat.alias("lat")).withColumn("cust_pt", G.point(F.col("lon"), F.col("lat")))
+    rows = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey")
+    return rows.select("c_custkey", "c_nationkey", "c_acctbal", lon.alias("lon"), lat.alias("lat")).withColumn("cust_pt", G.point(F.col("lon"), F.col("lat")))
 
 
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:
