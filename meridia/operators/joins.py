@@ -70,7 +70,7 @@ def small(df: DataFrame, geometry: str, most: int) -> int | None:
     return size if r["n"] <= most and size <= MOST_BYTES else None
 
 
-def candidates(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, *, within: float = 0.0, most_broadcast: int = 20_000, size: float | None = None) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, *, within: float = 0.0, most_broadcast: int = 20_000, size: float | None = None, test: Column | None = None) -> DataFrame:
     """Pairs of rows whose bounds meet, or come within a distance, each once; columns of both sides.
 
     A side of at most `most_broadcast` rows and MOST_BYTES (counted), the smaller one if both are, is
@@ -78,15 +78,16 @@ def candidates(left: DataFrame, right: DataFrame, left_geometry: str, right_geom
     grid cells and joined on the cell. Large boxes have coarser cells, so none has more than a few; a
     pair meets on the level of the larger box, in the one cell that holds the lower corner of its
     common bounds, so nothing has to be deduplicated. Missing and empty geometries pair with nothing.
-    Column names of the sides must differ.
+    Column names of the sides must differ. With a `test` of pairs, rows of the left that pass it with
+    any row of the right come instead of pairs, some more than once.
     """
     l, r = with_bounds(left, left_geometry, "l").where("l_minx is not null"), with_bounds(right, right_geometry, "r").where("r_minx is not null")
     bytes_r = small(right, right_geometry, most_broadcast)
     bytes_l = small(left, left_geometry, most_broadcast) if bytes_r is None or bytes_r > 1 << 16 else None
     if bytes_l is not None and (bytes_r is None or bytes_l < bytes_r):
-        return r.join(F.broadcast(l), _meet(within))
+        return r.join(F.broadcast(l), _meet(within) if test is None else _meet(within) & test)
     if bytes_r is not None:
-        return l.join(F.broadcast(r), _meet(within))
+        return l.join(F.broadcast(r), _meet(within)) if test is None else l.join(F.broadcast(r), _meet(within) & test, "left_semi")
     found, widest = extents([(l, "l"), (r, "r")], within)
     size = size or found
     top = max(0, math.ceil(math.log(max(widest, size) / size, 4) - 1e-9))
@@ -94,6 +95,9 @@ def candidates(left: DataFrame, right: DataFrame, left_geometry: str, right_geom
     lc, rc = l.withColumn("cell", F.explode(_cells("l", size, within, top))), r.withColumn("cell", F.explode(_cells("r", size, 0.0, top)))
     side = size * F.pow(F.lit(4.0), F.col("cell")["j"])
     home = (F.floor(F.greatest(F.col("l_minx") - within, F.col("r_minx")) / side) == F.col("cell")["cx"]) & (F.floor(F.greatest(F.col("l_miny") - within, F.col("r_miny")) / side) == F.col("cell")["cy"])
+    if test is not None:
+        rc = rc.withColumnRenamed("cell", "r_cell")
+        return lc.join(rc, (F.col("cell") == F.col("r_cell")) & (F.col("cell")["j"] == F.greatest("l_level", "r_level")) & _meet(within) & test, "left_semi")
     return lc.join(rc, "cell").where((F.col("cell")["j"] == F.greatest("l_level", "r_level")) & _meet(within) & home).drop("cell", "l_level", "r_level")
 
 
@@ -140,22 +144,36 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geometr
     return _joined(left, right, lambda l: candidates(l, right, left_geometry, right_geometry, **plan).where(test), how)
 
 
-def _joined(left: DataFrame, right: DataFrame, match: Callable[[DataFrame], DataFrame], how: str) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, match: Callable[[DataFrame], DataFrame], how: str, meets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`meets`, if there is one, gives the rows of the left that match at all, so that not every pair has to be made."""
     keep = [*left.columns, *right.columns]
     if how == "inner":
         return match(left).select(*keep)
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
-    found = match(numbered)
+    numbered = saved(left.withColumn("_row", F.monotonically_increasing_id()))  # read twice, and numbers depend on the order of rows
     if how in ("semi", "anti"):
+        found = (meets or match)(numbered)
         return numbered.join(found.select("_row").distinct(), "_row", f"left_{how}").select(*left.columns)
-    return numbered.join(found.select("_row", *right.columns), "_row", "left").select(*keep)
+    return numbered.join(match(numbered).select("_row", *right.columns), "_row", "left").select(*keep)
+
+
+def all_points(df: DataFrame, geometry: str) -> bool:
+    return not df.where(G.kind(F.col(geometry)) != G.POINT).limit(1).count()
+
+
+def _distance(right: DataFrame, right_geometry: str) -> Column:
+    """From candidates' left points to the right geometries; by the bounds where all of these are points."""
+    x, y = F.col("l_minx"), F.col("l_miny")
+    if all_points(right, right_geometry):
+        dx, dy = F.col("r_minx") - x, F.col("r_miny") - y
+        return F.sqrt(dx * dx + dy * dy)
+    return M.distance_xy(F.col(right_geometry), x, y)
 
 
 def dwithin_join(left: DataFrame, right: DataFrame, distance: float, left_geometry: str, right_geometry: str, *, how: str = "inner", **plan) -> DataFrame:
     """Pairs of points and any geometries within a planar distance of each other; left holds points."""
-    g, h = F.col(left_geometry), F.col(right_geometry)
-    test = M.distance_xy(h, G.x(g), G.y(g)) <= distance
-    return _joined(left, right, lambda l: candidates(l, right, left_geometry, right_geometry, within=distance, **plan).where(test), how)
+    test = _distance(right, right_geometry) <= distance
+    match = lambda l: candidates(l, right, left_geometry, right_geometry, within=distance, **plan).where(test)
+    return _joined(left, right, match, how, lambda l: candidates(l, right, left_geometry, right_geometry, within=distance, test=test, **plan))
 
 
 def self_join(df: DataFrame, predicate: str, geometry: str, id: str, *, kind: str | None = None, **plan) -> DataFrame:
@@ -175,7 +193,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     l = left.where(~G.is_empty(F.col(left_geometry)) & F.col(left_geometry).isNotNull()).select(left_id, left_geometry)
     r = right.where(~G.is_empty(F.col(right_geometry)) & F.col(right_geometry).isNotNull()).select(right_id, right_geometry)
     most = plan.get("most_broadcast", 20_000)
-    if small(r, right_geometry, most) is not None and not r.where(G.kind(F.col(right_geometry)) != 1).limit(1).count():
+    points = all_points(r, right_geometry)
+    if points and small(r, right_geometry, most) is not None:
         return _nearest_points(l, r, left_id, right_id, left_geometry, right_geometry, k, ties)
     box, n = r.select(G.bounds(F.col(right_geometry)).alias("b")).agg(F.min("b.minx"), F.min("b.miny"), F.max("b.maxx"), F.max("b.maxy")).first(), r.count()
     if not n:
@@ -184,14 +203,15 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     low = [min(a, b) for a, b in zip(box[:2], here[:2]) if a is not None and b is not None] or list(box[:2])
     high = [max(a, b) for a, b in zip(box[2:], here[2:]) if a is not None and b is not None] or list(box[2:])
     diagonal = math.dist(low, high) or 1.0
-    reach = start or 2 * diagonal * math.sqrt(k / n)
-    g, h = F.col(left_geometry), F.col(right_geometry)
+    # of points so few lie nearer than this on average; areas are nearer by their extent
+    reach = start or diagonal * math.sqrt(k / n) / (1 if points else 8)
+    far = _distance(r, right_geometry)
     order = Window.partitionBy(left_id).orderBy("distance", *([] if ties else [right_id]))
     rank = (F.rank() if ties else F.row_number()).over(order)
     out = None
     while True:
         reach = min(reach, diagonal * 1.0000001)
-        found = candidates(l, r, left_geometry, right_geometry, within=reach, **plan).withColumn("distance", M.distance_xy(h, G.x(g), G.y(g))).where(F.col("distance") <= reach)
+        found = candidates(l, r, left_geometry, right_geometry, within=reach, **plan).select(left_id, right_id, far.alias("distance")).where(F.col("distance") <= reach)
         ranked = found.select(left_id, right_id, "distance", rank.alias("rank"), F.count("*").over(Window.partitionBy(left_id)).alias("seen")).where(F.col("rank") <= k)
         full = ranked.where(F.col("seen") >= min(k, n)) if reach < diagonal else ranked
         full = saved(full)

@@ -69,3 +69,18 @@ def test_nothing_to_find(spark):
     assert J.nearest(l, none, "lid", "rid", "lg", "rg").count() == 0
     assert J.spatial_join(l, none, "intersects", "lg", "rg").count() == 0
     assert J.spatial_join(l, none, "intersects", "lg", "rg", how="anti").count() == 1
+
+
+def test_semi_and_anti_by_cells(spark):
+    """Each left row once, whichever of its cells has matches, by cells as by broadcast."""
+    left = spark.range(400).select("id", F.rand(1).alias("x"), F.rand(2).alias("y")).select("id", G.point(F.col("x") * 20, F.col("y") * 20).alias("g"))
+    right = spark.range(60).select(F.col("id").alias("rid"), G.point(F.rand(3) * 20, F.rand(4) * 20).alias("h"))
+    left, right = (spark.createDataFrame(t.collect(), t.schema) for t in (left, right))
+    at = lambda t: {r[0]: (r[1]["parts"][0][0][0]["x"], r[1]["parts"][0][0][0]["y"]) for r in t.collect()}
+    near = {i for i, p in at(left).items() if any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 1 for q in at(right).values())}
+    for most in (0, 20_000):
+        found = [J.dwithin_join(left, right, 1.0, "g", "h", how=how, most_broadcast=most) for how in ("semi", "anti")]
+        ids = [sorted(r["id"] for r in f.collect()) for f in found]
+        assert ids[0] == sorted(near) and ids[1] == sorted(set(range(400)) - near)
+    plan = found[0]._jdf.queryExecution().toString() if hasattr(found[0], "_jdf") else ""
+    assert "transform" not in plan.split("== Physical Plan ==")[-1].split("Scan parquet")[0]  # distances of points come from columns
