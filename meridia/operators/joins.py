@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geometry as G
 from meridia.functions import kernels as K
 from meridia.functions import measures as M
-from meridia.operators.saved import saved
+from meridia.operators.saved import saved, spread
 
 #: Predicates that hold only where the bounds meet.
 PREDICATES = ("intersects", "contains", "within", "covers", "covered_by", "touches", "crosses", "overlaps", "equals", "contains_properly")
@@ -225,6 +225,24 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     return out.select(left_id, right_id, "distance", "rank")
 
 
+def hausdorff_of_groups(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """(a, b, distance) of each two groups of points, a before b: how far at most a point of one lies from the nearest of the other.
+
+    Copies of a point count once, and each group in turn is searched from all others.
+    """
+    rows = saved(df.where(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("group_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).distinct())
+    rows = saved(rows.select("group_", F.monotonically_increasing_id().alias("id_"), G.point(F.col("x_"), F.col("y_")).alias("g_")))
+    ways = None
+    for (of,) in rows.select("group_").distinct().orderBy("group_").collect():
+        others, own = rows.where(F.col("group_") != F.lit(of)), rows.where(F.col("group_") == F.lit(of)).select(F.col("id_").alias("to_"), F.col("g_").alias("h_"))
+        near = nearest(spread(others, "id_"), own, "id_", "to_", "g_", "h_").select("id_", "distance")
+        one = others.select("group_", "id_").join(near, "id_").groupBy("group_").agg(F.max("distance").alias("distance")).select(F.col("group_").alias("p_"), F.lit(of).alias("q_"), "distance")
+        ways = saved(one) if ways is None else ways.union(saved(one))
+    if ways is None:
+        return rows.select(F.col("group_").alias("a"), F.col("group_").alias("b"), F.lit(0.0).alias("distance")).limit(0)
+    return ways.groupBy(F.least("p_", "q_").alias("a"), F.greatest("p_", "q_").alias("b")).agg(F.max("distance").alias("distance"))
+
+
 #: Distances held at once.
 DISTANCES = 1 << 21
 

@@ -440,9 +440,8 @@ def clip_rings(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"SELECT a.l AS l, b.l AS m, round(greatest(max(a.d), max(b.d)),6) AS distance FROM (SELECT p.label AS l, q.label AS m, p.vec_id, min(sqrt(power(p.x-q.x,2)+power(p.y-q.y,2))) AS d FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) p, (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) q WHERE p.label<>q.label GROUP BY 1,2,3) a JOIN (SELECT p.label AS l, q.label AS m, p.vec_id, min(sqrt(power(p.x-q.x,2)+power(p.y-q.y,2))) AS d FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) p, (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) q WHERE p.label<>q.label GROUP BY 1,2,3) b ON a.l=b.m AND a.m=b.l WHERE a.l<b.l GROUP BY 1,2")
 def hausdorff_points(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", G.vertex(F.element_at("embedding", 1), F.element_at("embedding", 2)).alias("v")).groupBy("label").agg(G.multi_point(F.collect_list("v")).alias("g"))
-    p = e.select(F.col("label").alias("l"), "g").join(e.select(F.col("label").alias("m"), F.col("g").alias("h")), F.col("l") < F.col("m"))
-    return p.select("l", "m", r(M.hausdorff_points("g", "h")).alias("distance"))
+    e = table(spark, sf, "embeddings").select("label", F.element_at("embedding", 1).alias("x"), F.element_at("embedding", 2).alias("y"))
+    return J.hausdorff_of_groups(e, "label", "x", "y").select(F.col("a").alias("l"), F.col("b").alias("m"), r("distance").alias("distance"))
 
 
 @register()
