@@ -75,8 +75,12 @@ def line_string(vertices) -> Column:
 
 def closed(ring: Column) -> Column:
     """The ring with its first vertex again at its end, unless it is there."""
-    a, b = F.element_at(ring, 1), F.element_at(ring, -1)
-    return F.when(F.size(ring) == 0, ring).when((a["x"] == b["x"]) & (a["y"] == b["y"]), ring).otherwise(F.concat(ring, F.array(a)))
+
+    def close(ring):
+        a, b = F.element_at(ring, 1), F.element_at(ring, -1)
+        return F.when(F.size(ring) == 0, ring).when((a["x"] == b["x"]) & (a["y"] == b["y"]), ring).otherwise(F.concat(ring, F.array(a)))
+
+    return let(ring, close)
 
 
 def polygon(shell, holes=None) -> Column:
@@ -84,7 +88,7 @@ def polygon(shell, holes=None) -> Column:
     if holes is not None:
         rings = F.concat(rings, F.transform(col(holes), closed))
     bad = F.raise_error(F.lit("a ring needs at least four vertices, first and last equal")).cast(GEOMETRY)
-    return F.when(F.exists(rings, lambda r: F.size(r) < 4), bad).otherwise(geometry(POLYGON, F.array(rings)))
+    return let(rings, lambda made: F.when(F.exists(made, lambda r: F.size(r) < 4), bad).otherwise(geometry(POLYGON, F.array(made))))
 
 
 def multi_point(vertices) -> Column:

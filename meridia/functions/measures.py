@@ -51,16 +51,18 @@ def is_ccw(g) -> Column:
 
 def is_convex(g) -> Column:
     """Whether a polygon without holes turns one way only."""
-    r = F.get(G.rings(g), F.lit(0))
-    n = F.size(r) - 1
-    at = lambda i: F.get(r, F.pmod(i, n).cast("int"))
 
-    def turn(i):
-        a, b, c = at(i), at(i + 1), at(i + 2)
-        return (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+    def ring(r):
+        n = F.size(r) - 1
+        at = lambda i: F.get(r, F.pmod(i, n).cast("int"))
 
-    turns = F.transform(F.sequence(F.lit(0), n - 1), turn)
-    return (F.size(G.rings(g)) == 1) & (F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0))
+        def turn(i):
+            a, b, c = at(i), at(i + 1), at(i + 2)
+            return (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+
+        return G.let(F.transform(F.sequence(F.lit(0), n - 1), turn), lambda turns: F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0))
+
+    return G.let(G.rings(g), lambda rings: (F.size(rings) == 1) & G.let(F.get(rings, F.lit(0)), ring))
 
 
 def centroid(g) -> Column:
