@@ -31,9 +31,11 @@ def haversine(lon1, lat1, lon2, lat2, radius: float = RADIUS) -> Column:
 
 def bearing(lon1, lat1, lon2, lat2) -> Column:
     """Initial course in degrees, 0 to 360, clockwise from north."""
-    a, b, c, d = _rad(lon1, lat1, lon2, lat2)
-    t = F.degrees(F.atan2(F.sin(c - a) * F.cos(d), F.cos(b) * F.sin(d) - F.sin(b) * F.cos(d) * F.cos(c - a)))
-    return F.pmod(t + 360.0, F.lit(360.0))
+    _, b, _, d = _rad(lon1, lat1, lon2, lat2)
+    over = F.radians(G.number(lon2) - G.number(lon1))  # degrees taken off each other lose less than radians
+    t = F.degrees(F.atan2(F.sin(over) * F.cos(d), F.cos(b) * F.sin(d) - F.sin(b) * F.cos(d) * F.cos(over)))
+    # added only where it has to be: what is added and taken off again costs digits
+    return F.when(t < 0, t + 360.0).otherwise(t)
 
 
 def wrap(lon: Column) -> Column:

@@ -31,5 +31,6 @@ def test_pole_of_a_ring_with_a_hole():
 def test_bearings_keep_their_digits(spark):
     """Courses of the first half are not moved by a turn and back, which cost them digits."""
     rows = spark.range(2000).select((F.col("id") * 0.017).alias("x"), (F.col("id") * 0.011 - 11).alias("y"))
-    t = F.degrees(F.atan2(F.sin(F.radians(F.lit(40.0)) - F.radians("x")) * F.cos(F.radians(F.lit(5.0))), F.cos(F.radians("y")) * F.sin(F.radians(F.lit(5.0))) - F.sin(F.radians("y")) * F.cos(F.radians(F.lit(5.0))) * F.cos(F.radians(F.lit(40.0)) - F.radians("x"))))
+    over = F.radians(F.lit(40.0) - F.col("x"))
+    t = F.degrees(F.atan2(F.sin(over) * F.cos(F.radians(F.lit(5.0))), F.cos(F.radians("y")) * F.sin(F.radians(F.lit(5.0))) - F.sin(F.radians("y")) * F.cos(F.radians(F.lit(5.0))) * F.cos(over)))
     assert rows.select(D.bearing("x", "y", F.lit(40.0), F.lit(5.0)).alias("b"), t.alias("t")).where("t >= 0 and b != t").count() == 0
