@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import cells as C
 from meridia.functions import grids, h3
-from meridia.operators.saved import saved
+from meridia.operators.saved import saved, spread
 
 
 class Levels:
@@ -57,37 +57,43 @@ def _up(df: DataFrame, by: list[str], cell: str, grid: Levels, own: bool = True)
 
 
 def outermost(df: DataFrame, by: list[str], cell: str, grid: Levels) -> DataFrame:
-    """The cells that are within no other of their rows, each once."""
-    one = _clean(df, by, cell)
-    inner = _up(one, by, cell, grid, own=False).join(one.withColumnRenamed(cell, "above_"), [*by, "above_"], "left_semi").select(*by, cell).distinct()
+    """The cells that are within no other of their rows, each once. Only ancestors of levels that the table has are looked up."""
+    one = saved(_clean(df, by, cell))
+    levels = sorted(r[0] for r in one.select(grid.level(F.col(cell))).distinct().collect())  # at most as many as the grid has
+    if len(levels) < 2:
+        return one
+    up = F.transform(F.filter(F.array(*map(F.lit, levels)), lambda n: n < grid.level(F.col(cell))), lambda n: grid.parent(F.col(cell), n))
+    inner = one.select(*by, cell, F.explode(up).alias("above_")).join(one.withColumnRenamed(cell, "above_"), [*by, "above_"], "left_semi").select(*by, cell).distinct()
     return one.join(inner, [*by, cell], "left_anti")
 
 
 def compact(df: DataFrame, by: list[str], cell: str, grid: Levels) -> DataFrame:
-    """The same area by the fewest cells. Families are counted level by level, finest first, each level written before the next."""
+    """The same area by the fewest cells. Families are gathered level by level, finest first, each level written before the next."""
     done, rest = None, saved(outermost(df, by, cell, grid).withColumn("level_", grid.level(F.col(cell))))
     levels = [r[0] for r in rest.select("level_").distinct().collect()]  # at most as many as the grid has
     for n in range(max(levels, default=0), 0, -1):
         here, coarser = rest.where(F.col("level_") == n), rest.where(F.col("level_") < n)
         if here.isEmpty():
             continue
-        family = here.withColumn("up_", grid.parent(F.col(cell), F.lit(n - 1)))
-        full = family.groupBy(*by, "up_").agg(F.count("*").alias("n_")).where(F.col("n_") == grid.family(F.col("up_"))).select(*by, "up_")
-        full = saved(full)
-        left = family.join(full, [*by, "up_"], "left_anti").select(*by, cell)
+        # a family is a few cells, so one shuffle both counts and keeps them
+        family = here.groupBy(*by, grid.parent(F.col(cell), F.lit(n - 1)).alias("up_")).agg(F.collect_list(cell).alias("cells_"))
+        family = saved(family.withColumn("full_", F.size("cells_") == grid.family(F.col("up_"))))
+        left = family.where(~F.col("full_")).select(*by, F.explode("cells_").alias(cell))
+        full = family.where("full_").select(*by, F.col("up_").alias(cell), F.lit(n - 1).alias("level_"))
         done = left if done is None else done.union(left)
-        rest = saved(coarser.union(full.select(*by, F.col("up_").alias(cell), F.lit(n - 1).alias("level_")))) if not full.isEmpty() else coarser
+        rest = saved(coarser.union(full)) if not full.isEmpty() else coarser
     rest = rest.select(*by, cell)
     return rest if done is None else done.union(rest)
 
 
 def uncompact(df: DataFrame, by: list[str], cell: str, grid: Levels, level: int) -> DataFrame:
     """Cells of one level in place of coarser ones; finer ones stay."""
-    out, rest = None, _clean(df, by, cell)
-    for n in range(level):
-        coarse = grid.level(F.col(cell)) == n
-        rest = rest.where(~coarse).union(rest.where(coarse).select(*by, F.explode(grid.children(F.col(cell))).alias(cell)))
-        rest = saved(rest)
+    rest = saved(_clean(df, by, cell))
+    first = rest.agg(F.min(grid.level(F.col(cell)))).first()[0]
+    for n in range(level if first is None else first, level):
+        # cells are few bytes and their children many: more tasks than the table has
+        here = F.when(grid.level(F.col(cell)) == n, grid.children(F.col(cell))).otherwise(F.array(cell))
+        rest = saved(spread(rest, cell).select(*by, F.explode(here).alias(cell)))
     return rest.distinct()
 
 

@@ -11,6 +11,7 @@ from meridia.functions import grids, h3
 from meridia.functions import measures as M
 from meridia.operators import cellsets as K
 from meridia.operators import outlines as O
+from meridia.operators.saved import saved
 from meridia.plans.catalog import CUST, NATION, r, register
 from meridia.plans.tables import customers, nations
 
@@ -62,12 +63,12 @@ def tiles_opened(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"SELECT c_nationkey, count(DISTINCT c_custkey) AS n_customers, true AS whole FROM ({CUST}) GROUP BY 1")
 def cells_compacted(spark: SparkSession, sf: str) -> DataFrame:
     """Hexagons around every customer with all of the customer's next two parents' cells: compacted they are those parents, and hold every customer."""
-    c = customers(spark, sf).select("c_nationkey", "c_custkey", h3.h3_cell("lon", "lat", 6).alias("own"), grids.s2_cell("lon", "lat", 9).alias("square"))
+    c = saved(customers(spark, sf).select("c_nationkey", "c_custkey", h3.h3_cell("lon", "lat", 6).alias("own"), grids.s2_cell("lon", "lat", 9).alias("square")))
     out = None
     for name, grid, level in (("own", K.H3, 4), ("square", K.S2, 7)):
         top = c.select("c_nationkey", grid.parent(F.col(name), F.lit(level)).alias("cell")).distinct()
         small = K.uncompact(top, ["c_nationkey"], "cell", grid, level + 2)
-        again = K.compact(small, ["c_nationkey"], "cell", grid)
+        again = saved(K.compact(small, ["c_nationkey"], "cell", grid))
         held = c.select("c_nationkey", "c_custkey", F.explode(grid.above(name)).alias("cell")).join(again, ["c_nationkey", "cell"], "left_semi").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("n"))
         # no finer cell is left, and as few as there may be
         sizes = again.groupBy("c_nationkey").agg(F.max(grid.level(F.col("cell"))).alias("finest"), F.count("*").alias("few")).join(top.groupBy("c_nationkey").agg(F.count("*").alias("many")), "c_nationkey")
