@@ -41,7 +41,8 @@ def rings(spark: SparkSession, sf: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """A line per user through its events by time, m the seconds."""
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 360 - 180).cast("double").alias("x"), F.col("value").alias("y"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("m"))
+    # by events, so that a task, and a batch that goes to Python, has few tracks however many there are
+    e = spread(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id").select("user_id", "ts", "event_id", (F.col("event_id") % 360 - 180).cast("double").alias("x"), F.col("value").alias("y"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("m"))
     sort = F.sort_array(F.collect_list(F.struct("ts", "event_id", G.vertex(F.col("x"), F.col("y"), None, F.col("m")).alias("v"))))
     return e.groupBy("user_id").agg(sort.alias("s")).where("size(s) > 1").select("user_id", G.line_string(F.transform("s", lambda v: v["v"])).alias("traj"))
 

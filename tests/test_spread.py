@@ -33,3 +33,13 @@ def test_disks_of_neighbouring_cells(spark):
     own = spark.createDataFrame([(i * 0.2, 10.0) for i in range(6)], "x double, y double").select(h3.h3_cell("x", "y", 4).alias("cell")).distinct()
     n = covers.h3_disks(own, "cell", 4, 2).groupBy("cell", "steps").count().collect()
     assert len(n) == 3 * own.count() and all(r["count"] == (6 * r["steps"] or 1) for r in n)
+
+
+def test_tracks_are_dealt_by_their_events(spark, tmp_path):
+    """Tasks have few tracks whatever their file's size, without another shuffle for the group."""
+    from meridia.plans.tables import tracks
+
+    spark.range(MOST_ROWS * 20).select("id", (F.col("id") % 2000).alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), F.rand(1).alias("value")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    t = tracks(spark, str(tmp_path))
+    sizes = t.groupBy(F.spark_partition_id()).count().collect()
+    assert t.rdd.getNumPartitions() == 20 and sum(r["count"] for r in sizes) == 2000 and max(r["count"] for r in sizes) < 300
