@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -357,65 +358,90 @@ def authalic(lat: Column) -> Column:
     return x + sum((c * F.sin(2 * n * x) for n, c in enumerate(_AUTHALIC, 1)), F.lit(0.0))
 
 
-#: Degrees of longitude or latitude that a side is cut to before areas are taken.
-LONGEST = 0.25
+#: Steps of a side whose areas are taken, at least, and the degrees that one has at most.
+LEAST_STEPS, LONGEST = 64, 0.25
+#: Places on sides that are held at once.
+MOST_PLACES = 1 << 18
 
 
-def _strip(a: Column, b: Column, parts: Column) -> Column:
-    """Signed area between the equator and a side, over the sphere of equal area; the side is the curve that goes evenly in longitude and in the latitude of a great circle between its ends there."""
-    dl = lambda p: p["l"]
+def strips(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
+    """(signed square metres between the equator and each side on WGS 84, radians it turns in longitude), in arrays of degrees.
 
-    def go(p):
-        # the great circle's area has a closed form; what the ellipsoid's geodesic differs by is far below 1e-6 of a cut side
-        t = F.tan(dl(p) / 2) * (F.tan(p["u"] / 2) + F.tan(p["v"] / 2)) / (1 + F.tan(p["u"] / 2) * F.tan(p["v"] / 2))
-        return 2 * F.atan(t)
-
-    turn = F.radians(b["x"] - a["x"] - 360 * F.round((b["x"] - a["x"]) / 360))
-    return G.let(F.struct(turn.alias("l"), authalic(a["y"]).alias("u"), authalic(b["y"]).alias("v")), go)
+    A side is the great circle of reduced latitudes in even steps. A step has the integral of the area
+    up to a latitude by Simpson's rule, and one that ends at a pole or turns by more than a right angle
+    that of a great circle on the sphere of equal area.
+    """
+    l1, l2 = np.radians(lon1), np.radians(lon2)
+    b1, b2 = (np.arctan((1 - FLAT) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    e2 = FLAT * (2 - FLAT)
+    short_way = lambda dl: dl - 2 * math.pi * np.round(dl / (2 * math.pi))
+
+    def below(z, flat):
+        """Square metres a radian wide below a place, by its height and its distance from the axis on the sphere of reduced latitudes."""
+        s = z / np.hypot(z, (1 - FLAT) * flat)
+        return A * A * (1 - e2) / 2 * (s / (1 - e2 * s * s) + np.arctanh(math.sqrt(e2) * s) / math.sqrt(e2))
+
+    d = 2 * np.arcsin(np.minimum(1, np.sqrt(np.sin((b2 - b1) / 2) ** 2 + np.cos(b1) * np.cos(b2) * np.sin((l2 - l1) / 2) ** 2)))
+    turn = short_way(l2 - l1)
+    area = turn * (below(np.sin(b1), np.cos(b1)) + below(np.sin(b2), np.cos(b2))) / 2  # stays for ends that agree
+    n = LEAST_STEPS * np.ceil(np.maximum(d / math.radians(LONGEST * LEAST_STEPS), 1))
+    n[~(d >= 1e-12)] = 0
+    for k in np.unique(n[n > 0]).astype(int):
+        these, t = np.flatnonzero(n == k), np.arange(2 * k + 1)[:, None] / (2 * k)
+        for at in range(0, len(these), max(1, MOST_PLACES // (2 * k + 1))):
+            i = these[at : at + max(1, MOST_PLACES // (2 * k + 1))]
+            u, w = np.sin((1 - t) * d[i]) / np.sin(d[i]), np.sin(t * d[i]) / np.sin(d[i])
+            x = u * (np.cos(b1[i]) * np.cos(l1[i])) + w * (np.cos(b2[i]) * np.cos(l2[i]))
+            y = u * (np.cos(b1[i]) * np.sin(l1[i])) + w * (np.cos(b2[i]) * np.sin(l2[i]))
+            z = u * np.sin(b1[i]) + w * np.sin(b2[i])
+            flat = np.hypot(x, y)
+            q, dl, over = below(z, flat), short_way(np.diff(np.arctan2(y, x)[::2], axis=0)), flat[::2] < 1e-9
+            step = dl * (q[:-2:2] + 4 * q[1::2] + q[2::2]) / 6
+            if (wide := (np.abs(dl) > math.pi / 2) | over[1:] | over[:-1]).any():
+                low, high = (np.tan(np.arcsin(np.clip(v[wide] / AUTHALIC2, -1, 1)) / 2) for v in (q[:-2:2], q[2::2]))
+                step[wide] = AUTHALIC2 * 2 * np.arctan(np.tan(dl[wide] / 2) * (low + high) / (1 + low * high))
+            area[i], turn[i] = step.sum(0), dl.sum(0)
+    return area, turn
+
+
+def polygon_areas(parts: pa.Array) -> pa.Array:
+    """Square metres on WGS 84 of arrays of polygons, which are arrays of closed rings, the shell first; null for null."""
+    sizes = lambda a: a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = lambda a: np.repeat(np.arange(len(a)), sizes(a))
+    polygons = parts.flatten()
+    rings = polygons.flatten()
+    vertices = rings.flatten()
+    x, y = (vertices.field(k).to_numpy(zero_copy_only=False).astype(float) for k in "xy")
+    n, ring, i = sizes(rings), owner(rings), np.arange(len(x))
+    start = (np.cumsum(n) - n)[ring]
+    # a pole lies on the meridian of the side that comes as well as of that which goes
+    pole, comes, last = np.abs(y) >= 90, np.maximum(i - 1, 0), i == start + n[ring] - 1
+    goes = np.minimum(np.where(last, start + 1, i + 1), max(len(x) - 1, 0))
+    at = np.repeat(i, 1 + (pole & (i > start)))
+    twin = np.concatenate([at[1:] == at[:-1], [False]]) if len(at) else np.zeros(0, bool)
+    lon, lat, ring = np.where(pole[at], np.where(twin, x[comes[at]], x[goes[at]]), x[at]), y[at], ring[at]
+    side = np.flatnonzero(ring[1:] == ring[:-1])
+    area, turn = strips(lon[side], lat[side], lon[side + 1], lat[side + 1])
+    area, turn = (np.bincount(ring[side], v, len(rings)) for v in (area, turn))
+    # around a pole the strips reach from the equator to the ring, and the rest of the half is inside
+    area = np.where(np.round(turn / (2 * math.pi)) != 0, 2 * math.pi * AUTHALIC2 - np.abs(area), np.abs(area))
+    polygon = owner(polygons)
+    hole = np.concatenate([[False], polygon[1:] == polygon[:-1]]) if len(polygon) else np.zeros(0, bool)
+    out = np.bincount(owner(parts)[polygon], np.where(hole, -area, area), len(parts))
+    return pa.array(out, pa.float64(), mask=parts.is_null().to_numpy(zero_copy_only=False))
 
 
 def geodesic_area(g, unit: float = 1.0) -> Column:
     """Area of polygons in square metres, or units of so many, on the WGS 84 ellipsoid; sides are short ways, so rings may cross the seam and go around a pole.
 
-    Latitudes go over into those of equal area on a sphere, and sides into its great circles. Sides
-    longer than LONGEST degrees are first cut along the geodesic's great circle, so that the two agree
-    to about a millionth. Holes count against their shell whichever way they turn.
+    Sides are great circles of reduced latitudes, which are nearest to geodesics, in steps of at most
+    LONGEST degrees and at least LEAST_STEPS a side. Holes count against their shell whichever way
+    they turn.
     """
 
-    def cut(a, b):
-        """Vertices on the way from a to b, without b."""
-        n = F.greatest(F.lit(1), F.ceil(central_angle(a["x"], a["y"], b["x"], b["y"]) * (180 / math.pi) / LONGEST)).cast("int")
-
-        def between(k):
-            def at(i):
-                w = F.struct((F.sin((1 - i / k["n"]) * k["d"]) / F.sin(k["d"])).alias("s"), (F.sin(i / k["n"] * k["d"]) / F.sin(k["d"])).alias("t"))
-
-                def place(w):
-                    x = w["s"] * F.cos(k["q"]) * F.cos(k["p"]) + w["t"] * F.cos(k["v"]) * F.cos(k["u"])
-                    y = w["s"] * F.cos(k["q"]) * F.sin(k["p"]) + w["t"] * F.cos(k["v"]) * F.sin(k["u"])
-                    z = w["s"] * F.sin(k["q"]) + w["t"] * F.sin(k["v"])
-                    # reduced latitudes: great circles of their sphere are nearest to geodesics
-                    return F.struct(F.degrees(F.atan2(y, x)).alias("x"), F.degrees(F.atan(F.tan(F.atan2(z, F.sqrt(x * x + y * y))) / (1 - FLAT))).alias("y"))
-
-                return F.when(i == 0, F.struct(a["x"].alias("x"), a["y"].alias("y"))).otherwise(G.let(w, place))
-
-            return F.when(k["d"] < 1e-12, F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")))).otherwise(F.transform(F.sequence(F.lit(0), k["n"] - 1), at))
-
-        low = lambda lat: F.atan((1 - FLAT) * F.tan(F.radians(lat)))
-        half = lambda t: F.sin(t / 2) * F.sin(t / 2)
-        ends = F.struct(n.alias("n"), F.radians(a["x"]).alias("p"), low(a["y"]).alias("q"), F.radians(b["x"]).alias("u"), low(b["y"]).alias("v"))
-        return G.let(ends, lambda k: G.let(F.struct(k["n"].alias("n"), k["p"].alias("p"), k["q"].alias("q"), k["u"].alias("u"), k["v"].alias("v"), (2 * F.asin(F.least(F.lit(1.0), F.sqrt(half(k["v"] - k["q"]) + F.cos(k["q"]) * F.cos(k["v"]) * half(k["u"] - k["p"]))))).alias("d")), between))
-
-    def ring(r):
-        dense = F.concat(F.flatten(G.pairs(r, cut)), F.transform(F.slice(r, -1, 1), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
-
-        def area(v):
-            strips = G.total(G.pairs(v, lambda a, b: _strip(a, b, F.lit(1))))
-            around = F.round(G.total(G.pairs(v, lambda a, b: b["x"] - a["x"] - 360 * F.round((b["x"] - a["x"]) / 360))) / 360)
-            # around a pole the strips reach from the equator to the ring, and the rest of the half is inside
-            return F.when(around != 0, 2 * math.pi - F.abs(strips)).otherwise(F.abs(strips))
-
-        return G.let(dense, area)
+    @F.arrow_udf("double")
+    def run(parts: pa.Array) -> pa.Array:
+        return polygon_areas(parts)
 
-    part = lambda rings: ring(rings[0]) - G.total(F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), ring))
-    return F.when(G.dimension(g) == 2, G.total(F.transform(G.parts(g), part)) * AUTHALIC2 / (unit * unit)).otherwise(F.when(G.col(g).isNotNull(), 0.0))
+    two = G.dimension(g) == 2
+    return F.when(two, run(F.when(two, G.parts(g))) / (unit * unit)).otherwise(F.when(G.col(g).isNotNull(), 0.0))

@@ -13,6 +13,8 @@ from meridia.functions import codecs as X
 from meridia.functions import geodesy as D
 from meridia.functions import geometry as G
 from meridia.functions import measures as M
+from meridia.plans.earth import ON_EARTH, geodesic_ring_areas
+from meridia.plans.tables import rings
 
 
 def v(*points):
@@ -42,6 +44,41 @@ def test_areas(spark):
     assert got["hole"] == pytest.approx(got["outer"] - got["inner"], rel=1e-12) and got["line"] == 0
 
 
+def summed(k: int) -> float:
+    """Area of the ring around customer k, by the terms of the query's SQL."""
+    e2, lon, lat, r, n = D.FLAT * (2 - D.FLAT), k * 7919 % 36000 / 100 - 180, k * 6971 % 17000 / 100 - 85, 1 + k % 7, 4 + k % 9
+    corners = [(math.radians(lon + r * math.cos(2 * math.pi * (i % n) / n)), math.atan((1 - D.FLAT) * math.tan(math.radians(lat + r * math.sin(2 * math.pi * (i % n) / n))))) for i in range(n + 1)]
+    out = 0.0
+    for (l1, b1), (l2, b2) in zip(corners, corners[1:]):
+        d = 2 * math.asin(math.sqrt(math.sin((b2 - b1) / 2) ** 2 + math.cos(b1) * math.cos(b2) * math.sin((l2 - l1) / 2) ** 2))
+        at = []
+        for i in range(129):
+            u, w = math.sin((1 - i / 128) * d) / math.sin(d), math.sin(i / 128 * d) / math.sin(d)
+            x, y, z = u * math.cos(b1) * math.cos(l1) + w * math.cos(b2) * math.cos(l2), u * math.cos(b1) * math.sin(l1) + w * math.cos(b2) * math.sin(l2), u * math.sin(b1) + w * math.sin(b2)
+            s = math.sin(math.atan(math.tan(math.asin(z)) / (1 - D.FLAT)))
+            at.append((math.atan2(y, x), D.A**2 * (1 - e2) / 2 * (s / (1 - e2 * s * s) + math.atanh(e2**0.5 * s) / e2**0.5)))
+        for a, b, c in zip(at[::2], at[1::2], at[2::2]):
+            out += (c[0] - a[0] - 2 * math.pi * round((c[0] - a[0]) / (2 * math.pi))) * (a[1] + 4 * b[1] + c[1]) / 6
+    return abs(out)
+
+
+def test_areas_of_rings_have_no_error_that_rounding_shows(spark, tmp_path):
+    keys = [*range(1, 12), 1938, 14474, 27747, 48450, 49062, 49853, 57483]  # the last ones came out a thousand too high
+    spark.createDataFrame([(k, 1, 0.0) for k in keys], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    ringed = {r["c_custkey"]: r["a"] for r in rings(spark, str(tmp_path)).where(ON_EARTH).select("c_custkey", D.geodesic_area("cust_ring").alias("a")).collect()}
+    assert len(ringed) > 12 and all(a == pytest.approx(summed(k), rel=1e-11) for k, a in ringed.items())
+    got = {r["c_custkey"]: r["thousand_km2"] for r in geodesic_ring_areas(spark, str(tmp_path)).collect()}
+    assert got == {k: round(summed(k) / 1e9) for k in ringed}
+
+
+def test_areas_over_a_pole(spark):
+    earth = 510065621724088.44
+    shapes = table(spark, over=ring((0, 0), (90, 0), (180, 0), (180, 80), (0, 80)), south=ring((0, 0), (0, -90), (90, 0)), around=ring((0, 0), (120, 0), (-120, 0)), many=G.multi_polygon(F.array(F.array(v((0, 0), (90, 0), (0, 90), (0, 0))), F.array(v((0, 0), (0, -90), (90, 0), (0, 0))))), none=G.empty(G.POLYGON))
+    got = {r["name"]: r["a"] for r in shapes.select("name", D.geodesic_area("g").alias("a")).collect()}
+    assert got["over"] == pytest.approx(earth / 4, rel=1e-9) and got["south"] == pytest.approx(earth / 8, rel=1e-12) and got["around"] == pytest.approx(earth / 2, rel=1e-12)
+    assert got["many"] == pytest.approx(earth / 4, rel=1e-12) and got["none"] == 0
+
+
 def test_lengths(spark):
     rng = np.random.default_rng(0)
     a = np.stack([rng.uniform(-180, 180, 300), rng.uniform(-89, 89, 300), rng.uniform(-180, 180, 300), rng.uniform(-89, 89, 300)], 1)
