@@ -30,8 +30,11 @@ def saved(df: DataFrame) -> DataFrame:
 MOST_ROWS, LEAST_ROWS = 20_000, 500
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks so many rows are dealt to."""
+    return max(min(3 * spark.sparkContext.defaultParallelism, rows // LEAST_ROWS), -(-rows // MOST_ROWS), 1)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt to tasks by key: a small file or shuffle is one task or few, whatever the work on its rows is."""
-    rows = df.count()
-    n = max(min(3 * df.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS), -(-rows // MOST_ROWS), 1)
-    return df.repartition(n, key)
+    return df.repartition(tasks(df.sparkSession, df.count()), key)

@@ -142,7 +142,8 @@ def h3_covers(spark: SparkSession, sf: str) -> DataFrame:
 def h3_ring_covers(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of every customer's ring."""
     found = covers.h3_cover(rings(spark, sf).where(G.bounds("cust_ring")["maxx"] <= 180).select("c_custkey", "cust_ring"), "cust_ring", 3)
-    return found.groupBy("c_custkey").agg(F.count("*").alias("n"), r(F.sum(H.h3_area("cell")) / 1e6, 3).alias("km2"))
+    found, cells = _cells_once(found, "cell")
+    return found.join(cells.select("cell", H.h3_area("cell").alias("m2")), "cell").groupBy("c_custkey").agg(F.count("*").alias("n"), r(F.sum("m2") / 1e6, 3).alias("km2"))
 
 
 @register(f"SELECT c_custkey, true AS there_and_back, true AS half, true AS as_long FROM ({CUST})")

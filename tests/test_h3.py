@@ -92,6 +92,23 @@ def test_covers_of_a_box(spark, level, within):
     assert {r["cell"] for r in every.collect()} == found["center"]
 
 
+def test_covers_write_shapes_once_and_deal_out_large_ones(spark, monkeypatch):
+    wrote, one_by_one = [], covers.saved
+    monkeypatch.setattr(covers, "saved", lambda df: wrote.append(one_by_one(df)) or wrote[-1])
+    df = spark.range(2).select("id", F.when(F.col("id") == 0, G.box(-20.0, 30.0, 25.0, 62.0)).otherwise(G.box(170.0, -3.0, 180.0, 4.0)).alias("g"))
+    cells = lambda: sorted(map(tuple, covers.h3_cover(df, "g", 2).collect()))
+    found = cells()
+    assert len(found) == len(set(found)) > 60
+    assert [x.count() for x in wrote if "g_" in x.columns] == [2]  # rounds write numbers of rows and cells
+    outlines = next(x for x in wrote if "ring_" in x.columns)
+    assert outlines.count() == outlines.select("cell").distinct().count()
+    monkeypatch.setattr(covers, "MOST_ROWS", 5)
+    monkeypatch.setattr(covers, "MOST_OUTLINES", 0)
+    wrote.clear()
+    assert cells() == found
+    assert any(x.count() for x in wrote if "n_" in x.columns)
+
+
 def test_covers_of_lines_points_and_missing_ones(spark):
     df = spark.range(1).select(F.lit("line").alias("id"), G.line_string(F.array(G.vertex(-10.0, -40.0), G.vertex(10.0, -40.0))).alias("g"))
     df = df.union(spark.range(1).select(F.lit("point"), G.point(F.lit(13.4), F.lit(52.5)))).union(spark.range(1).select(F.lit("none"), F.lit(None).cast(G.GEOMETRY)))
