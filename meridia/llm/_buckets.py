@@ -58,7 +58,7 @@ def deal(parts: dict[str, list], buckets: int) -> pa.RecordBatch:
         planes[row : row + w] = flat[k][order].view(np.uint8).reshape(len(order), -1)[:, :w].T
         row += w
     which, first = np.unique(bucket[order], return_index=True)
-    blobs = [planes[:, a:b].tobytes() for a, b in zip(first, [*first[1:], len(order)])]
+    blobs = [np.ascontiguousarray(planes[:, a:b]).tobytes() for a, b in zip(first, [*first[1:], len(order)])]
     return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
 

@@ -300,13 +300,21 @@ def _added(kind: str, as_levels: bool):
 GROUPS = 256
 
 
-def merge_sketches(blocks: DataFrame, cells: int) -> np.ndarray:
-    """Sums (block, counts) rows of all tasks, in two steps; 2 x cells levels, one byte each, come to the driver."""
+def merge_sketches(blocks: DataFrame, cells: int, tables: Scratch | None = None) -> np.ndarray:
+    """Sums (block, counts) rows of all tasks, in two steps; 2 x cells levels, one byte each, come to the driver.
+
+    With `tables` the sums are written first, so that the shuffle files of all tasks' counts go at once.
+    """
     part = blocks.withColumn("part", F.spark_partition_id() % GROUPS).groupBy("block", "part").applyInArrow(_added("u4", False), "block int, counts binary")
     out = np.zeros(2 * cells, np.uint8)
-    for r in part.groupBy("block").applyInArrow(_added("u8", True), "block int, counts binary").toLocalIterator():
+    sums = part.groupBy("block").applyInArrow(_added("u8", True), "block int, counts binary")
+    if tables is not None:
+        sums = tables.save(sums, name := f"counts-{uuid.uuid4().hex}")
+    for r in sums.toLocalIterator():
         found = np.frombuffer(bytes(r["counts"]), np.uint8)[: 2 * cells - r["block"] * Sketch.BLOCK]
         out[r["block"] * Sketch.BLOCK :][: len(found)] = found
+    if tables is not None:
+        tables.drop(name)
     return out.reshape(2, cells)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._buckets import BUCKET, FIELDS, GATHER, HEADS, MOST, PAIRS, count_keys, deal, pack, search, starts, unpack
 from ._common import Scratch, Sketch, WordHash, column, free_name, merge_sketches, mix, rarity, released, tidy
-from .ngram_join import levels, prefix_entries
+from .ngram_join import GROUP, SMALL, levels
 
 CELLS = 1 << 21
 #: Lines and bytes of text handled at once.
@@ -78,12 +78,12 @@ def _lines_of(ids: list, texts: list[bytes], hashes: WordHash) -> Iterator[tuple
     first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     h, start = hashes.piece(data, np.zeros(1, np.int64))
     breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, start)
-    which, n = np.unique(line, return_counts=True)
+    many = np.diff(np.searchsorted(start, breaks), prepend=0, append=len(start))
+    which = np.flatnonzero(many)
     if len(which):
         begin = np.where(which > 0, breaks[which - 1] + 1, 0) if len(breaks) else np.zeros(len(which), np.int64)
         doc = np.searchsorted(first, begin, "right") - 1
-        yield np.array(ids)[doc], which - np.searchsorted(breaks, first)[doc], h, n
+        yield np.array(ids)[doc], which - np.searchsorted(breaks, first)[doc], h, many[which]
 
 
 def _sets(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,31 +165,64 @@ class _Ordered:
         """For each word, how many words of its line make entries, if none of them is frequent."""
         return (self.size - -(-num * self.size // den) + 1)[self.line]
 
-    def entries(self, num: int, den: int, limit: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key of 48 bits, line, position or -1 of a pair of words) of all index entries.
+    def entries(self, num: int, den: int, limit: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key of 48 bits, line, position or -1 of a pair of words, place of its word, place of its other word or the same) of all index entries.
 
         Lines without a frequent word in their prefix have its words one by one. Lines with one have
-        the combinations of prefix_entries: a word frequent for one line is so for all, so the two
-        kinds of lines meet in single rare words.
+        the entries of ngram_join.prefix_entries, made here for all lines at once: a word frequent for
+        one line is so for all, so the two kinds of lines meet in single rare words.
         """
-        inside = self.at < self.prefix(num, den)
+        inside, frequent = self.at < self.prefix(num, den), self.level > limit
         often = np.zeros(len(self.size), bool)
-        often[self.line[inside & (self.level > limit)]] = True
+        often[self.line[inside & frequent]] = True
         # a word counted once is in no other line; its place in the prefix is spent all the same
-        keep = inside & (self.level > 1) & ~often[self.line]
-        keys, lines, ats = [mix(self.token[keep])], [self.line[keep]], [self.at[keep]]
-        for i in np.flatnonzero(often):
-            t, rare = self.token[self.start[i] : self.start[i] + self.size[i]], self.level[self.start[i] : self.start[i] + self.size[i]]
-            e = prefix_entries(t, rare, limit, num, den, bounds)
-            order = np.argsort(t)
-            found = np.minimum(np.searchsorted(t[order], e), len(t) - 1)
-            single = t[order][found] == e
-            at = np.where(single, order[found], -1)
-            good = ~single | (rare[at] > 1)
-            keys.append(mix(e[good]))
-            lines.append(np.full(int(good.sum()), i))
-            ats.append(at[good])
-        return np.concatenate(keys) >> np.uint64(16), np.concatenate(lines), np.concatenate(ats)
+        single = inside & ~often[self.line]
+        n, rare = self.size.astype(np.int64), np.add.reduceat((~frequent).astype(np.int64), self.start)
+        own = np.searchsorted(bounds, n, "right") - 1
+        every, rarer = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)  # places up to which all words, or those not frequent, make entries
+        keys, words, others = [], [], []
+        for step in (0, 1) if often.any() else ():
+            low = bounds[own + step]
+            other = np.maximum(low, n) if step else -(-num * n // den)
+            able = often & (den * n >= num * other)
+            errors = n - -(-num * (n + other) // (num + den))
+            every = np.where(able & (low < SMALL), np.maximum(every, errors + 1), every)
+            able &= low >= SMALL
+            rarer = np.where(able, np.maximum(rarer, errors + 1), rarer)
+            if len(w := np.flatnonzero(frequent & (able & (rare <= errors))[self.line])):
+                key, a, b, end = self._combined(w, np.maximum(1, low * (den - num) // (den * GROUP)), errors, rare, own + step)
+                rarer = np.maximum(rarer, end)
+                keys.append(key)
+                words.append(a)
+                others.append(b)
+        single |= (self.at < every[self.line]) | ((self.at < rarer[self.line]) & ~frequent)
+        alone = np.flatnonzero(single & (self.level > 1))
+        word, other = np.concatenate([alone, *words]), np.concatenate([alone, *others])
+        at = np.concatenate([self.at[alone], *(np.full(len(x), -1) for x in keys)])
+        return mix(np.concatenate([self.token[alone], *keys])) >> np.uint64(16), self.line[word], at, word, other
+
+    def _combined(self, w: np.ndarray, groups: np.ndarray, errors: np.ndarray, rare: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(token, word, other word) of the pairs of frequent words w of one group, and where each line's prefix ends."""
+        line = self.line[w]
+        group = ((self.token[w] >> np.uint64(20)) % groups[line].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((group, line))
+        new = np.concatenate([[True], (line[order][1:] != line[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        counts = np.ones(len(w), np.int64)  # the first word of a frequent group counts for nothing
+        counts[order[new]] = 0
+        total = np.cumsum(counts)
+        begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        total -= np.repeat(total[begin] - counts[begin], np.diff([*begin, len(w)]))
+        short = np.bincount(line[rare[line] + total <= errors[line]], minlength=len(rare))
+        end = np.zeros(len(rare), np.int64)
+        end[line[begin]] = np.minimum(self.size, rare + short + 1)[line[begin]]
+        order = order[(self.at[w] < end[line])[order]]
+        line, group, w = line[order], group[order], w[order]
+        new = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (group[1:] != group[:-1])]))
+        before = np.arange(len(w)) - np.repeat(new, np.diff([*new, len(w)]))
+        i = np.repeat(np.arange(len(w)), before)
+        j = np.arange(len(i)) - np.repeat(starts(before), before) + np.repeat(np.arange(len(w)) - before, before)
+        a, b = self.token[w[i]], self.token[w[j]]
+        return mix(mix(np.minimum(a, b)) + np.maximum(a, b) * np.uint64(0xD6E8FEB86659FD93) + (salt[line[i]] + 1).astype(np.uint64)), w[i], w[j], end
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -207,11 +240,11 @@ def _index(num: int, den: int, shared, limit: int, buckets: int):
     """Blobs of entries by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
+        rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den, 1 << 16)
         parts, waiting = {k: [] for k in FIELDS}, 0
         for part in (y for x in batches for y in _slices(x)):
             x = _Ordered(*unpack(part.column("words")), rows)
-            key, line, at = x.entries(num, den, limit, bounds)
+            key, line, at, _, _ = x.entries(num, den, limit, bounds)
             p1, p2 = x.parities()
             doc, no = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line_no"))
             for k, v in (("key", key), ("doc", doc[line]), ("line", no[line]), ("n", x.size[line]), ("at", at), ("k", (x.digests() >> np.uint64(32))[line]), ("p1", p1[line]), ("p2", p2[line])):
@@ -247,38 +280,56 @@ def _verify(num: int, den: int):
 ENTRIES = "key long, doc_id long, line_no int, n int, parity array<long>"
 
 
-def _prefix_words(num: int, den: int, shared, limit: int):
-    """Counts the words of which some lines make their entries; of lines with frequent ones, all words."""
+def _key_words(num: int, den: int, shared, limit: int, keys):
+    """Counts the words of entries under keys that may be among the counted ones, with all size classes that similar lines are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, rows = Sketch(CELLS), np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+        sketch, bounds = Sketch(CELLS), levels(num, den, 1 << 16)
+        rows, asked = (np.frombuffer(x.value, np.uint8).reshape(2, -1) for x in (shared, keys))
         for part in (y for x in batches for y in _slices(x)):
             x = _Ordered(*unpack(part.column("words")), rows)
-            inside = x.at < x.prefix(num, den)
-            often = np.zeros(len(x.size), bool)
-            often[x.line[inside & (x.level > limit)]] = True
-            sketch.add(x.one[inside | often[x.line]])
+            key, _, _, word, other = x.entries(num, den, limit, bounds)
+            hit = rarity(asked, mix(key)) > 0
+            word = np.union1d(word[hit], other[hit])
+            own = np.searchsorted(bounds, x.size, "right")[x.line[word]]
+            for near in (own - 1, own, own + 1):
+                sketch.add(_classed(x.token[word], near))
         for block, counts in sketch.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["block", "counts"])
 
     return run
 
 
+def _classed(token: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hashes of words with size classes."""
+    return mix(token | (own.astype(np.uint64) << np.uint64(BITS)))
+
+
+def _with_words(asked: np.ndarray, token: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a line has a word that may be among the counted ones of its size class."""
+    one = _classed(token, np.repeat(np.searchsorted(bounds, size, "right"), size))
+    at = np.flatnonzero(asked[0][(one & np.uint64(asked.shape[1] - 1)).astype(np.int64)])
+    at = at[rarity(asked, one[at]) > 0]
+    out = np.zeros(len(size), bool)
+    out[np.searchsorted(starts(size), at, "right") - 1] = True
+    return out
+
+
 def _rows(num: int, den: int, shared, limit: int, words=None, keys=None):
     """Entries as rows with wide bitmaps; where counts of words and keys are given, those that may be among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den)
+        rows, bounds = np.frombuffer(shared.value, np.uint8).reshape(2, -1), levels(num, den, 1 << 16)
         asked = [None if x is None else np.frombuffer(x.value, np.uint8).reshape(2, -1) for x in (words, keys)]
         for part in (y for x in batches for y in _slices(x)):
             token, size = unpack(part.column("words"))
             if words is not None:
-                hit = np.add.reduceat((rarity(asked[0], mix(token)) > 0).astype(np.int64), starts(size)) > 0
+                hit = _with_words(asked[0], token, size, bounds)
                 if not hit.any():
                     continue
                 part, token, size = part.filter(pa.array(hit)), token[np.repeat(hit, size)], size[hit]
             x = _Ordered(token, size, rows)
-            key, line, _ = x.entries(num, den, limit, bounds)
+            key, line, _, _, _ = x.entries(num, den, limit, bounds)
             if keys is not None:
                 hit = rarity(asked[1], mix(key)) > 0
                 key, line = key[hit], line[hit]
@@ -299,6 +350,25 @@ def _rows(num: int, den: int, shared, limit: int, words=None, keys=None):
     return run
 
 
+#: Bits for a row that is looked for, and in all (8 MB); bits of a bitmap of Spark's functions.
+EACH, BITMAP, MOST_BITS = 16, 1 << 15, 1 << 26
+
+
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows less most of those whose (doc_id, line_no) is none of wanted's, a written table's.
+
+    By one bit for each hash, so that few of many rows need no shuffle of all of them. Beyond
+    MOST_BITS / EACH wanted rows more others stay, and no wanted row ever goes.
+    """
+    bits = min(max(EACH * wanted.count(), 2 * BITMAP), MOST_BITS)
+    at = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(bits))
+    place = F.pmod(at, F.lit(BITMAP))
+    found = wanted.groupBy(F.floor(at / BITMAP).alias("bitmap")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mine = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod(place, F.lit(8)).cast("int") + 1)) != 0
+    return rows.join(F.broadcast(found), (F.floor(at / BITMAP) == F.col("bitmap")) & mine).select(*rows.columns)
+
+
 def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: int = 3, first: int = 4, frequent: int = 1024, most: int = MOST, heads: int = HEADS) -> DataFrame:
     """(doc_id, line_no) of the lines that repeat an earlier one, line_no from 0 by newlines.
 
@@ -320,7 +390,7 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     # sets of fewer words than this are similar to equal sets only, which the digests find: no index entries
     near = max(min_words, -(-num // (den - num))) if num < den else 1 << 30
     seen = tables.save(raw.mapInArrow(tidy(_measure(min_words, near)), SEEN_LINES), "measured", dictionary=False)
-    counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS)
+    counts = merge_sketches(seen.where("block is not null").select("block", "counts"), CELLS, tables)
     shared, limit = spark.sparkContext.broadcast(counts.tobytes()), int(4 + 2.2 * np.log2(max(8, frequent) / 4))
     lines = seen.where("block is null").select("doc_id", "line_no", "k1", "k2")
     copied = tables.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copied")
@@ -329,7 +399,13 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
     load = seen.where("words is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(load) // BUCKET))
     blobs = sets.mapInArrow(tidy(_index(num, den, shared, limit, buckets)), "bucket int, entries binary")
-    pairs = tables.save(blobs.groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS).drop("key").distinct(), "pairs")
+    pairs = tables.save(blobs.groupBy("bucket").applyInArrow(search(num, den, first, most, heads), PAIRS).distinct(), "pairs")
+
+    def words_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(doc_id, line_no, words) of some lines."""
+        wanted = tables.save(wanted.distinct(), f"{name}-wanted")
+        # these grow with the corpus and are never broadcast, so plans are the same at every size
+        return tables.save(likely(sets, wanted).join(wanted.hint("merge"), ["doc_id", "line_no"]).select("doc_id", "line_no", "words"), name)
 
     def similar(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
         """(doc_id, line_no) of the later lines of pairs of similar lines."""
@@ -337,28 +413,27 @@ def later_lines(docs: DataFrame, *, num: int = 80, den: int = 100, min_words: in
         both = pairs.join(y, ["doc2", "line2"]).join(x, ["doc_id", "line_no"]).select("doc_id", "line_no", "x", "y")
         return tables.save(both.mapInArrow(tidy(_verify(num, den)), "doc_id long, line_no int").distinct(), name)
 
-    met = pairs.where("doc2 is not null")
-    # these grow with the corpus and are never broadcast, so plans are the same at every size; what the second search leaves is small
-    wanted = pairs.select("doc_id", "line_no").union(met.select("doc2", "line2")).distinct()
-    words = tables.save(sets.join(wanted.hint("merge"), ["doc_id", "line_no"]).select("doc_id", "line_no", "words"), "words")
+    met = pairs.where("doc2 is not null").select("doc_id", "line_no", "doc2", "line2")
+    words = words_of(pairs.select("doc_id", "line_no").union(met.select("doc2", "line2")), "words")
     found = similar(met.hint("merge"), words.hint("merge"), "found")
-    still = tables.save(pairs.where("doc2 is null").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").join(words, ["doc_id", "line_no"]), "still")
-    tables.drop("pairs", "words")
+    # lines and the keys under which they have others to look at; what the second search leaves is small
+    open_ = tables.save(pairs.where("doc2 is null").select("doc_id", "line_no", "key").join(found, ["doc_id", "line_no"], "left_anti"), "open")
+    still = tables.save(open_.select("doc_id", "line_no").distinct().join(words, ["doc_id", "line_no"]), "still")
+    tables.drop("pairs", "words", "words-wanted")
     if still.take(1):
-        mine = tables.save(still.mapInArrow(tidy(_rows(num, den, shared, limit)), ENTRIES).distinct(), "mine")
-        counted = (still.mapInArrow(tidy(_prefix_words(num, den, shared, limit)), "block int, counts binary"), mine.select("key").mapInArrow(tidy(count_keys), "block int, counts binary"))
-        asked = [spark.sparkContext.broadcast(merge_sketches(x, CELLS).tobytes()) for x in counted]
-        theirs = sets.mapInArrow(tidy(_rows(num, den, shared, limit, *asked)), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
+        mine = tables.save(still.mapInArrow(tidy(_rows(num, den, shared, limit)), ENTRIES).distinct().join(open_, ["doc_id", "line_no", "key"]), "mine")
+        keys = spark.sparkContext.broadcast(merge_sketches(mine.select("key").mapInArrow(tidy(count_keys), "block int, counts binary"), CELLS, tables).tobytes())
+        asked = spark.sparkContext.broadcast(merge_sketches(still.mapInArrow(tidy(_key_words(num, den, shared, limit, keys)), "block int, counts binary"), CELLS, tables).tobytes())
+        theirs = sets.mapInArrow(tidy(_rows(num, den, shared, limit, asked, keys)), ENTRIES).select("key", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("m"), F.col("parity").alias("parity2"))
         differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
         able = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * differ <= (den - num) * (F.col("n") + F.col("m")))
         rest = mine.join(theirs, "key").where((F.struct("doc2", "line2") < F.struct(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"))) & able)
         rest = tables.save(rest.select("doc_id", "line_no", "doc2", "line2").distinct(), "rest")
-        other = rest.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no")).distinct()
-        words = sets.join(other.union(still.select("doc_id", "line_no")).distinct(), ["doc_id", "line_no"])
-        found = found.union(similar(rest, words.select("doc_id", "line_no", "words"), "found-rest"))
-        tables.drop("rest", "mine")
+        words = words_of(rest.select("doc_id", "line_no").union(rest.select("doc2", "line2")), "words-rest")
+        found = found.union(similar(rest, words, "found-rest"))
+        tables.drop("rest", "mine", "words-rest", "words-rest-wanted")
     out = tables.save(copies.union(found).distinct(), "later")
-    tables.drop("measured", "copied", "still", "found", "found-rest")
+    tables.drop("measured", "copied", "open", "still", "found", "found-rest")
     return out
 
 
@@ -372,7 +447,7 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     tables = Scratch(docs.sparkSession, "line-keep")
     with released():
         later = tables.save(later_lines(docs.select("doc_id", "text"), **how), "later")
-    later = later.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone)).hint("merge")
+    later = later.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone)).hint("shuffle_hash")
     out = docs.join(later, F.col("doc_id") == F.col(id_), "left").withColumn(split, F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
