@@ -542,23 +542,25 @@ def _hexagon(p: Column, parts: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: G.let(F.struct(corner(k).alias("u"), corner(k + 1).alias("v")), side)))
 
 
+def pentagon_ring(odd: bool) -> list[complex]:
+    """Corners of a cell of five neighbours about the corner of a face that it lies on, and bends of its sides, before its resolution makes them small."""
+    tilt = math.degrees(TILT) if odd else 0.0
+    corners = [a for a in (30 + 60 * m + tilt for m in range(7)) if 30.001 < a < 330.001]
+    bends = [90.0 + 60 * m for m in range(5)] if odd else []
+    angles = sorted({round(a, 9) for a in [*corners, *bends]})
+    out = []
+    for a in angles:
+        mid = min((c + 30 for c in [corners[0] - 60, *corners]), key=lambda m: abs(m - a))
+        out.append(cmath.rect(math.cos(math.pi / 6) / math.sqrt(3) / math.cos(math.radians(a - mid)), math.radians(a)))
+    return out
+
+
 def _pentagon(p: Column, parts: int) -> Column:
     """Directions around a cell of five neighbours, at angles about its corner of the icosahedron."""
 
-    def ring(odd: bool):
-        tilt = math.degrees(TILT) if odd else 0.0
-        corners = [a for a in (30 + 60 * m + tilt for m in range(7)) if 30.001 < a < 330.001]
-        bends = [90.0 + 60 * m for m in range(5)] if odd else []
-        angles = sorted({round(a, 9) for a in [*corners, *bends]})
-        out = []
-        for a in angles:
-            mid = min((c + 30 for c in [corners[0] - 60, *corners]), key=lambda m: abs(m - a))
-            out.append(cmath.rect(math.cos(math.pi / 6) / math.sqrt(3) / math.cos(math.radians(a - mid)), math.radians(a)))
-        return out
-
     def at(odd: bool):
         n = F.pow(F.lit(7.0), p["r"] / 2)
-        z = ring(odd)
+        z = pentagon_ring(odd)
         place = lambda i: F.struct(p["f"].alias("f"), (F.get(_const([c.real for c in z], "double"), i) / n + 2.0).alias("x"), (F.get(_const([c.imag for c in z], "double"), i) / n).alias("y"))
         return F.transform(F.sequence(F.lit(0), F.lit(len(z) - 1)), lambda i: G.let(G.let(place(i), _settled), _to_sphere))
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
 from meridia.functions import h3 as H
+from meridia.functions import h3_arrays as A
 from meridia.operators import covers
 from meridia.plans.catalog import CUST, NATION, r, register
 from meridia.operators.saved import saved
 from meridia.plans.tables import customers, nations, rings, spread
 
 LEVELS = (3, 6, 9)
+#: Cells whose edges are held at once.
+CELLS_AT_ONCE = 1_000
 
 
 def _cells_sql(points: str) -> str:
@@ -146,14 +151,29 @@ def h3_ring_covers(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(cells.select("cell", H.h3_area("cell").alias("m2")), "cell").groupBy("c_custkey").agg(F.count("*").alias("n"), r(F.sum("m2") / 1e6, 3).alias("km2"))
 
 
+def _edges_hold(c: np.ndarray, level: int) -> list[np.ndarray]:
+    """Whether all directed edges of each cell, turned around, come back; run from and to the same two cells; and are as long from both sides."""
+    e = A.edges(c)
+    there = e >= 0
+    cell, e = np.repeat(c, 6)[there.ravel()], e[there]
+    to = A.edge_destination(e, level)
+    back = A.edge(to, cell, level)
+    ok = back >= 0
+    back_ = np.where(ok, back, e)  # one that isn't there holds nothing
+    holds = (A.edge_destination(back_, level) == cell, (A.edge_origin(back_) == to) & (A.edge_origin(e) == cell), np.abs(A.edge_length(e, level) - A.edge_length(back_, level)) < 1e-3)
+    owner = np.nonzero(there)[0]
+    return [np.bincount(owner[~(h & ok)], minlength=len(c)) == 0 for h in holds]
+
+
 @register(f"SELECT c_custkey, true AS there_and_back, true AS half, true AS as_long FROM ({CUST})")
 def h3_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Directed edges of each customer's cell: turned around they come back, lead to neighbours, and are as long from both sides."""
-    one = lambda v, name: F.explode(F.array(v)).alias(name)  # noqa: E731 - a step of its own, so that what follows doesn't repeat it
-    own, cells = _cells_once(customers(spark, sf).select("c_custkey", H.h3_cell("lon", "lat", 4).alias("c")), "c")
-    rows = cells.select("*", F.explode(H.h3_edges("c")).alias("e"))
-    rows = rows.select("*", one(H.h3_edge_destination("e", 4), "to")).select("*", one(H.h3_edge("to", "c", 4), "back"))
-    rows = rows.select("*", one(F.struct(H.h3_edge_length("e", 4).alias("m"), H.h3_edge_length("back", 4).alias("m2"), H.h3_edge_destination("back", 4).alias("home")), "k"))
-    every = lambda c: F.min(c.cast("int")).cast("boolean")
-    found = rows.groupBy("c").agg(every(F.col("k.home") == F.col("c")).alias("there_and_back"), every((H.h3_edge_origin("back") == F.col("to")) & (H.h3_edge_origin("e") == F.col("c"))).alias("half"), every(F.abs(F.col("k.m") - F.col("k.m2")) < 1e-3).alias("as_long"))
-    return own.join(found, "c").select("c_custkey", "there_and_back", "half", "as_long")
+    own, cells = _cells_once(customers(spark, sf).select("c_custkey", A.cells("lon", "lat", 4).alias("c")).where("c is not null"), "c")
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, CELLS_AT_ONCE):
+                c = batch.column(0).slice(a, CELLS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([c, *map(pa.array, _edges_hold(c.to_numpy(zero_copy_only=False), 4))], names=["c", "there_and_back", "half", "as_long"])
+
+    return own.join(cells.mapInArrow(run, "c long, there_and_back boolean, half boolean, as_long boolean"), "c").select("c_custkey", "there_and_back", "half", "as_long")
